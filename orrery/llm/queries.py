@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, lattice, omh, token_count
+from orrery.llm import bpe, lattice, ngram_join, omh, oracles, token_count
 from orrery.runtime import attach, read_table
 
 
@@ -31,7 +31,12 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.order_minhash(read_table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"), t=0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_byte_bpe, op7_token_counts, op8_lm_scoring, op9_order_minhash)
+    f.__name__: f for f in (op6_byte_bpe, op7_token_counts, op8_lm_scoring, op9_order_minhash, op10_ngram_join)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_ngram_join": oracles.OP10}
