@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, lattice, ngram_join, omh, oracles, token_count
+from pyspark.sql import functions as F
+
+from orrery.llm import bpe, lattice, line_dedup, mixing, ngram_join, omh, oracles, token_count
 from orrery.runtime import attach, read_table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as text lines, without its site's boilerplate lines."""
+    attach(spark)
+    pages = read_table(spark, sf_dir, "pages")
+    lines = pages.select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(lines, F.col("host"), ratio=0.05, min_pages=5, dropped="dropped_lines")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents sampled to the raked mix of sources, languages and topics."""
+    attach(spark)
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode it again: doc_id, token_ids, n_tokens, decoded."""
     attach(spark)
@@ -37,6 +53,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_byte_bpe, op7_token_counts, op8_lm_scoring, op9_order_minhash, op10_ngram_join)
+    f.__name__: f for f in (op2_line_dedup, op4_mix_sources, op6_byte_bpe, op7_token_counts, op8_lm_scoring, op9_order_minhash, op10_ngram_join)
 }
-ORACLE_SQL: dict[str, str] = {"op10_ngram_join": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": oracles.OP2, "op4_mix_sources": oracles.OP4, "op10_ngram_join": oracles.OP10}
