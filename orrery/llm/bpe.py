@@ -6,7 +6,9 @@ the ids back, and reassembles documents by position. What crosses the network
 is packed: per block of text the distinct words (front to one owner each), the
 ids on their way back, and the positions as word numbers in byte planes; an
 exploded table of (document, position, word) rows would be several times the
-input. Decoding joins ids with the token-byte table by position.
+input. The pre-tokenizer runs twice, once for the words and once for the
+positions, so that positions cross the network once only. Decoding joins ids
+with the token-byte table by position.
 
 Rows, defined results:
   null text      -> null ids, 0 tokens        empty text -> empty ids
@@ -34,7 +36,7 @@ from orrery.llm import vocab
 from orrery.runtime import attach
 
 #: Characters whose distinct words form one dictionary, and characters handled at a time.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 10_000_000
 STEP_CHARS = 500_000
 _WIRE = "route long, block long, kind int, seq long, payload binary"
 _WIRE_PA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int64()), ("payload", pa.binary())])
@@ -128,7 +130,8 @@ class _Block:
         counts[[i for i, t in enumerate(texts) if t is None]] = -1
         self.steps.append((_ipc(carried), counts, num[inv].astype(np.uint32)))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, words: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of the words (with their owners), or of the documents."""
         if not self.steps:
             return
         n = len(self.index)
@@ -138,29 +141,37 @@ class _Block:
         rank = np.empty(n, np.uint32)
         order = np.argsort(-freq, kind="stable")
         rank[order] = np.arange(n, dtype=np.uint32)
-        hashes = np.concatenate(self.hashes)[order] if n else np.zeros(0, np.uint64)
-        owner = (hashes % np.uint64(self.owners)).astype(np.uint32)
-        listed = list(self.index)
-        home = K.mix_int(self.number) % self.owners
-        out: list[tuple] = [(home, 1, 0, _pack(*_planes(owner)))]
-        by_owner = np.argsort(owner, kind="stable")
-        cut = K.groups(owner[by_owner])
-        for lo, hi in zip(cut, np.append(cut[1:], n)):
-            ids = by_owner[lo:hi]
-            ws = [listed[i].encode("utf-8", "surrogatepass") for i in order[ids]]
-            lens = np.fromiter(map(len, ws), np.uint32, len(ws))
-            o = int(owner[ids[0]])
-            out.append((o, 0, o, _pack(*_planes(lens), b"".join(ws))))
-        for i, (carried, counts, seq) in enumerate(self.steps):
-            out.append((home, 2, i, _pack(carried, counts.astype("<i8").tobytes(), *_planes(rank[seq]))))
-        for o in out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0]], pa.int64()), pa.array([self.number], pa.int64()), pa.array([o[1]], pa.int32()), pa.array([o[2]], pa.int64()), pa.array([o[3]], pa.binary())], schema=_WIRE_PA)
-
-
-def _split(text_at: int, keep_at: list[int], owners: int, block_chars: int):
+
+        def row(route: int, kind: int, seq: int, payload: bytes) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([route], pa.int64()), pa.array([self.number], pa.int64()), pa.array([kind], pa.int32()), pa.array([seq], pa.int64()), pa.array([payload], pa.binary())], schema=_WIRE_PA)
+
+        if words:
+            owner = self._owners(order)
+            listed = list(self.index)
+            by_owner = np.argsort(owner, kind="stable")
+            cut = K.groups(owner[by_owner])
+            for lo, hi in zip(cut, np.append(cut[1:], n)):
+                ids = by_owner[lo:hi]
+                ws = [listed[i].encode("utf-8", "surrogatepass") for i in order[ids]]
+                lens = np.fromiter(map(len, ws), np.uint32, len(ws))
+                o = int(owner[ids[0]])
+                yield row(o, 0, o, _pack(*_planes(lens), b"".join(ws)))
+        else:
+            yield row(0, 1, 0, _pack(*_planes(self._owners(order))))
+            for i, (carried, counts, seq) in enumerate(self.steps):
+                yield row(0, 2, i, _pack(carried, counts.astype("<i8").tobytes(), *_planes(rank[seq])))
+
+    def _owners(self, order: np.ndarray) -> np.ndarray:
+        """Owner of each word, by rank."""
+        hashes = np.concatenate(self.hashes)[order] if len(order) else np.zeros(0, np.uint64)
+        return (hashes % np.uint64(self.owners)).astype(np.uint32)
+
+
+def _split(text_at: int, keep_at: list[int], owners: int, block_chars: int, words: bool):
     def run(batches):
         from pyspark import TaskContext
 
+        # blocks are numbered by scan partition, the same in both passes
         part = TaskContext.get().partitionId()
         k = 0
         block = _Block(part << 24, owners)
@@ -170,10 +181,10 @@ def _split(text_at: int, keep_at: list[int], owners: int, block_chars: int):
             for lo, hi in K.rechunk([t or "" for t in texts], STEP_CHARS):
                 block.add(texts[lo:hi], carried.slice(lo, hi - lo))
                 if block.chars >= block_chars:
-                    yield from block.rows()
+                    yield from block.rows(words)
                     k += 1
                     block = _Block((part << 24) + k, owners)
-        yield from block.rows()
+        yield from block.rows(words)
 
     return run
 
@@ -185,12 +196,8 @@ def _encode_words(path: str):
         enc = vocab.byte_encoder(path)._core_bpe
         known: dict[bytes, tuple] = {}
         for b in batches:
-            kinds = b.column(2).to_pylist()
             payload = []
-            for kind, blob in zip(kinds, b.column(4)):
-                if kind:
-                    payload.append(blob.as_py())
-                    continue
+            for blob in b.column(4):
                 *lens, body = _unpack(blob.as_py())
                 ids, sizes, at = [], [], 0
                 for size in _unplanes(lens).tolist():
@@ -277,10 +284,10 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
         raise ValueError("keep columns may not be named token_ids or n_tokens")
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    wire = src.mapInArrow(_split(len(keep), list(range(len(keep))), owners, block_chars), _WIRE)
-    wire = wire.repartition(owners, "route").mapInArrow(_encode_words(path), _WIRE)
-    order = F.when(F.col("kind") == 0, 0).otherwise(F.col("kind"))
-    wire = wire.repartition(owners, "block").sortWithinPartitions("block", order, "seq")
+    words, places = (src.mapInArrow(_split(len(keep), list(range(len(keep))), owners, block_chars, w), _WIRE) for w in (True, False))
+    ids = words.repartition(owners, "route").mapInArrow(_encode_words(path), _WIRE)
+    # places come first in the union: its partitions keep the numbers of the scan
+    wire = places.union(ids).repartition(owners, "block").sortWithinPartitions("block", "kind", "seq")
     out = T.StructType([*[src.schema[i] for i in range(len(keep))], T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
     return wire.mapInArrow(_assemble(_arrow_schema(out)), out)
 

@@ -19,6 +19,9 @@ def attach(spark: SparkSession) -> SparkSession:
     ``--py-files``; the extra path entry is then simply unused.
     """
     env = spark.sparkContext.environment
+    # smaller Arrow batches: a batch and its copies count per running Python worker
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
