@@ -1,8 +1,72 @@
-"""Placeholder until the stages exist."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.llm import bpe, crf, line_dedup, mixing, ngram_join
+from orrery.runtime import attach, read_table, scratch_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier, fitted on the labelled ones, doesn't reject."""
+    attach(spark)
+    raw = read_table(spark, sf_dir, "documents")
+    model = crf.train(raw, read_table(spark, sf_dir, "labels"))
+    return crf.filter_quality(docs.select(*COLUMNS), model)
+
+
+def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that many documents of their source share."""
+    attach(spark)
+    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), ratio=0.05, min_pages=5)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of connected near copies."""
+    attach(spark)
+    roots = ngram_join.duplicate_groups(ngram_join.ngram_join(docs, t=0.5))
+    gone = roots.where("id <> root").select(F.col("id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled to the raked mix of sources, languages and topics."""
+    attach(spark)
+    return mixing.mix_sources(docs.select(*COLUMNS), extra=False).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text they decode to."""
+    attach(spark)
+    return bpe.decode(bpe.encode(docs, keep=("doc_id", "lang", "source")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("line_dedup", line_frequency),
+    ("ngram_jaccard", near_duplicates),
+    ("mixing", mix),
+    ("byte_bpe", tokenize),
+]
+
+#: The classifier is a trained model: no SQL. tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    attach(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    base = f"{scratch_dir(spark).rstrip('/')}/orrery-pipeline-{uuid.uuid4().hex[:12]}"
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{i}_{name}"
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

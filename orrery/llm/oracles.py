@@ -46,6 +46,17 @@ SELECT page_id, host, array_to_string(kept, chr(10)) AS text, (len(l) - len(kept
 """
 
 
+OP5 = r"""
+WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64),
+d AS (
+  SELECT a.vec_id AS query_id, o.vec_id AS neighbor_id,
+    list_sum(list_transform(list_zip(a.b, o.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance
+  FROM c a JOIN c o ON a.vec_id <> o.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""
+
+
 def _op4() -> str:
     dims = {"source": 0.8, "lang": 0.9, "topic": 1.0}
     ctes = [r"""

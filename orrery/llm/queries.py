@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, lattice, line_dedup, mixing, ngram_join, omh, oracles, token_count
+from orrery.llm import bpe, crf, hamming, lattice, licenses, line_dedup, mixing, ngram_join, omh, oracles, token_count
 from orrery.runtime import attach, read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license detection of every document."""
+    attach(spark)
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as text lines, without its site's boilerplate lines."""
     attach(spark)
@@ -20,12 +25,26 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(lines, F.col("host"), ratio=0.05, min_pages=5, dropped="dropped_lines")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document and its bad lines, by the field fitted on the labelled ones."""
+    attach(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    return crf.quality(docs, crf.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents sampled to the raked mix of sources, languages and topics."""
     attach(spark)
     return mixing.mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability")
 
 
+def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every vector by the signs of its 64 coordinates."""
+    attach(spark)
+    rows = read_table(spark, sf_dir, "embeddings")
+    return hamming.topk(rows, F.col("vec_id"), hamming.sign_code(F.col("embedding")), k=10)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode it again: doc_id, token_ids, n_tokens, decoded."""
     attach(spark)
@@ -53,6 +72,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_line_dedup, op4_mix_sources, op6_byte_bpe, op7_token_counts, op8_lm_scoring, op9_order_minhash, op10_ngram_join)
+    f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_quality, op4_mix_sources, op5_hamming_topk, op6_byte_bpe, op7_token_counts, op8_lm_scoring, op9_order_minhash, op10_ngram_join)
 }
-ORACLE_SQL: dict[str, str] = {"op2_line_dedup": oracles.OP2, "op4_mix_sources": oracles.OP4, "op10_ngram_join": oracles.OP10}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": oracles.OP2, "op4_mix_sources": oracles.OP4, "op5_hamming_topk": oracles.OP5, "op10_ngram_join": oracles.OP10}
