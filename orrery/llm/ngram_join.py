@@ -9,12 +9,14 @@
    passage or a copied text is a few tokens instead of hundreds.
 2. *Prefixes.* Sets whose unshared n-grams already fill the prefix can't have a
    partner and end here (nearly all clean documents do). Equal sets are merged.
-   The rest are sent once for each token of their prefix.
-3. *Tree.* For each token the sets are stored in a trie in global order; a query
-   set walks it, carrying the overlap that all sets below a node share, and
-   leaves a subtree when the overlap plus the weight that can still be shared
-   (remaining length of the query, longest remainder below the node) misses what
-   the sizes require. A pair is reported at the first token it shares.
+   The rest have prefix tokens, of which any matching pair shares one.
+3. *Tree.* Sets that prefix tokens connect form a block, and every set is sent to
+   its block once. A block's sets are stored in a trie in global order. A query
+   set adds each of its prefix tokens to the overlap of all sets below the nodes
+   that bear it, leaves subtrees whose overlap plus the weight that can still be
+   shared (remaining lengths of both lists) misses what the sizes require, and
+   adds the rest of its list for those that are left. Blocks beyond a bound are
+   worked token by token, each pair at the first token it shares.
 
 The result is exact for 64-bit n-gram hashes; nothing is capped or sampled.
 
@@ -34,7 +36,6 @@ its square. ``expand_pairs`` gives plain pairs.
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,8 @@ from orrery.runtime import attach, cut, spill_table
 _U = np.uint64
 BLOCK_GRAMS = 4_000_000
 STEP_CHARS = 500_000
+#: List entries (three numbers each) of a block that one task holds at most.
+BLOCK_TOKENS = 1_500_000
 
 
 def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,69 +207,117 @@ def need(size: int, t: float) -> int:
     return max(1, math.ceil(t * size - 1e-9))
 
 
-class _Node:
-    __slots__ = ("kids", "ends", "rest", "least")
+class Tree:
+    """Prefix tree of sets in global token order.
 
-    def __init__(self):
-        self.kids: dict[tuple[int, int], tuple[int, _Node]] = {}
-        self.ends: list[int] = []
-        self.rest = 0  # the largest weight below this node
-        self.least = 1 << 62  # the smallest set size at or below it
-
-
-def tree_join(sets: list[tuple[int, int, int, list[tuple[int, int, int]]]], t: float) -> Iterator[tuple[int, int, int, int, int]]:
-    """Pairs of one token's group: (sid, sid, overlap, size, size).
+    Sets are numbered in the tree's (lexicographic) order, so the sets below a
+    node are an interval, and a token that a query shares with a node adds to
+    the overlap of the whole interval at once.
+    """
 
-    ``sets``: (sid, size, index of the token, [(df, token, weight), ...] in global order).
+    def __init__(self, rank: np.ndarray, weight: np.ndarray, offs: np.ndarray):
+        n = len(offs) - 1
+        lists = [rank[s:e] for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        self.order = sorted(range(n), key=lambda i: (lists[i].astype(">i8").tobytes(), i))
+        token, begin, end = [], [], []
+        opened = np.zeros(int(np.diff(offs).max(initial=0)), np.int64)
+        made, depth = 0, 0
+        prev = np.zeros(0, np.int64)
+        closed: list[tuple[np.ndarray, int]] = []
+        for i, j in enumerate(self.order):
+            now = lists[j]
+            k = min(len(prev), len(now))
+            differ = np.flatnonzero(prev[:k] != now[:k])
+            same = int(differ[0]) if len(differ) else k
+            if depth > same:
+                closed.append((opened[same:depth].copy(), i))
+            fresh = len(now) - same
+            token.append(now[same:])
+            begin.append(np.full(fresh, i))
+            opened[same : len(now)] = np.arange(made, made + fresh)
+            made, depth, prev = made + fresh, len(now), now
+        closed.append((opened[:depth].copy(), n))
+        end = np.zeros(made, np.int64)
+        for nodes, i in closed:
+            end[nodes] = i
+        token = np.concatenate(token) if token else np.zeros(0, np.int64)
+        by = np.argsort(token, kind="stable")
+        self.begin = (np.concatenate(begin) if begin else np.zeros(0, np.int64))[by]
+        self.end = end[by]
+        self.first = np.searchsorted(token[by], np.arange(int(rank.max(initial=-1)) + 2))
+        self.n = n
+
+    def overlap(self, tokens: np.ndarray, weights: np.ndarray, upto: int) -> np.ndarray:
+        """Weight shared by the query tokens and each of the sets before number ``upto``."""
+        lo, size = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
+        at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
+        w = np.repeat(weights, size)
+        b, e = self.begin[at], self.end[at]
+        ok = b < upto
+        step = np.bincount(b[ok], weights=w[ok], minlength=upto + 1)[: upto + 1]
+        step -= np.bincount(np.minimum(e[ok], upto), weights=w[ok], minlength=upto + 1)
+        return np.cumsum(step[:upto])
+
+
+def tree_join(sid: np.ndarray, size: np.ndarray, rank: np.ndarray, weight: np.ndarray, offs: np.ndarray, t: float, own: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (sid, sid, overlap, size, size) of one block of sets; lists of tokens by ``offs``, ranks ascending.
+
+    A query walks its prefix first; subtrees that share nothing with it, or
+    whose overlap plus what can still be shared (the remainders of both lists)
+    misses what the sizes require, are left. Only then the rest of its list is
+    added. ``own``: report only pairs whose first shared token this is.
     """
-    root = _Node()
-    heads = [frozenset(k[1] for k in lst[:at]) for _, _, at, lst in sets]
+    tree = Tree(rank, weight, offs)
+    order = np.array(tree.order, np.int64)
+    total = np.add.reduceat(weight, offs[:-1]) if len(weight) else np.zeros(len(sid), np.int64)
+    sizes, totals = size[order], total[order]
     ratio = t / (1 + t)
-    for q, (sid, size, at, lst) in enumerate(sets):
-        base = lst[at][2]
-        tail = lst[at + 1 :]
-        keys = [(k[0], k[1]) for k in tail]
-        own = {k: x[2] for k, x in zip(keys, tail)}
-        after = [0] * (len(tail) + 1)  # weight of the query from position i on
-        for i in range(len(tail) - 1, -1, -1):
-            after[i] = after[i + 1] + tail[i][2]
-        stack = [(root, base, after[0])] if q else []
-        while stack:
-            node, got, left = stack.pop()
-            for e in node.ends:
-                s2 = sets[e][1]
-                if got + 1e-9 >= ratio * (size + s2) and heads[q].isdisjoint(heads[e]):
-                    yield sets[e][0], sid, got, s2, size
-            for key, (w, kid) in node.kids.items():
-                left2 = after[bisect_right(keys, key)] if left else 0
-                got2 = got + w if key in own else got
-                if got2 + min(left2, kid.rest) + 1e-9 >= ratio * (size + kid.least):
-                    stack.append((kid, got2, left2))
-        node = root
-        for i, (key, x) in enumerate(zip(keys, tail)):
-            node.rest = max(node.rest, after[i])
-            node.least = min(node.least, size)
-            nxt = node.kids.get(key)
-            if nxt is None:
-                nxt = node.kids[key] = (x[2], _Node())
-            node = nxt[1]
-        node.least = min(node.least, size)
-        node.ends.append(q)
+    for i, j in enumerate(order.tolist()):
+        if not i:
+            continue
+        s, e = int(offs[j]), int(offs[j + 1])
+        r, w = rank[s:e], weight[s:e]
+        rest = int(total[j]) - (np.cumsum(w) - w)  # weight from each token on
+        cut_at = int((rest >= need(int(size[j]), t)).sum())
+        after = int(rest[cut_at]) if cut_at < len(rest) else 0
+        got = tree.overlap(r[:cut_at], w[:cut_at], i)
+        least = ratio * (size[j] + sizes[:i]) - 1e-9
+        live = np.flatnonzero((got > 0) & (got + np.minimum(after, totals[:i] - got) >= least))
+        if len(live) and own is not None:
+            live = live[tree.overlap(r[r < own], w[r < own], i)[live] == 0]
+        if not len(live):
+            continue
+        both = got[live]
+        if after:
+            both = both + tree.overlap(r[cut_at:], w[cut_at:], i)[live]
+        hit = both >= least[live]
+        if hit.any():
+            k = order[live[hit]]
+            yield sid[k], np.full(len(k), sid[j]), both[hit].astype(np.int64), size[k], np.full(len(k), size[j])
 
 
 def _trees(t: float):
+    names = ["a", "b", "both", "size_a", "size_b"]
+
     def run(batches):
         for b in batches:
-            out: list[tuple] = []
-            for members in b.column(0):
-                sets = []
-                for m in members.as_py():
-                    keys = list(zip(m["dfs"], m["tokens"], m["weights"]))
-                    sets.append((m["sid"], m["size"], m["at"], keys))
-                sets.sort(key=lambda s: (s[3][s[2] :], s[0]))  # neighbours share paths
-                out.extend(tree_join(sets, t))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "both", "size_a", "size_b"])
+            for i in range(b.num_rows):
+                ms = b.column(0).slice(i, 1).flatten()
+                token = b.column(1)[i].as_py()
+                offs = ms.field("tokens").offsets.to_numpy().astype(np.int64)
+                # a slice's child arrays start where the row starts
+                lo = ms.offset
+                offs = offs[lo : lo + len(ms) + 1] if len(offs) > len(ms) + 1 else offs
+                df, tok, w = (ms.field(c).values.to_numpy()[offs[0] : offs[-1]] for c in ("dfs", "tokens", "weights"))
+                key = np.stack([df, tok], axis=1)
+                names_, rank = np.unique(key, axis=0, return_inverse=True)
+                own = None if token is None else int(np.flatnonzero(names_[:, 1] == token)[0])
+                sid, size = (ms.field(c).to_numpy()[-len(ms) :] for c in ("sid", "size"))
+                out = list(tree_join(sid, size, rank.ravel(), w, offs - offs[0], t, own))
+                if out:
+                    cols = [np.concatenate(c) for c in zip(*out)]
+                    for x in range(0, len(cols[0]), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 50_000], pa.int64()) for c in cols], names=names)
 
     return run
 
@@ -295,20 +346,35 @@ def gram_sets(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id"
     return able.groupBy(F.when(~whole, F.col("uid")).alias("odd"), "size", "list").agg(F.min("uid").alias("sid"), F.sort_array(F.collect_set("id")).alias("ids")).select("sid", "size", "ids", "list")
 
 
-def set_pairs(sets: DataFrame, t: float) -> DataFrame:
-    """``a, b`` (sids), ``both`` and the two sizes of every pair of sets with Jaccard >= t."""
-    spark = attach(sets.sparkSession)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """``a, b`` (sids), ``both`` and the two sizes of every pair of sets with Jaccard >= t.
+
+    Sets that share prefix tokens, directly or over others, form a block, and
+    every set is sent to its block once. A block of more than ``block_tokens``
+    list entries is worked token by token instead (each pair at the first token
+    it shares), at the price of a copy of a list for each prefix token.
+    """
+    attach(sets.sparkSession)
     shared = F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x["weight"])
     first = F.greatest(F.lit(1), F.ceil(F.col("size") * t - 1e-9))
-    # weight of the set from each token on, tokens in global order
-    flat = sets.select("sid", "size", F.col("list.df").alias("dfs"), F.col("list.token").alias("tokens"), F.col("list.weight").alias("weights"), shared.alias("shared"), first.alias("need"))
-    flat = flat.withColumn("before", F.transform("weights", lambda w, i: F.aggregate(F.slice("weights", 1, i), F.lit(0).cast("long"), lambda a, x: a + x)))
-    rows = flat.select("sid", "size", "dfs", "tokens", "weights", "shared", "need", "before", F.posexplode("tokens").alias("at", "token"))
-    rows = rows.where(F.col("shared") - F.element_at("before", F.col("at") + 1) >= F.col("need"))
-    member = F.struct("sid", "size", "at", "dfs", "tokens", "weights")
-    group = rows.select("token", member.alias("m")).repartition(parts, "token").groupBy("token").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
-    return group.select("ms").mapInArrow(_trees(t), "a long, b long, both long, size_a long, size_b long")
+    # running weight before each token, in one pass over the list
+    steps = F.aggregate("list", F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n")), lambda a, x: F.struct((a["w"] + x["weight"]).alias("w"), (a["n"] + F.when(F.col("shared") - a["w"] >= F.col("need"), 1).otherwise(0)).alias("n")))
+    flat = sets.withColumn("shared", shared).withColumn("need", first).withColumn("prefix", F.slice("list.token", F.lit(1), steps["n"]))
+    edges = spill_table(flat.select("sid", F.size("list").alias("n"), F.explode("prefix").alias("token")), "prefix")
+    hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    star = edges.join(hub, "token").select(F.col("hub").alias("u"), F.col("sid").alias("v")).where("u <> v").distinct()
+    blocks = components(star)
+    weigh = edges.select("sid", "n").distinct().join(blocks, edges["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"))
+    placed = cut(blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", (F.col("held") > block_tokens).alias("large")))
+    list_ = [F.col("list.df").alias("dfs"), F.col("list.token").alias("tokens"), F.col("list.weight").alias("weights")]
+    member = F.struct("sid", "size", "dfs", "tokens", "weights")
+    whole = flat.join(placed.where("not large"), "sid").select("root", "sid", "size", *list_).select("root", member.alias("m"))
+    rows = whole.groupBy("root").agg(F.collect_list("m").alias("ms")).select("ms", F.lit(None).cast("long").alias("token"))
+    if placed.where("large").limit(1).count():
+        big = flat.join(placed.where("large"), "sid").select("sid", "size", *list_, F.explode("prefix").alias("token")).select("token", member.alias("m"))
+        by_token = big.groupBy("token").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
+        rows = rows.unionByName(by_token.select("ms", "token"))
+    return rows.mapInArrow(_trees(t), "a long, b long, both long, size_a long, size_b long")
 
 
 def ngram_join(docs: DataFrame, t: float = 0.5, text: str = "text", key: str = "doc_id", n: int = 3) -> DataFrame:
@@ -333,13 +399,12 @@ def expand_pairs(rows: DataFrame) -> DataFrame:
     return a.select("doc_a", F.explode("doc_ids").alias("doc_b"), "jaccard").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """``id, root``: connected documents and the smallest id of their group.
+def components(star: DataFrame) -> DataFrame:
+    """``id, root`` of the connected nodes of the edges ``u, v``; the root is the smallest id.
 
-    Minimum-label rounds with pointer jumping over a star per row; every round
-    is checkpointed, and their number grows with the logarithm of the diameter.
+    Minimum-label rounds with pointer jumping; every round is checkpointed, and
+    their number grows with the logarithm of the diameter.
     """
-    star = rows.select(F.element_at("doc_ids", 1).alias("u"), F.explode("doc_ids").alias("v")).where("u <> v").distinct()
     edges = spill_table(star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     label = cut(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
@@ -350,3 +415,8 @@ def duplicate_groups(rows: DataFrame) -> DataFrame:
         label, moved = step.select("id", "root"), step.where("root <> old").limit(1).count()
         if not moved:
             return label
+
+
+def duplicate_groups(rows: DataFrame) -> DataFrame:
+    """``id, root``: connected documents of the rows of ``ngram_join`` and the smallest id of their group."""
+    return components(rows.select(F.element_at("doc_ids", 1).alias("u"), F.explode("doc_ids").alias("v")).where("u <> v").distinct())
