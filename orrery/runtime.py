@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -63,9 +64,16 @@ def spill_table(df: DataFrame, tag: str) -> DataFrame:
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
+    release(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable eager checkpoint (small tables in iterative algorithms)."""
     spark = df.sparkSession
