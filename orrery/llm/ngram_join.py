@@ -54,6 +54,8 @@ BLOCK_GRAMS = 4_000_000
 STEP_CHARS = 500_000
 #: List entries (three numbers each) of a block that one task holds at most.
 BLOCK_TOKENS = 1_500_000
+#: Placed sets (three numbers each) up to which they are broadcast to the lists.
+BROADCAST_SETS = 500_000
 
 
 def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,16 +151,19 @@ def _blocks(n: int, bits: int, id_type: pa.DataType):
     return run
 
 
-def _postings(id_type: pa.DataType):
+def _route(uid: np.ndarray, routes: int) -> np.ndarray:
+    return (K.mix(uid.astype(np.uint64)) % _U(routes)).astype(np.int64)
+
+
+def _postings(id_type: pa.DataType, routes: int):
     """Owner of hash ranges (rows sorted by range): tokens shared by two documents or more.
 
-    Emits (uid, token, df, weight) and passes (uid, id, size) rows on.
+    Emits packed (uid, token, df, weight) rows for each route, and passes
+    (uid, id, size) rows on to theirs.
     """
-    names = ["uid", "token", "df", "weight", "id"]
+    names = ["route", "uid", "id", "size", "payload"]
 
-    def settle(grams: list[np.ndarray], uids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if not grams:
-            return
+    def settle(grams: list[np.ndarray], uids: list[np.ndarray]) -> tuple[np.ndarray, ...] | None:
         g, u = np.concatenate(grams), np.concatenate(uids)
         order = np.argsort(g, kind="stable")
         g, u = g[order], u[order]
@@ -166,7 +171,7 @@ def _postings(id_type: pa.DataType):
         size = np.diff(np.append(beg, len(g)))
         many = size > 1
         if not many.any():
-            return
+            return None
         inside = np.repeat(many, size)
         u, size = u[inside], size[many]
         beg = np.cumsum(size) - size
@@ -179,29 +184,106 @@ def _postings(id_type: pa.DataType):
         new = np.ones(len(u), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (u[1:] != u[:-1])
         at = np.flatnonzero(new)
-        w = np.diff(np.append(at, len(u)))
-        yield pa.RecordBatch.from_arrays([pa.array(u[at], pa.int64()), pa.array(tok[at].view(np.int64), pa.int64()), pa.array(df[at], pa.int64()), pa.array(w, pa.int64()), pa.nulls(len(at), id_type)], names=names)
+        return u[at], tok[at], df[at], np.diff(np.append(at, len(u)))
+
+    def ship(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        u, tok, df, w = (np.concatenate(x) for x in zip(*held))
+        r = _route(u, routes)
+        o = np.lexsort((u, tok, r))  # a token's rows stand together: differences of nought
+        u, tok, df, w, r = u[o], tok[o], df[o], w[o], r[o]
+        beg = K.groups(r)
+        for lo, hi in zip(beg.tolist(), np.append(beg[1:], len(r)).tolist()):
+            blob = _pack(*_planes8(u[lo:hi].astype(np.uint64)), *_planes8(np.diff(tok[lo:hi], prepend=_U(0))), *_planes(df[lo:hi]), *_planes(w[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array([int(r[lo])], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=names)
 
     def run(batches):
-        now, grams, uids = None, [], []
+        now, grams, uids, held, n = None, [], [], [], 0
         for b in batches:
             size_rows = b.filter(pa.compute.is_null(b.column(2)))
             if size_rows.num_rows:
-                k = size_rows.num_rows
-                yield pa.RecordBatch.from_arrays([size_rows.column(1), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), size_rows.column(4), size_rows.column(3)], names=names)
+                uid = size_rows.column(1)
+                yield pa.RecordBatch.from_arrays([pa.array(_route(uid.to_numpy(), routes)), uid, size_rows.column(3), size_rows.column(4), pa.nulls(len(uid), pa.binary())], names=names)
             b = b.filter(pa.compute.is_valid(b.column(2)))
             for rng, base, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if rng != now:
-                    yield from settle(grams, uids)
+                    if grams and (got := settle(grams, uids)):
+                        held.append(got)
+                        n += len(got[0])
                     now, grams, uids = rng, [], []
+                    if n >= BLOCK_GRAMS:
+                        yield from ship(held)
+                        held, n = [], 0
                 p = _unpack(blob.as_py())
                 grams.append(np.cumsum(_unplanes8(p[:8]), dtype=np.uint64))
                 uids.append(_unplanes(p[8:]).astype(np.int64) + base)
-        yield from settle(grams, uids)
+        if grams and (got := settle(grams, uids)):
+            held.append(got)
+        if held:
+            yield from ship(held)
 
     return run
 
 
+def _lists(t: float):
+    """Owner of documents (rows sorted by route): the token lists of sets that may have a partner."""
+
+    def settle(known: list[pa.RecordBatch], packed: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if not packed or not known:
+            return
+        meta = pa.Table.from_batches(known)
+        ids = meta.column("uid").to_numpy()
+        o = np.argsort(ids)
+        uid, size = ids[o], meta.column("size").to_numpy()[o]
+        u, tok, df, w = (np.concatenate(x) for x in zip(*packed))
+        o2 = np.lexsort((tok, df, u))
+        u, tok, df, w = u[o2], tok[o2], df[o2], w[o2]
+        # one posting may come from several hash ranges
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (tok[1:] != tok[:-1]) | (df[1:] != df[:-1])
+        at = np.flatnonzero(new)
+        u, tok, df, w = u[at], tok[at], df[at], np.add.reduceat(w.astype(np.int64), at)
+        beg = K.groups(u)
+        shared = np.add.reduceat(w, beg)
+        row = np.searchsorted(uid, u[beg])
+        n = np.diff(np.append(beg, len(u)))
+        able = shared >= np.maximum(1, np.ceil(t * size[row] - 1e-9))
+        if not able.any():
+            return
+        inside = np.repeat(able, n)
+        u, tok, df, w, row, shared, n = u[inside], tok[inside], df[inside], w[inside], row[able], shared[able], n[able]
+        rest = np.repeat(shared, n) - (np.cumsum(w) - w - np.repeat(np.cumsum(shared) - shared, n))
+        prefix = np.add.reduceat((rest >= np.repeat(np.maximum(1, np.ceil(t * size[row] - 1e-9)), n)).astype(np.int32), np.cumsum(n) - n)
+        offs = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+
+        def arr(a):
+            return pa.ListArray.from_arrays(offs, pa.array(a.astype(np.int64, copy=False) if a.dtype != np.uint64 else a.view(np.int64)))
+
+        took = meta.column("id").combine_chunks().take(pa.array(o[row]))
+        yield pa.RecordBatch.from_arrays([pa.array(uid[row]), took, pa.array(size[row]), pa.array(shared), pa.array(prefix), arr(df), arr(tok), arr(w)], schema=schema)
+
+    def bind(schema: pa.Schema):
+        def run(batches):
+            now, known, packed = None, [], []
+            for b in batches:
+                route = b.column(0).to_numpy()
+                beg = K.groups(route)
+                for lo, hi in zip(beg.tolist(), np.append(beg[1:], len(route)).tolist()):
+                    if route[lo] != now:
+                        yield from settle(known, packed, schema)
+                        now, known, packed = route[lo], [], []
+                    part = b.slice(lo, hi - lo)
+                    flag = pa.compute.is_null(part.column(4))
+                    known.append(part.filter(flag).select(["uid", "id", "size"]))
+                    for blob in part.filter(pa.compute.invert(flag)).column(4):
+                        p = _unpack(blob.as_py())
+                        packed.append((_unplanes8(p[:8]).astype(np.int64), np.cumsum(_unplanes8(p[8:16]), dtype=np.uint64), _unplanes(p[16:20]).astype(np.int64), _unplanes(p[20:24])))
+            yield from settle(known, packed, schema)
+
+        return run
+
+    return bind
+
+
 def need(size: int, t: float) -> int:
     """Overlap that any partner of a set of this size must have."""
     return max(1, math.ceil(t * size - 1e-9))
@@ -323,7 +405,7 @@ def _trees(t: float):
 
 
 def gram_sets(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id", n: int = 3) -> DataFrame:
-    """Sets that may have a partner: ``sid, size, ids, list`` (list: tokens in global order), equal sets merged."""
+    """Sets that may have a partner: ``sid, size, shared, prefix, ids, dfs, tokens, weights`` (tokens in global order), equal sets merged."""
     spark = attach(docs.sparkSession)
     src = docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -331,19 +413,17 @@ def gram_sets(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id"
     kind = src.schema["id"].dataType
     id_type = _arrow_schema(T.StructType([src.schema["id"]])).field(0).type
     wire = T.StructType([T.StructField("range", T.LongType()), T.StructField("base", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("id", kind), T.StructField("size", T.LongType())])
-    post = T.StructType([T.StructField("uid", T.LongType()), T.StructField("token", T.LongType()), T.StructField("df", T.LongType()), T.StructField("weight", T.LongType()), T.StructField("id", kind)])
-    shared = src.mapInArrow(_blocks(n, bits, id_type), wire).repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_postings(id_type), post)
-    per = shared.repartition(parts, "uid").groupBy("uid", "df", "token").agg(F.sum("weight").alias("weight"), F.max("id").alias("id"))
-    named = F.col("token").isNotNull()
-    lists = per.groupBy("uid").agg(
-        F.max("id").alias("id"),
-        F.max(F.when(~named, F.col("weight"))).alias("size"),
-        F.sum(F.when(named, F.col("weight"))).alias("shared"),
-        F.sort_array(F.collect_list(F.when(named, F.struct("df", "token", "weight")))).alias("list"),
-    )
-    able = lists.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.col("size") * t - 1e-9)))
-    whole = F.col("shared") == F.col("size")
-    return able.groupBy(F.when(~whole, F.col("uid")).alias("odd"), "size", "list").agg(F.min("uid").alias("sid"), F.sort_array(F.collect_set("id")).alias("ids")).select("sid", "size", "ids", "list")
+    post = T.StructType([T.StructField("route", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
+    longs = T.ArrayType(T.LongType())
+    out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, longs) for c in ("dfs", "tokens", "weights")]])
+    shared = src.mapInArrow(_blocks(n, bits, id_type), wire).repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_postings(id_type, 4 * parts), post)
+    lists = shared.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_lists(t)(_arrow_schema(out)), out)
+    # only sets without n-grams of their own can be equal to others
+    lists = spill_table(lists, "lists")
+    equal = lists.where("shared = size").groupBy("size", "shared", "prefix", "dfs", "tokens", "weights").agg(F.min("sid").alias("sid"), F.sort_array(F.collect_set("id")).alias("ids"))
+    odd = lists.where("shared < size").withColumn("ids", F.array("id"))
+    cols = ["sid", "size", "shared", "prefix", "ids", "dfs", "tokens", "weights"]
+    return odd.select(*cols).unionByName(equal.select(*cols))
 
 
 def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -355,23 +435,19 @@ def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> Da
     it shares), at the price of a copy of a list for each prefix token.
     """
     attach(sets.sparkSession)
-    shared = F.aggregate("list", F.lit(0).cast("long"), lambda a, x: a + x["weight"])
-    first = F.greatest(F.lit(1), F.ceil(F.col("size") * t - 1e-9))
-    # running weight before each token, in one pass over the list
-    steps = F.aggregate("list", F.struct(F.lit(0).cast("long").alias("w"), F.lit(0).alias("n")), lambda a, x: F.struct((a["w"] + x["weight"]).alias("w"), (a["n"] + F.when(F.col("shared") - a["w"] >= F.col("need"), 1).otherwise(0)).alias("n")))
-    flat = sets.withColumn("shared", shared).withColumn("need", first).withColumn("prefix", F.slice("list.token", F.lit(1), steps["n"]))
-    edges = spill_table(flat.select("sid", F.size("list").alias("n"), F.explode("prefix").alias("token")), "prefix")
+    edges = spill_table(sets.select("sid", F.size("tokens").alias("n"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefix")
     hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     star = edges.join(hub, "token").select(F.col("hub").alias("u"), F.col("sid").alias("v")).where("u <> v").distinct()
     blocks = components(star)
     weigh = edges.select("sid", "n").distinct().join(blocks, edges["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"))
     placed = cut(blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", (F.col("held") > block_tokens).alias("large")))
-    list_ = [F.col("list.df").alias("dfs"), F.col("list.token").alias("tokens"), F.col("list.weight").alias("weights")]
+    if placed.count() <= BROADCAST_SETS:
+        placed = F.broadcast(placed)
     member = F.struct("sid", "size", "dfs", "tokens", "weights")
-    whole = flat.join(placed.where("not large"), "sid").select("root", "sid", "size", *list_).select("root", member.alias("m"))
+    whole = sets.join(placed.where("not large"), "sid").select("root", member.alias("m"))
     rows = whole.groupBy("root").agg(F.collect_list("m").alias("ms")).select("ms", F.lit(None).cast("long").alias("token"))
     if placed.where("large").limit(1).count():
-        big = flat.join(placed.where("large"), "sid").select("sid", "size", *list_, F.explode("prefix").alias("token")).select("token", member.alias("m"))
+        big = sets.join(placed.where("large"), "sid").select(member.alias("m"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
         by_token = big.groupBy("token").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
         rows = rows.unionByName(by_token.select("ms", "token"))
     return rows.mapInArrow(_trees(t), "a long, b long, both long, size_a long, size_b long")
