@@ -16,7 +16,7 @@
    that bear it, leaves subtrees whose overlap plus the weight that can still be
    shared (remaining lengths of both lists) misses what the sizes require, and
    adds the rest of its list for those that are left. Blocks beyond a bound are
-   worked token by token, each pair at the first token it shares.
+   cut up; see ``set_pairs``.
 
 The result is exact for 64-bit n-gram hashes; nothing is capped or sampled.
 
@@ -53,7 +53,9 @@ _U = np.uint64
 BLOCK_GRAMS = 4_000_000
 STEP_CHARS = 500_000
 #: List entries (three numbers each) of a block that one task holds at most.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 3_000_000
+#: Chunks of a block, each of which is copied to all others, before it goes by tokens.
+MAX_CHUNKS = 32
 #: Placed sets (three numbers each) up to which they are broadcast to the lists.
 BROADCAST_SETS = 500_000
 
@@ -256,7 +258,7 @@ def _lists(t: float):
         offs = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
 
         def arr(a):
-            return pa.ListArray.from_arrays(offs, pa.array(a.astype(np.int64, copy=False) if a.dtype != np.uint64 else a.view(np.int64)))
+            return pa.ListArray.from_arrays(offs, pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int32)))
 
         took = meta.column("id").combine_chunks().take(pa.array(o[row]))
         yield pa.RecordBatch.from_arrays([pa.array(uid[row]), took, pa.array(size[row]), pa.array(shared), pa.array(prefix), arr(df), arr(tok), arr(w)], schema=schema)
@@ -379,27 +381,48 @@ def tree_join(sid: np.ndarray, size: np.ndarray, rank: np.ndarray, weight: np.nd
 
 
 def _trees(t: float):
+    """Blocks as runs of rows ``root, lo, hi, token, chunk, sid, size, dfs, tokens, weights``."""
     names = ["a", "b", "both", "size_a", "size_b"]
 
+    def join(parts: list[pa.RecordBatch], key: tuple) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        if len(rows) < 2:
+            return
+        n = pa.compute.list_value_length(rows["tokens"]).to_numpy()
+        offs = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        df, tok, w = (pa.compute.list_flatten(rows[c]).to_numpy() for c in ("dfs", "tokens", "weights"))
+        order = np.lexsort((tok, df))
+        new = np.ones(len(order), bool)
+        new[1:] = (tok[order][1:] != tok[order][:-1]) | (df[order][1:] != df[order][:-1])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        own = int(rank[np.flatnonzero(tok == key[3])[0]]) if key[3] is not None else None
+        sid, size, chunk = (rows[c].to_numpy() for c in ("sid", "size", "chunk"))
+        out = list(tree_join(sid, size, rank, w.astype(np.int64), offs, t, own))
+        if out:
+            cols = [np.concatenate(c) for c in zip(*out)]
+            if key[1] != key[2]:  # pairs inside a chunk are reported by the chunk's own block
+                at = np.argsort(sid)
+                of = [chunk[at[np.searchsorted(sid, c, sorter=at)]] for c in cols[:2]]
+                cols = [c[of[0] != of[1]] for c in cols]
+            for x in range(0, len(cols[0]), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 50_000], pa.int64()) for c in cols], names=names)
+
     def run(batches):
+        now, parts = None, []
         for b in batches:
-            for i in range(b.num_rows):
-                ms = b.column(0).slice(i, 1).flatten()
-                token = b.column(1)[i].as_py()
-                offs = ms.field("tokens").offsets.to_numpy().astype(np.int64)
-                # a slice's child arrays start where the row starts
-                lo = ms.offset
-                offs = offs[lo : lo + len(ms) + 1] if len(offs) > len(ms) + 1 else offs
-                df, tok, w = (ms.field(c).values.to_numpy()[offs[0] : offs[-1]] for c in ("dfs", "tokens", "weights"))
-                key = np.stack([df, tok], axis=1)
-                names_, rank = np.unique(key, axis=0, return_inverse=True)
-                own = None if token is None else int(np.flatnonzero(names_[:, 1] == token)[0])
-                sid, size = (ms.field(c).to_numpy()[-len(ms) :] for c in ("sid", "size"))
-                out = list(tree_join(sid, size, rank.ravel(), w, offs - offs[0], t, own))
-                if out:
-                    cols = [np.concatenate(c) for c in zip(*out)]
-                    for x in range(0, len(cols[0]), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 50_000], pa.int64()) for c in cols], names=names)
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            lo = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[lo]:
+                    if keys[lo] != now and parts:
+                        yield from join(parts, now)
+                        parts = []
+                    now = keys[lo]
+                    parts.append(b.slice(lo, i - lo))
+                    lo = i
+        if parts:
+            yield from join(parts, now)
 
     return run
 
@@ -414,8 +437,8 @@ def gram_sets(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id"
     id_type = _arrow_schema(T.StructType([src.schema["id"]])).field(0).type
     wire = T.StructType([T.StructField("range", T.LongType()), T.StructField("base", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("id", kind), T.StructField("size", T.LongType())])
     post = T.StructType([T.StructField("route", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
-    longs = T.ArrayType(T.LongType())
-    out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, longs) for c in ("dfs", "tokens", "weights")]])
+    kinds = {"dfs": T.IntegerType(), "tokens": T.LongType(), "weights": T.IntegerType()}
+    out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, T.ArrayType(k)) for c, k in kinds.items()]])
     shared = src.mapInArrow(_blocks(n, bits, id_type), wire).repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_postings(id_type, 4 * parts), post)
     lists = shared.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_lists(t)(_arrow_schema(out)), out)
     # only sets without n-grams of their own can be equal to others
@@ -431,25 +454,28 @@ def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> Da
 
     Sets that share prefix tokens, directly or over others, form a block, and
     every set is sent to its block once. A block of more than ``block_tokens``
-    list entries is worked token by token instead (each pair at the first token
-    it shares), at the price of a copy of a list for each prefix token.
+    list entries is cut into chunks of half that, and each two chunks meet in a
+    block of their own. Beyond ``MAX_CHUNKS`` it is worked token by token (each
+    pair at the first token it shares), a copy of a list for each prefix token.
     """
-    attach(sets.sparkSession)
+    spark = attach(sets.sparkSession)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = spill_table(sets.select("sid", F.size("tokens").alias("n"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefix")
     hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
     star = edges.join(hub, "token").select(F.col("hub").alias("u"), F.col("sid").alias("v")).where("u <> v").distinct()
     blocks = components(star)
     weigh = edges.select("sid", "n").distinct().join(blocks, edges["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"))
-    placed = cut(blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", (F.col("held") > block_tokens).alias("large")))
+    # chunks of half a block, so that two of them make one
+    chunks = F.when(F.col("held") <= block_tokens, 1).otherwise(F.ceil(2 * F.col("held") / block_tokens)).cast("int")
+    placed = cut(blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", chunks.alias("m")))
     if placed.count() <= BROADCAST_SETS:
         placed = F.broadcast(placed)
-    member = F.struct("sid", "size", "dfs", "tokens", "weights")
-    whole = sets.join(placed.where("not large"), "sid").select("root", member.alias("m"))
-    rows = whole.groupBy("root").agg(F.collect_list("m").alias("ms")).select("ms", F.lit(None).cast("long").alias("token"))
-    if placed.where("large").limit(1).count():
-        big = sets.join(placed.where("large"), "sid").select(member.alias("m"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"))
-        by_token = big.groupBy("token").agg(F.collect_list("m").alias("ms")).where(F.size("ms") > 1)
-        rows = rows.unionByName(by_token.select("ms", "token"))
+    body = ["sid", "size", "dfs", "tokens", "weights"]
+    at = sets.join(placed, "sid").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("chunk", j).alias("lo"), F.greatest("chunk", j).alias("hi")))
+    whole = at.where(F.col("m") <= MAX_CHUNKS).select("root", F.inline(others), F.lit(None).cast("long").alias("token"), "chunk", *body)
+    single = at.where(F.col("m") > MAX_CHUNKS).select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"), "chunk", *body)
+    rows = whole.unionByName(single).repartition(parts, "root", "lo", "hi", "token").sortWithinPartitions("root", "lo", "hi", "token")
     return rows.mapInArrow(_trees(t), "a long, b long, both long, size_a long, size_b long")
 
 
