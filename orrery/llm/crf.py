@@ -132,7 +132,7 @@ class Model:
 def indicators(ls: Lines, cuts: np.ndarray) -> np.ndarray:
     """Steps reached by the measures of a line and of its neighbours, their presence, and a constant."""
     n, m = ls.x.shape
-    own = (ls.x[:, :, None] > cuts[None]).reshape(n, -1).astype(np.float32)
+    own = (ls.x[:, :, None] > cuts[None]).reshape(n, m * cuts.shape[1]).astype(np.float32)
     out = np.zeros((n, 3 * own.shape[1] + 3), np.float32)
     k = own.shape[1]
     out[:, :k] = own
