@@ -36,7 +36,7 @@ from orrery.llm import vocab
 from orrery.runtime import attach
 
 #: Characters whose distinct words form one dictionary, and characters handled at a time.
-BLOCK_CHARS = 10_000_000
+BLOCK_CHARS = 6_000_000
 STEP_CHARS = 500_000
 _WIRE = "route long, block long, kind int, seq long, payload binary"
 _WIRE_PA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int64()), ("payload", pa.binary())])

@@ -50,7 +50,7 @@ from orrery.llm.bpe import _arrow_schema, _pack, _unpack, _unplanes, _planes
 from orrery.runtime import attach, cut, spill_table
 
 _U = np.uint64
-BLOCK_GRAMS = 4_000_000
+BLOCK_GRAMS = 1_500_000
 STEP_CHARS = 500_000
 #: List entries (three numbers each) of a block that one task holds at most.
 BLOCK_TOKENS = 3_000_000
