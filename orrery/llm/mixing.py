@@ -9,8 +9,13 @@ number.
 
 Targets are token shares: ``share ** power`` normalised, with a power for each
 marginal (1 keeps the natural share, 0 makes values equal), or explicit weights.
-Probabilities are the raked weights over the natural ones, scaled so that the
-largest is 1: the largest sample with exactly this mix.
+Probabilities are the raked weights over the natural ones (rates), scaled so
+that the largest of the bulk is 1 and clipped there: the largest sample with
+this mix on the bulk. Outside the bulk are the cells of the highest rates, as
+long as they need more than ``SPARE`` times what there is and make up at most
+``1 - BULK`` of the raked weight together; they are kept whole. So scarce cells
+never set the size of the sample. Explicit targets are met exactly (all cells
+are bulk) unless ``bulk`` is given.
 
 Topic: by content, the first that holds: ``table`` (cells split by " | "),
 ``legal`` (license or rights notices), ``contact`` (an at sign), ``prose``.
@@ -31,6 +36,9 @@ from orrery.runtime import cut
 BROADCAST_CELLS = 100_000
 POWERS = {"source": 0.8, "lang": 0.9, "topic": 1.0}
 SWEEPS = 8
+#: Share of the raked weight that has exactly the mix, and the rate up to which a cell is in it in any case.
+BULK = 0.95
+SPARE = 1.5
 
 
 def token_weight(text: Column) -> Column:
@@ -72,7 +80,7 @@ def rake(cells: DataFrame, dims: list[str], powers: dict[str, float], sweeps: in
     return c.select(*dims, "__tokens", "__w")
 
 
-def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, seed: str = "mix", extra: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", lang: str = "lang", powers: dict[str, float] | None = None, targets: dict[str, dict[str, float]] | None = None, sweeps: int = SWEEPS, seed: str = "mix", extra: bool = True, bulk: float | None = None) -> DataFrame:
     """The sampled documents; ``extra`` adds ``topic, n_tokens, probability``."""
     if extra and {"topic", "n_tokens", "probability"} & set(docs.columns):
         raise ValueError("topic, n_tokens and probability are already columns")
@@ -84,8 +92,14 @@ def mix_sources(docs: DataFrame, text: str = "text", key: str = "doc_id", source
     cells = facts.where("__tokens > 0").groupBy(*named.values()).agg(F.sum("__tokens").alias("__tokens"))
     cells = cells.select(*[F.col(v).alias(k) for k, v in named.items()], "__tokens")
     raked = rake(cells, dims, powers, sweeps, targets)
-    rate = F.col("__w") / F.col("__tokens")
-    rates = cut(raked.select(*[F.col(k).alias(v) for k, v in named.items()], (rate / F.max(rate).over(Window.partitionBy())).alias("__p")))
+    bulk = bulk if bulk is not None else 1.0 if targets else BULK
+    everything = Window.partitionBy()
+    rates = raked.select(*[F.col(k).alias(v) for k, v in named.items()], "__w", (F.col("__w") / F.col("__tokens")).alias("__r"))
+    # scarce: with all cells of its rate and above at most 1 - bulk of the weight
+    scarce = (F.col("__r") > SPARE) & (F.sum("__w").over(everything.orderBy(F.desc("__r"))) <= (1 - bulk) * F.sum("__w").over(everything))
+    rates = rates.withColumn("__scarce", scarce)
+    top = F.max(F.when(~F.col("__scarce"), F.col("__r"))).over(everything)
+    rates = cut(rates.select(*named.values(), F.least(F.lit(1.0), F.col("__r") / top).alias("__p")))
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)
     src = docs.select("*", *[at[d].alias(named[d]) for d in dims], token_weight(docs[text]).alias("__tokens")).where("__tokens > 0")

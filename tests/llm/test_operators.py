@@ -178,3 +178,17 @@ def test_pipeline(spark):
     text = {r["doc_id"]: r["text"] for r in stages["mixing"].collect()}
     assert {r["doc_id"]: r["decoded"] for r in docs.collect()} == text
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").collect()} == {tuple(r) for r in docs.select("doc_id", "n_tokens").collect()}
+
+
+def test_mixing_with_a_scarce_source(spark):
+    rows = [(i, "w " * 50, "en", "a" if i % 2 else "b") for i in range(1000)]
+    schema = "doc_id long, text string, lang string, source string"
+    base = {r["doc_id"]: r["probability"] for r in mixing.mix_sources(spark.createDataFrame(rows, schema)).collect()}
+    assert len(base) == 1000
+    for lang in ("en", None):
+        got = {r["doc_id"]: r["probability"] for r in mixing.mix_sources(spark.createDataFrame([*rows, (5000, "one small document", lang, None)], schema)).collect()}
+        assert got[5000] == 1 and len(got) == 1001 and min(got.values()) > 0.99
+    # explicit targets stay exact, however scarce a source is
+    few = spark.createDataFrame([(i, "w " * 10, "en", "a" if i < 9900 else "b") for i in range(10_000)], schema)
+    out = {r["source"]: r["n"] for r in mixing.mix_sources(few, targets={"source": {"a": 0.96, "b": 0.04}}).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert out["b"] == 100 and 2100 < out["a"] < 2700
