@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many documents of their source share."""
     attach(spark)
-    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), ratio=0.05, min_pages=5)
+    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), ratio=0.05, min_pages=2)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

@@ -9,7 +9,8 @@ filtered in place, and texts are never exploded into a shuffle.
 A line is compared without surrounding blanks; blank lines are kept and not
 counted; a line that stands twice on a page counts once. A line is boilerplate
 where (pages of the host with it) / (pages of the host) > ``ratio`` and it is
-on ``min_pages`` pages at least.
+on ``min_pages`` pages at least (2, the least that is a repetition: otherwise
+the only page of a host would lose all its lines).
 
 Rows, defined results: null text stays null (and counts as a page); a null or
 empty host is no site and its pages stay as they are; repeated rows are pages
@@ -57,7 +58,7 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_
     return hot.groupBy("__site").agg(F.collect_list("__h").alias("__bad"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = 0.05, min_pages: int = 5, dropped: str | None = None) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text: str = "text", ratio: float = 0.05, min_pages: int = 2, dropped: str | None = None) -> DataFrame:
     """All columns with boilerplate lines taken out of ``text``; ``dropped`` names a column for their number."""
     if dropped in pages.columns:
         raise ValueError(f"{dropped} is already a column")

@@ -192,3 +192,12 @@ def test_mixing_with_a_scarce_source(spark):
     few = spark.createDataFrame([(i, "w " * 10, "en", "a" if i < 9900 else "b") for i in range(10_000)], schema)
     out = {r["source"]: r["n"] for r in mixing.mix_sources(few, targets={"source": {"a": 0.96, "b": 0.04}}).groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert out["b"] == 100 and 2100 < out["a"] < 2700
+
+
+def test_lines_of_small_hosts(spark):
+    import corpus_pipeline
+
+    rows = [(10 * n + i, f"page {n} {i}\nfooter {n}\n \nend", "en", f"h{n}", 0) for n in (1, 2, 3, 4) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for out in (line_dedup.drop_boilerplate(df, F.col("source")), corpus_pipeline.line_frequency(spark, df, SF)):
+        assert {i: r["text"] for i, r in byid(out).items()} == {r[0]: r[1] if r[3] == "h1" else r[1].split("\n")[0] + "\n " for r in rows}
