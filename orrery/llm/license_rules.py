@@ -241,7 +241,7 @@ RULES = r"""
 60 | SSPL-1.0 | server,side | \bServer Side Public License,? ?(?:v|version )?1
 60 | ODbL-1.0 | open,database | \bOpen Database License(?:,? ?\(?ODbL\)?)?,? ?(?:v|version )?1\.0
 60 | MulanPSL-2.0 | mulan | \bMulan PSL ?v2
-60 | OpenRAIL | openrail | \b(?:Creative ?ML ?|BigScience ?|Big ?Code ?)?Open ?RAIL(?:-[MDS+]+)?\b
+60 | OpenRAIL | open,rail | \b(?:Creative ?ML ?|BigScience ?|Big ?Code ?)?Open ?RAIL(?:-[MDS+]+)?\b
 60 | LLaMA-community | llama,community | \bLlama (?:[23](?:\.\d)? )?Community License(?: Agreement)?
 50 | GPL-2.0-only | gpl | \bGPL(?: ?|-)?(?:v|version )?2(?:\.0)?(?:-only)?(?![-.+\d]*[+\d])
 50 | GPL-2.0-or-later | gpl | \bGPL(?: ?|-)?(?:v|version )?2(?:\.0)?(?:\+|-or-later)
@@ -279,7 +279,7 @@ RULES = r"""
 50 | Beerware | beer-ware | \bBEER-WARE LICENSE\b
 40 | Apache | apache,license | \bApache(?: Software)? License\b
 40 | GPL | gnu,general | \bGNU General Public License\b
-40 | LGPL | gnu,lesser | \bGNU (?:Lesser|Library) General Public License\b
+40 | LGPL | gnu,general,public | \bGNU (?:Lesser|Library) General Public License\b
 40 | AGPL | affero | \b(?:GNU )?Affero General Public License\b
 40 | GFDL | gnu,documentation | \bGNU Free Documentation License\b
 40 | MPL | mozilla | \bMozilla Public License\b

@@ -201,3 +201,40 @@ def test_lines_of_small_hosts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for out in (line_dedup.drop_boilerplate(df, F.col("source")), corpus_pipeline.line_frequency(spark, df, SF)):
         assert {i: r["text"] for i, r in byid(out).items()} == {r[0]: r[1] if r[3] == "h1" else r[1].split("\n")[0] + "\n " for r in rows}
+
+
+def example(tree, r):
+    """A text of a parsed regex: each repeat by its least number or one more, any branch, any sign of a set."""
+    from re import _constants as C
+
+    out = ""
+    for op, v in tree:
+        if op is C.LITERAL:
+            out += chr(v)
+        elif op in (C.ANY, C.NOT_LITERAL):
+            out += "x"
+        elif op is C.IN:
+            kind, x = r.choice(v)
+            signs = {C.CATEGORY_SPACE: " \n", C.CATEGORY_DIGIT: "27", C.CATEGORY_WORD: "w"}
+            out += "x" if v[0][0] is C.NEGATE else chr(x) if kind is C.LITERAL else chr(r.randint(*x)) if kind is C.RANGE else r.choice(signs[x])
+        elif op is C.BRANCH:
+            out += example(r.choice(v[1]), r)
+        elif op is C.SUBPATTERN:
+            out += example(v[3], r)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            out += "".join(example(v[2], r) for _ in range(r.randint(v[0], min(v[1], v[0] + 1))))
+        elif op is C.ASSERT:
+            out += example(v[1], r)
+    return out
+
+
+def test_license_gates_lose_nothing():
+    from re import _parser
+
+    sc, r = licenses.scanner(), random.Random(4)
+    for rule in sc.rules:
+        tree = _parser.parse(rule.regex.pattern, rule.regex.flags)
+        texts = [t for t in (example(tree, r) for _ in range(200)) if rule.regex.search(t)]
+        assert texts and {t for t in texts if rule.number not in sc.candidates(t)} == set(), rule
+    for t in ("CreativeML Open RAIL-M", "creative ml open\nrail", "BigScience OpenRAIL-M"):
+        assert [(sc.rules[n].license, s, e) for n, s, e in sc.scan(t)] == [("OpenRAIL", 0, len(t))]
