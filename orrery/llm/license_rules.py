@@ -5,6 +5,10 @@ and commented notices match. Every match contains all the keywords (lower
 case); texts without them never reach the regex. Priorities: 90 tags, 80 grant
 sentences, 70 addresses, 60 names with versions, 50 short names, 40 families
 without a version, 20 general notices.
+
+Copyright notices have two rules each: the last two run on to the end of the
+line or to the next notice in it; the ones of 80 signs hold where a license in
+the rest of the line overlaps the long match.
 """
 
 RULES = r"""
@@ -80,7 +84,7 @@ RULES = r"""
 80 | Apache-2.0 | distributed,basis,warranties,conditions | distributed on an "?AS IS"? BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND
 80 | Apache-1.1 | apache,foundation,includes | This product includes software developed by the Apache Software Foundation
 80 | BSD-2-Clause | redistribution,source,binary,permitted | Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
-80 | BSD-3-Clause | neither,contributors,endorse | Neither the names? of .{1,120}? nor the names of (?:its|their|any) contributors may be used to endorse or promote
+80 | BSD-3-Clause | neither,contributors,endorse | Neither the names? of (?:(?!Neither the names? of).)+? nor the names of (?:its|their|any) contributors may be used to endorse or promote
 80 | BSD-4-Clause | advertising,materials | All advertising materials mentioning features or use of this software must display the following acknowledge?ment
 80 | BSD-2-Clause | under,bsd | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:2-clause|simplified|FreeBSD) BSD(?: License)?
 80 | BSD-3-Clause | under,bsd | (?:licensed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?(?:3-clause|new|modified|revised) BSD(?: License)?
@@ -160,8 +164,8 @@ RULES = r"""
 80 | GFDL-1.2 | gnu,documentation | under the terms of the GNU Free Documentation License,? Version 1\.2
 80 | ODbL-1.0 | open,database,license | made available under the Open Database License
 80 | proprietary | confidential,proprietary | (?:proprietary and confidential|confidential and proprietary)
-80 | proprietary | unauthorized,prohibited | Unauthorized (?:copying|use|reproduction|distribution)[^.]{0,120}? is (?:strictly )?prohibited
-80 | proprietary | reproduced,permission,written | may (?:not )?be reproduced[^.]{0,160}?without (?:the )?(?:prior )?(?:express )?written permission
+80 | proprietary | unauthorized,prohibited | Unauthorized (?:copying|use|reproduction|distribution)[^.]*? is (?:strictly )?prohibited
+80 | proprietary | reproduced,permission,written | may (?:not )?be reproduced[^.]*?without (?:the )?(?:prior )?(?:express )?written permission
 70 | Apache-2.0 | apache.org/licenses | https?://(?:www\.)?apache\.org/licenses/LICENSE-2\.0(?:\.txt|\.html)?
 70 | MIT | opensource.org/licenses | https?://(?:www\.)?opensource\.org/licenses/(?:mit-license(?:\.php)?|MIT)\b
 70 | BSD-3-Clause | opensource.org/licenses | https?://(?:www\.)?opensource\.org/licenses/BSD-3-Clause\b
@@ -304,8 +308,10 @@ RULES = r"""
 20 | unnamed-license | licensed,under | \blicensed under\b
 20 | unnamed-license | see,license | \bsee (?:the )?(?:accompanying )?LICENSE(?:\.txt|\.md)?(?: file)?\b
 20 | unnamed-license | terms,apply | \b(?:our |the )?terms of (?:use|service) apply\b
-20 | no-derivatives | without,permission | \bmay not be (?:copied|redistributed|modified)[^.\n]{0,80} without permission\b
+20 | no-derivatives | without,permission | \bmay not be (?:copied|redistributed|modified)[^.\n]* without permission\b
 20 | non-commercial | non-commercial | \bfor non-commercial use only\b
 20 | evaluation | evaluation,purposes | \bfor evaluation purposes only\b
 20 | trademark | registered,trademark | \bregistered trademarks?\b
+20 | copyright-notice | copyright | \bCopyright (?:\(c\) )?(?:\d{4}(?:[-,] ?\d{4})*,? )(?:by )?[^\n]{80}(?:(?!\bCopyright |©|\bAll rights reserved|\blicensed under|\bsee (?:the )?(?:accompanying )?LICENSE|\b(?:our |the )?terms of (?:use|service) apply|\bmay not be|\bfor non-commercial|\bfor evaluation|\bregistered trademark)[^\n])+
+20 | copyright-notice | © | ©\s?\d{4}[^\n]{80}(?:(?!\bCopyright |©|\bAll rights reserved|\blicensed under|\bsee (?:the )?(?:accompanying )?LICENSE|\b(?:our |the )?terms of (?:use|service) apply|\bmay not be|\bfor non-commercial|\bfor evaluation|\bregistered trademark)[^\n])+
 """

@@ -238,3 +238,28 @@ def test_license_gates_lose_nothing():
         assert texts and {t for t in texts if rule.number not in sc.candidates(t)} == set(), rule
     for t in ("CreativeML Open RAIL-M", "creative ml open\nrail", "BigScience OpenRAIL-M"):
         assert [(sc.rules[n].license, s, e) for n, s, e in sc.scan(t)] == [("OpenRAIL", 0, len(t))]
+
+
+def test_long_license_notices():
+    sc = licenses.scanner()
+
+    def found(t):
+        return [(sc.rules[n].license, t[s:e]) for n, s, e in sc.scan(t)]
+
+    names = ", ".join(f"Holder Number {i}, Inc" for i in range(40))
+    for head in ("Copyright (c) 1998, 2004 by ", "© 2020 "):
+        line = head + names
+        assert found(f"// x\n{line}\nnext line") == [("copyright-notice", line)]
+        # what follows in a long line stays a detection of its own
+        assert found(f"{line}. All rights reserved.") == [("copyright-notice", line + ". "), ("all-rights-reserved", "All rights reserved.")]
+        assert [x[0] for x in found(f"{line}. It has the MIT License")] == ["copyright-notice", "MIT"]
+        assert found(f"{line}; {head}Other") == [("copyright-notice", line + "; "), ("copyright-notice", head + "Other")]
+    for name, t in (
+        ("BSD-3-Clause", f"Neither the name of {names}., nor the names of its contributors may be used to endorse or promote"),
+        ("proprietary", f"Unauthorized copying by {names} is strictly prohibited"),
+        ("proprietary", f"may not be reproduced by {names} without prior written permission"),
+        ("no-derivatives", f"may not be copied by {names} without permission"),
+    ):
+        assert found(t + ". More") == [(name, t)]
+    t = "Neither the name of the wind.\n" * 2000
+    assert found(t) == []
