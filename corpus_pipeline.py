@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokenize),
 ]
 
-#: The classifier is a trained model: no SQL. tests/llm/test_pipeline.py has a brute-force version.
+#: The classifier is a trained model: no SQL. test_pipeline in tests/llm/test_operators.py compares stages with each other only; there is no brute-force version.
 ORACLE_SQL = None
 
 
