@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,6 +14,11 @@ from pyspark.sql.types import StructType
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bytes of an Arrow batch where the session names no bound: a batch and its copies count per running Python worker.
+BATCH_BYTES = 8 << 20
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package even if PYTHONPATH lacks it.
 
@@ -21,9 +26,8 @@ def attach(spark: SparkSession) -> SparkSession:
     ``--py-files``; the extra path entry is then simply unused.
     """
     env = spark.sparkContext.environment
-    # smaller Arrow batches: a batch and its copies count per running Python worker
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if spark.conf.get(_ARROW_BYTES, "1") == "1":  # not set by the user
+        spark.conf.set(_ARROW_BYTES, str(BATCH_BYTES))
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
@@ -33,16 +37,17 @@ def attach(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests).
+    A folder of our own is made only where the session names none and runs in
+    this process (tests); on a cluster that is an error, since executors don't
+    share a machine's folders.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = sc.getCheckpointDir()
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="orrery-")
-            sc.setCheckpointDir(named)
-        # the context appends a run id; its parent is the folder itself
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="orrery-")
+        sc.setCheckpointDir(named)
     return named
 
 
@@ -58,21 +63,35 @@ def _forget(spark: SparkSession, path: str) -> None:
 def spill_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
-    This cuts lineage and survives the loss of any executor.
+    This cuts lineage and survives the loss of any executor. The files go with
+    ``forget``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/orrery-{tag}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
+    return keep_until_exit(spark.read.schema(schema).parquet(path), path)
+
+
+def keep_until_exit(df: DataFrame, path: str) -> DataFrame:
+    """Mark ``df`` as the reader of a scratch table of ours."""
+    df._orrery_path = path
+    atexit.register(_forget, df.sparkSession, path)
+    return df
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete scratch tables that no later action reads."""
+    for df in tables:
+        path = getattr(df, "_orrery_path", None)
+        if path:
+            _forget(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def size_of(df: DataFrame) -> int:
+    """Bytes of ``df`` as the optimizer estimates them (files on disk for a scan; nothing is read), 0 if it has no idea."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def cut(df: DataFrame) -> DataFrame:
