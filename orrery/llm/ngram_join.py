@@ -1,41 +1,47 @@
 """Exact Jaccard join of documents on word n-gram sets, by prefix tree.
 
-1. *Order.* Every document becomes its set of hashed n-grams. Blocks of
-   documents send their n-grams, delta-coded, to the owner of each hash range,
-   which counts document frequencies over the whole corpus. The global order is
-   (frequency, posting): rare n-grams first. N-grams that occur once in the
-   corpus need no names: they lead every set and only their number matters.
-   N-grams that stand in exactly the same documents are one weighted token, so a
-   passage or a copied text is a few tokens instead of hundreds.
+1. *Order.* Documents are worked in blocks. A block sends each of its distinct
+   n-grams once, with the number of its documents that have it, to the owner of
+   the hash range (so an n-gram that half the corpus has costs an entry a block),
+   and who has what to its home. Owners add up frequencies over the whole corpus
+   and answer the homes. The global order is (frequency, posting): rare n-grams
+   first. N-grams that occur in one document of the corpus need no names: they
+   lead every set and only their number matters. N-grams that stand in exactly
+   the same documents are one weighted token, so a passage or a copied text is a
+   few tokens instead of hundreds.
 2. *Prefixes.* Sets whose unshared n-grams already fill the prefix can't have a
-   partner and end here (nearly all clean documents do). Equal sets are merged.
-   The rest have prefix tokens, of which any matching pair shares one.
-3. *Tree.* Sets that prefix tokens connect form a block, and every set is sent to
-   its block once. A block's sets are stored in a trie in global order. A query
-   set adds each of its prefix tokens to the overlap of all sets below the nodes
-   that bear it, leaves subtrees whose overlap plus the weight that can still be
-   shared (remaining lengths of both lists) misses what the sizes require, and
-   adds the rest of its list for those that are left. Blocks beyond a bound are
-   cut up; see ``set_pairs``.
+   partner and end here (nearly all clean documents do). Equal sets are merged to
+   one set with the number of its copies. The rest have prefix tokens, of which
+   any matching pair shares one.
+3. *Tree.* Sets that prefix tokens connect form a block; blocks beyond a bound
+   are cut into chunks of which each two meet (``set_pairs``). A block's sets are
+   stored in a trie in global order. A query set enters it at the topmost nodes
+   that bear one of its prefix tokens and walks down, carrying the overlap that
+   all sets below a node share; a subtree is left where the overlap plus what can
+   still be shared (the smaller of both remaining lengths) misses what the
+   smallest set below requires.
+4. *Links.* Tasks return, for each set, the number of documents it is linked to
+   and a spanning forest of the links, never the pairs; both are added up.
 
 The result is exact for 64-bit n-gram hashes; nothing is capped or sampled.
 
 Words are lower-cased runs of letters and numbers. A text of fewer than ``n``
-words is one n-gram of all its words. Rows, defined results: null or wordless
-texts have no set and match nothing; rows with a null id are left out; rows
-with equal ids are one document and don't match themselves; an empty table
-gives an empty result; other columns are neither read nor returned.
-
-Result rows (``doc_ids ARRAY, jaccard DOUBLE``): one for every group of
-documents with equal sets (jaccard 1), and one for every matching pair of
-different sets, holding the documents of both sides. So any two documents of a
-row are at least that similar, and copies in thousands cost their number, not
-its square. ``expand_pairs`` gives plain pairs.
+words is one n-gram of all its words.
+
+Result rows ``doc_id, class_id, n_links``: one for every document that has a
+link. ``n_links`` is the number of other documents with Jaccard >= t, copies
+included; ``class_id`` the smallest id of the documents that links connect.
+
+Rows, defined results: null or wordless texts have no set and match nothing;
+rows with a null id are left out; rows with equal ids and equal sets are one
+document; different texts under one id are documents of their own for the
+links, whose numbers are added to one row; an empty table gives an empty
+result; other columns, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
 
-import math
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,18 +52,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import textkit as K
-from orrery.llm.bpe import _arrow_schema, _pack, _unpack, _unplanes, _planes
-from orrery.runtime import attach, cut, spill_table
+from orrery.llm.bpe import _arrow_schema
+from orrery.llm.wire import pack, unpack
+from orrery.runtime import attach, cut, forget, size_of, spill_table
 
 _U = np.uint64
-BLOCK_GRAMS = 1_500_000
-STEP_CHARS = 500_000
-#: List entries (three numbers each) of a block that one task holds at most.
-BLOCK_TOKENS = 3_000_000
+#: N-grams of a block of documents. A block has a message for each hash range, so ranges are at most a 64th of it.
+BLOCK_GRAMS = 1_000_000
+STEP_CHARS = 400_000
+#: Bytes of input for each hash range (an owner holds one range at a time).
+RANGE_BYTES = 3 << 20
+#: List entries of a block that one task holds at most, and of those joined at a time.
+BLOCK_TOKENS = 400_000
 #: Chunks of a block, each of which is copied to all others, before it goes by tokens.
 MAX_CHUNKS = 32
-#: Placed sets (three numbers each) up to which they are broadcast to the lists.
-BROADCAST_SETS = 500_000
+#: Cells of the matrix of query tokens, and pairs of query and node, worked at a time.
+STEP_CELLS = 4_000_000
+#: Edges that one task contracts to the end (16 bytes each).
+EDGES_AT_ONCE = 4_000_000
 
 
 def gram_hashes(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,21 +106,23 @@ def grams_of(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return d, K.mix(g)
 
 
-def _planes8(a: np.ndarray) -> list[bytes]:
-    b = np.ascontiguousarray(a, "<u8").view(np.uint8).reshape(-1, 8)
-    return [b[:, i].tobytes() for i in range(8)]
+def _ipc(batch: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, batch.schema) as w:
+        w.write_batch(batch)
+    return out.getvalue()
+
 
+#: route: hash range (of the block itself in kind 1). kind 0: n-grams to their owner, 1: members, 2: an owner's answer.
+_WIRE = "route long, base long, kind int, payload binary"
 
-def _unplanes8(p: list[bytes]) -> np.ndarray:
-    b = np.empty((len(p[0]), 8), np.uint8)
-    for i in range(8):
-        b[:, i] = np.frombuffer(p[i], np.uint8)
-    return b.view("<u8").ravel()
 
+def _wire(route: list[int], base: list[int], kind: int, payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(base, pa.int64()), pa.array([kind] * len(route), pa.int32()), pa.array(payload, pa.binary())], names=["route", "base", "kind", "payload"])
 
-def _blocks(n: int, bits: int, id_type: pa.DataType):
-    """Documents -> (range, block, payload) rows of delta-coded n-grams and (uid, id, size) rows."""
-    names = ["range", "base", "payload", "id", "size"]
+
+def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int):
+    """Documents -> messages of each block to the owners of hash ranges and to its home."""
 
     def flush(base: int, ids: list, doc: list[np.ndarray], gram: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         d, g = np.concatenate(doc), np.concatenate(gram)
@@ -117,15 +131,20 @@ def _blocks(n: int, bits: int, id_type: pa.DataType):
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
         d, g = d[new], g[new]
-        sizes = np.bincount(d, minlength=len(ids))
-        has = np.flatnonzero(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(K.mix(has.astype(np.uint64)) >> _U(64 - bits), pa.int64()), pa.array(base + has, pa.int64()), pa.nulls(len(has), pa.binary()), pa.array([ids[i] for i in has.tolist()], id_type), pa.array(sizes[has], pa.int64())], names=names)
+        beg = K.groups(g)
+        count = np.diff(np.append(beg, len(g)))
+        home = int(K.mix_int(base) >> (64 - bits))
+        yield _wire([home], [base], 1, [pack(_ipc(pa.RecordBatch.from_arrays([pa.array(ids, id_type)], names=["id"])), count, d)])
+        mark = np.add.reduceat(K.mix((base + d).astype(np.uint64)), beg)  # a posting is known by the sum of its documents' marks
+        g, one, first = g[beg], count == 1, d[beg]
         rng = (g >> _U(64 - bits)).astype(np.int64)
-        beg = K.groups(rng)
-        for lo, hi in zip(beg.tolist(), np.append(beg[1:], len(g)).tolist()):
-            delta = np.diff(g[lo:hi], prepend=_U(0))
-            blob = _pack(*_planes8(delta), *_planes(d[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(rng[lo])], pa.int64()), pa.array([base], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, id_type), pa.array([0], pa.int64())], names=names)
+        cuts = K.groups(rng)
+        route, payload = [], []
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(g)).tolist()):
+            s = one[lo:hi]
+            route.append(int(rng[lo]))
+            payload.append(pack(np.diff(g[lo:hi], prepend=_U(0)), count[lo:hi], first[lo:hi][s], mark[lo:hi][~s]))
+        yield _wire(route, [base] * len(route), 0, payload)
 
     def run(batches):
         from pyspark import TaskContext
@@ -143,7 +162,7 @@ def _blocks(n: int, bits: int, id_type: pa.DataType):
                 gram.append(g)
                 ids.extend(col[lo:hi])
                 held += len(g)
-                if held >= BLOCK_GRAMS:
+                if held >= block_grams:
                     yield from flush(base, ids, doc, gram)
                     base += len(ids)
                     ids, doc, gram, held = [], [], [], 0
@@ -153,372 +172,502 @@ def _blocks(n: int, bits: int, id_type: pa.DataType):
     return run
 
 
-def _route(uid: np.ndarray, routes: int) -> np.ndarray:
-    return (K.mix(uid.astype(np.uint64)) % _U(routes)).astype(np.int64)
-
+def _owners(batches):
+    """Owner of hash ranges (rows sorted by range): frequency and posting of the n-grams that two documents or more have."""
 
-def _postings(id_type: pa.DataType, routes: int):
-    """Owner of hash ranges (rows sorted by range): tokens shared by two documents or more.
-
-    Emits packed (uid, token, df, weight) rows for each route, and passes
-    (uid, id, size) rows on to theirs.
-    """
-    names = ["route", "uid", "id", "size", "payload"]
-
-    def settle(grams: list[np.ndarray], uids: list[np.ndarray]) -> tuple[np.ndarray, ...] | None:
-        g, u = np.concatenate(grams), np.concatenate(uids)
+    def settle(rng: int, parts: list[tuple]) -> pa.RecordBatch:
+        g, count, mark = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
         order = np.argsort(g, kind="stable")
-        g, u = g[order], u[order]
+        g = g[order]
         beg = K.groups(g)
         size = np.diff(np.append(beg, len(g)))
-        many = size > 1
-        if not many.any():
-            return None
-        inside = np.repeat(many, size)
-        u, size = u[inside], size[many]
-        beg = np.cumsum(size) - size
-        posting = np.add.reduceat(K.mix(u.astype(np.uint64)), beg)
-        # order n-grams by posting, then documents: runs of (posting, uid) are weights
-        tok = np.repeat(posting, size)
-        df = np.repeat(size, size)
-        o = np.lexsort((u, tok))
-        tok, u, df = tok[o], u[o], df[o]
-        new = np.ones(len(u), bool)
-        new[1:] = (tok[1:] != tok[:-1]) | (u[1:] != u[:-1])
-        at = np.flatnonzero(new)
-        return u[at], tok[at], df[at], np.diff(np.append(at, len(u)))
-
-    def ship(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        u, tok, df, w = (np.concatenate(x) for x in zip(*held))
-        r = _route(u, routes)
-        o = np.lexsort((u, tok, r))  # a token's rows stand together: differences of nought
-        u, tok, df, w, r = u[o], tok[o], df[o], w[o], r[o]
-        beg = K.groups(r)
-        for lo, hi in zip(beg.tolist(), np.append(beg[1:], len(r)).tolist()):
-            blob = _pack(*_planes8(u[lo:hi].astype(np.uint64)), *_planes8(np.diff(tok[lo:hi], prepend=_U(0))), *_planes(df[lo:hi]), *_planes(w[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array([int(r[lo])], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=names)
-
-    def run(batches):
-        now, grams, uids, held, n = None, [], [], [], 0
-        for b in batches:
-            size_rows = b.filter(pa.compute.is_null(b.column(2)))
-            if size_rows.num_rows:
-                uid = size_rows.column(1)
-                yield pa.RecordBatch.from_arrays([pa.array(_route(uid.to_numpy(), routes)), uid, size_rows.column(3), size_rows.column(4), pa.nulls(len(uid), pa.binary())], names=names)
-            b = b.filter(pa.compute.is_valid(b.column(2)))
-            for rng, base, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if rng != now:
-                    if grams and (got := settle(grams, uids)):
-                        held.append(got)
-                        n += len(got[0])
-                    now, grams, uids = rng, [], []
-                    if n >= BLOCK_GRAMS:
-                        yield from ship(held)
-                        held, n = [], 0
-                p = _unpack(blob.as_py())
-                grams.append(np.cumsum(_unplanes8(p[:8]), dtype=np.uint64))
-                uids.append(_unplanes(p[8:]).astype(np.int64) + base)
-        if grams and (got := settle(grams, uids)):
-            held.append(got)
-        if held:
-            yield from ship(held)
-
-    return run
-
-
-def _lists(t: float):
-    """Owner of documents (rows sorted by route): the token lists of sets that may have a partner."""
-
-    def settle(known: list[pa.RecordBatch], packed: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-        if not packed or not known:
+        df, post = np.empty(len(g), np.int64), np.empty(len(g), np.uint64)
+        df[order] = np.repeat(np.add.reduceat(count[order], beg), size)
+        post[order] = np.repeat(np.add.reduceat(mark[order], beg), size)
+        out, lo = [], 0
+        for p in parts:
+            hi = lo + len(p[1])
+            many = df[lo:hi] > 1
+            out.append(pack(many.astype(np.int64), df[lo:hi][many], post[lo:hi][many]))
+            lo = hi
+        return _wire([rng] * len(parts), [p[0] for p in parts], 2, out)
+
+    now, parts = None, []
+    for b in batches:
+        for i, (rng, base, kind) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())):
+            if kind == 1:
+                yield b.slice(i, 1)
+                continue
+            if rng != now:
+                if parts:
+                    yield settle(now, parts)
+                now, parts = rng, []
+            delta, count, first, several = unpack(b.column(3)[i].as_py())
+            mark = np.empty(len(delta), np.uint64)
+            mark[count == 1] = K.mix((base + first).astype(np.uint64))
+            mark[count != 1] = several
+            parts.append((base, np.cumsum(delta, dtype=np.uint64), count, mark))
+    if parts:
+        yield settle(now, parts)
+
+
+def _homes(t: float):
+    """Home of blocks (rows sorted by block, members first): the token lists of sets that may have a partner."""
+
+    def settle(base: int, members: list, answers: list[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        ids = pa.ipc.open_stream(members[0]).read_next_batch().column(0)
+        count, d = members[1], members[2]
+        many = np.concatenate([a[0] for a in answers]).astype(bool)
+        if len(many) != len(count):
+            raise ValueError("an n-gram block hasn't got all its answers")
+        size = np.bincount(d, minlength=len(ids))
+        df, post = (np.concatenate([a[i] for a in answers]) for i in (1, 2))
+        u = d[np.repeat(many, count)]
+        if not len(u):
             return
-        meta = pa.Table.from_batches(known)
-        ids = meta.column("uid").to_numpy()
-        o = np.argsort(ids)
-        uid, size = ids[o], meta.column("size").to_numpy()[o]
-        u, tok, df, w = (np.concatenate(x) for x in zip(*packed))
-        o2 = np.lexsort((tok, df, u))
-        u, tok, df, w = u[o2], tok[o2], df[o2], w[o2]
-        # one posting may come from several hash ranges
+        df, tok = np.repeat(df, count[many]), np.repeat(post.view(np.int64), count[many])  # signed, as all that follows orders them
+        o = np.lexsort((tok, df, u))
+        u, tok, df = u[o], tok[o], df[o]
         new = np.ones(len(u), bool)
         new[1:] = (u[1:] != u[:-1]) | (tok[1:] != tok[:-1]) | (df[1:] != df[:-1])
         at = np.flatnonzero(new)
-        u, tok, df, w = u[at], tok[at], df[at], np.add.reduceat(w.astype(np.int64), at)
+        u, tok, df, w = u[at], tok[at], df[at], np.diff(np.append(at, len(u)))
         beg = K.groups(u)
         shared = np.add.reduceat(w, beg)
-        row = np.searchsorted(uid, u[beg])
+        row = u[beg]
         n = np.diff(np.append(beg, len(u)))
-        able = shared >= np.maximum(1, np.ceil(t * size[row] - 1e-9))
+        least = np.maximum(1, np.ceil(t * size[row] - 1e-9)).astype(np.int64)
+        able = shared >= least
         if not able.any():
             return
         inside = np.repeat(able, n)
-        u, tok, df, w, row, shared, n = u[inside], tok[inside], df[inside], w[inside], row[able], shared[able], n[able]
+        tok, df, w, row, shared, n, least = tok[inside], df[inside], w[inside], row[able], shared[able], n[able], least[able]
         rest = np.repeat(shared, n) - (np.cumsum(w) - w - np.repeat(np.cumsum(shared) - shared, n))
-        prefix = np.add.reduceat((rest >= np.repeat(np.maximum(1, np.ceil(t * size[row] - 1e-9)), n)).astype(np.int32), np.cumsum(n) - n)
-        offs = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-
-        def arr(a):
-            return pa.ListArray.from_arrays(offs, pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int32)))
-
-        took = meta.column("id").combine_chunks().take(pa.array(o[row]))
-        yield pa.RecordBatch.from_arrays([pa.array(uid[row]), took, pa.array(size[row]), pa.array(shared), pa.array(prefix), arr(df), arr(tok), arr(w)], schema=schema)
+        prefix = np.add.reduceat((rest >= np.repeat(least, n)).astype(np.int32), np.cumsum(n) - n)
+        ends = np.cumsum(n)
+        lo = 0
+        while lo < len(row):  # some 200,000 entries a batch
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 200_000, "right")))
+            e0, e1 = (int(ends[lo - 1]) if lo else 0), int(ends[hi - 1])
+            offs = pa.array(np.concatenate([[0], ends[lo:hi] - e0]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offs, pa.array(x)) for x in (df[e0:e1].astype(np.int32), tok[e0:e1], w[e0:e1].astype(np.int32))]
+            r = row[lo:hi]
+            yield pa.RecordBatch.from_arrays([pa.array(base + r, pa.int64()), ids.take(pa.array(r)), pa.array(size[r], pa.int64()), pa.array(shared[lo:hi], pa.int64()), pa.array(prefix[lo:hi], pa.int32()), *lists], schema=schema)
+            lo = hi
 
     def bind(schema: pa.Schema):
         def run(batches):
-            now, known, packed = None, [], []
+            now, members, answers = None, None, []
             for b in batches:
-                route = b.column(0).to_numpy()
-                beg = K.groups(route)
-                for lo, hi in zip(beg.tolist(), np.append(beg[1:], len(route)).tolist()):
-                    if route[lo] != now:
-                        yield from settle(known, packed, schema)
-                        now, known, packed = route[lo], [], []
-                    part = b.slice(lo, hi - lo)
-                    flag = pa.compute.is_null(part.column(4))
-                    known.append(part.filter(flag).select(["uid", "id", "size"]))
-                    for blob in part.filter(pa.compute.invert(flag)).column(4):
-                        p = _unpack(blob.as_py())
-                        packed.append((_unplanes8(p[:8]).astype(np.int64), np.cumsum(_unplanes8(p[8:16]), dtype=np.uint64), _unplanes(p[16:20]).astype(np.int64), _unplanes(p[20:24])))
-            yield from settle(known, packed, schema)
+                for base, kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                    if base != now:
+                        if members:
+                            yield from settle(now, members, answers, schema)
+                        now, members, answers = base, None, []
+                    got = unpack(blob.as_py())
+                    if kind == 1:
+                        members = got
+                    else:
+                        answers.append(got)
+            if members:
+                yield from settle(now, members, answers, schema)
 
         return run
 
     return bind
 
 
-def need(size: int, t: float) -> int:
-    """Overlap that any partner of a set of this size must have."""
-    return max(1, math.ceil(t * size - 1e-9))
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """b, b+1 .. b+s-1 of each pair, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def _over(op: np.ufunc, a: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """op over a[b:e] of each (not empty) interval."""
+    at = np.stack([begin, end], axis=1).ravel()
+    return op.reduceat(np.append(a, a[-1:]), at)[::2]
+
+
+class Sets:
+    """Token lists of one or several blocks, sorted so that a trie can be read off them.
+
+    ``token`` holds ranks in global order inside a block, from 0 on in each
+    block; lists of a block stand together, in lexicographic order.
+    """
+
+    def __init__(self, block: np.ndarray, token: np.ndarray, weight: np.ndarray, n: np.ndarray, prefix: np.ndarray, size: np.ndarray):
+        offs = np.concatenate([[0], np.cumsum(n)])
+        lists = [token[s:e].astype(">i8").tobytes() for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
+        marks = block.astype(">i8")
+        self.order = np.array(sorted(range(len(n)), key=lambda i: (marks[i].tobytes(), lists[i])), np.int64)
+        self.n, self.prefix, self.size, self.block = n[self.order], prefix[self.order], size[self.order], block[self.order]
+        at = _ragged(offs[:-1][self.order], self.n)
+        self.token, self.weight = token[at], weight[at]
+        self.offs = np.concatenate([[0], np.cumsum(self.n)])
+        self.done = np.concatenate([[0], np.cumsum(self.weight)])  # weight before each entry
+        self.total = self.done[self.offs[1:]] - self.done[self.offs[:-1]]
+        self.width = int(token.max(initial=0)) + 2
 
 
 class Tree:
-    """Prefix tree of sets in global token order.
+    """Prefix tree of sets in global token order, runs of nodes without a fork (16 at most) being one node.
 
-    Sets are numbered in the tree's (lexicographic) order, so the sets below a
-    node are an interval, and a token that a query shares with a node adds to
-    the overlap of the whole interval at once.
+    Sets are numbered in the tree's order, so the sets below a node are an
+    interval ``begin:end``; nodes are numbered in preorder, so those below node
+    v are v+1 .. ``last[v]``-1.
     """
 
-    def __init__(self, rank: np.ndarray, weight: np.ndarray, offs: np.ndarray):
-        n = len(offs) - 1
-        lists = [rank[s:e] for s, e in zip(offs[:-1].tolist(), offs[1:].tolist())]
-        self.order = sorted(range(n), key=lambda i: (lists[i].astype(">i8").tobytes(), i))
-        token, begin, end = [], [], []
-        opened = np.zeros(int(np.diff(offs).max(initial=0)), np.int64)
-        made, depth = 0, 0
-        prev = np.zeros(0, np.int64)
-        closed: list[tuple[np.ndarray, int]] = []
-        for i, j in enumerate(self.order):
-            now = lists[j]
-            k = min(len(prev), len(now))
-            differ = np.flatnonzero(prev[:k] != now[:k])
-            same = int(differ[0]) if len(differ) else k
-            if depth > same:
-                closed.append((opened[same:depth].copy(), i))
-            fresh = len(now) - same
-            token.append(now[same:])
-            begin.append(np.full(fresh, i))
-            opened[same : len(now)] = np.arange(made, made + fresh)
-            made, depth, prev = made + fresh, len(now), now
-        closed.append((opened[:depth].copy(), n))
-        end = np.zeros(made, np.int64)
-        for nodes, i in closed:
-            end[nodes] = i
-        token = np.concatenate(token) if token else np.zeros(0, np.int64)
-        by = np.argsort(token, kind="stable")
-        self.begin = (np.concatenate(begin) if begin else np.zeros(0, np.int64))[by]
-        self.end = end[by]
-        self.first = np.searchsorted(token[by], np.arange(int(rank.max(initial=-1)) + 2))
-        self.n = n
-
-    def overlap(self, tokens: np.ndarray, weights: np.ndarray, upto: int) -> np.ndarray:
-        """Weight shared by the query tokens and each of the sets before number ``upto``."""
-        lo, size = self.first[tokens], self.first[tokens + 1] - self.first[tokens]
-        at = np.arange(int(size.sum())) + np.repeat(lo - (np.cumsum(size) - size), size)
-        w = np.repeat(weights, size)
-        b, e = self.begin[at], self.end[at]
-        ok = b < upto
-        step = np.bincount(b[ok], weights=w[ok], minlength=upto + 1)[: upto + 1]
-        step -= np.bincount(np.minimum(e[ok], upto), weights=w[ok], minlength=upto + 1)
-        return np.cumsum(step[:upto])
-
-
-def tree_join(sid: np.ndarray, size: np.ndarray, rank: np.ndarray, weight: np.ndarray, offs: np.ndarray, t: float, own: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs (sid, sid, overlap, size, size) of one block of sets; lists of tokens by ``offs``, ranks ascending.
-
-    A query walks its prefix first; subtrees that share nothing with it, or
-    whose overlap plus what can still be shared (the remainders of both lists)
-    misses what the sizes require, are left. Only then the rest of its list is
-    added. ``own``: report only pairs whose first shared token this is.
+    RUN = 16
+
+    def __init__(self, s: Sets):
+        m = len(s.n)
+        # tokens that a set shares with the one before it
+        k = np.minimum(s.n[1:], s.n[:-1])
+        k[s.block[1:] != s.block[:-1]] = 0
+        of = np.repeat(np.arange(m - 1), k)
+        inner = _ragged(np.zeros(len(k), np.int64), k)
+        differ = s.token[s.offs[of] + inner] != s.token[s.offs[of + 1] + inner]
+        same = k.copy()
+        hit = np.flatnonzero(differ)
+        first = hit[np.unique(of[hit], return_index=True)[1]] if len(hit) else hit
+        same[of[first]] = inner[first]
+        same = np.concatenate([[0], same])
+        fresh = s.n - same
+        # single nodes: the fresh tokens of each set, in preorder
+        owner = np.repeat(np.arange(m), fresh)
+        depth = _ragged(same, fresh)
+        made = np.cumsum(fresh) - fresh
+        end = np.full(len(owner), m)
+        path = np.zeros(int(s.n.max(initial=0)), np.int64)
+        above = np.full(len(owner), -1)
+        deep = 0
+        for i, (keep, full, node) in enumerate(zip(same.tolist(), s.n.tolist(), made.tolist())):
+            if deep > keep:
+                end[path[keep:deep]] = i
+            if full > keep:
+                if keep:
+                    above[node] = path[keep - 1]
+                path[keep:full] = np.arange(node, node + full - keep)
+            deep = full
+        inside = np.zeros(len(owner), bool)
+        inside[1:] = (owner[1:] == owner[:-1]) & (end[1:] == end[:-1])
+        head = np.flatnonzero(~inside)
+        place = np.arange(len(owner)) - np.repeat(head, np.diff(np.append(head, len(owner))))
+        head = np.flatnonzero(place % self.RUN == 0)
+        tail = np.append(head[1:], len(owner)) - 1
+        number = np.repeat(np.arange(len(head)), tail - head + 1)
+        at = s.offs[owner] + depth  # entry of each single node in its set's list
+        self.first, self.count = at[head], tail - head + 1
+        self.begin, self.end = owner[head], end[head]
+        self.until = s.token[at[tail]]
+        up = above[head]
+        follows = (up < 0) & (head > 0) & (owner[head] == owner[np.maximum(head - 1, 0)])
+        parent = np.where(up >= 0, number[np.maximum(up, 0)], np.where(follows, number[np.maximum(head - 1, 0)], -1))
+        # what the sets below can still share, and the smallest of them
+        passed = s.done[at[tail] + 1] - s.done[s.offs[owner[tail]]]
+        self.rest = _over(np.maximum, s.total, self.begin, self.end) - passed
+        self.least = _over(np.minimum, s.size, self.begin, self.end)
+        # sets that end at a node: the first ones below it
+        ends = s.offs[self.begin + 1] == at[tail] + 1
+        own = np.concatenate([[0], np.cumsum(fresh > 0)])
+        nxt = np.searchsorted(own, own[self.begin + 1] + 1, "left") - 1  # the next set with a node of its own
+        self.here = np.where(ends, np.minimum(nxt, self.end) - self.begin, 0)
+        order = np.argsort(parent, kind="stable")
+        self.children = order
+        self.kid = np.searchsorted(parent[order], np.arange(len(head)))
+        self.kids = np.searchsorted(parent[order], np.arange(len(head)), "right") - self.kid
+        self.last = np.searchsorted(self.begin, self.end, "left")
+        # nodes by (block, token)
+        key = s.block[owner] * s.width + s.token[at]
+        order = np.argsort(key, kind="stable")
+        self.keys, self.nodes = key[order], number[order]
+
+
+def tree_join(s: Sets, t: float, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, set, overlap) of all pairs with Jaccard >= t, numbers in the order of ``s``, the set before the query.
+
+    ``own``: a token of each set's block; only pairs whose first shared token it is are reported (-1: all).
     """
-    tree = Tree(rank, weight, offs)
-    order = np.array(tree.order, np.int64)
-    total = np.add.reduceat(weight, offs[:-1]) if len(weight) else np.zeros(len(sid), np.int64)
-    sizes, totals = size[order], total[order]
+    tree = Tree(s)
     ratio = t / (1 + t)
-    for i, j in enumerate(order.tolist()):
-        if not i:
-            continue
-        s, e = int(offs[j]), int(offs[j + 1])
-        r, w = rank[s:e], weight[s:e]
-        rest = int(total[j]) - (np.cumsum(w) - w)  # weight from each token on
-        cut_at = int((rest >= need(int(size[j]), t)).sum())
-        after = int(rest[cut_at]) if cut_at < len(rest) else 0
-        got = tree.overlap(r[:cut_at], w[:cut_at], i)
-        least = ratio * (size[j] + sizes[:i]) - 1e-9
-        live = np.flatnonzero((got > 0) & (got + np.minimum(after, totals[:i] - got) >= least))
-        if len(live) and own is not None:
-            live = live[tree.overlap(r[r < own], w[r < own], i)[live] == 0]
-        if not len(live):
-            continue
-        both = got[live]
-        if after:
-            both = both + tree.overlap(r[cut_at:], w[cut_at:], i)[live]
-        hit = both >= least[live]
-        if hit.any():
-            k = order[live[hit]]
-            yield sid[k], np.full(len(k), sid[j]), both[hit].astype(np.int64), size[k], np.full(len(k), size[j])
+    m = len(s.n)
+    entry_key = np.repeat(np.arange(m), s.n) * s.width + s.token
+    # nodes where each prefix token of a query is borne
+    pre = _ragged(s.offs[:-1], s.prefix)
+    asker = np.repeat(np.arange(m), s.prefix)
+    key = s.block[asker] * s.width + s.token[pre]
+    lo = np.searchsorted(tree.keys, key)
+    many = np.searchsorted(tree.keys, key, "right") - lo
+    starts = np.concatenate([[0], np.cumsum(np.bincount(asker, weights=many, minlength=m))]).astype(np.int64)
+    seen = np.concatenate([[0], np.cumsum(s.prefix)])
+    peers = np.arange(m) - np.searchsorted(s.block, s.block) + 1  # a query meets the sets before it
+    cells = np.concatenate([[0], np.cumsum(np.maximum(peers, s.width))])
+    q0 = 0
+    while q0 < m:
+        q1 = min(m, max(q0 + 1, min(int(np.searchsorted(starts, starts[q0] + STEP_CELLS, "right")), int(np.searchsorted(cells, cells[q0] + STEP_CELLS, "right"))) - 1))
+        have = np.zeros((q1 - q0) * s.width, np.int32)  # weight of each token of each query
+        e0, e1 = int(s.offs[q0]), int(s.offs[q1])
+        have[entry_key[e0:e1] - q0 * s.width] = s.weight[e0:e1]
+        p = slice(int(seen[q0]), int(seen[q1]))
+        q = np.repeat(asker[p], many[p])
+        tok = np.repeat(s.token[pre[p]], many[p])
+        v = tree.nodes[_ragged(lo[p], many[p])]
+        o = np.flatnonzero(tree.begin[v] < q)
+        q, tok, v = q[o], tok[o], v[o]
+        # the topmost nodes: none that lies below another one of the query's
+        o = np.lexsort((tok, v, q))
+        q, tok, v = q[o], tok[o], v[o]
+        if len(q):
+            reach = np.maximum.accumulate(q * (len(tree.first) + 1) + tree.last[v])
+            top = np.ones(len(q), bool)
+            top[1:] = (q[1:] * (len(tree.first) + 1) + v[1:] >= reach[:-1])
+            if own is not None:
+                top &= (own[q] < 0) | (tok == own[q])
+            q, v = q[top], v[top]
+        over = np.zeros(len(q), np.int64)
+        while len(q):
+            # overlap with the node's run
+            c = tree.count[v]
+            at = _ragged(tree.first[v], c)
+            w = have[(np.repeat(q, c) - q0) * s.width + s.token[at]]
+            over = over + np.add.reduceat(w, np.cumsum(c) - c)
+            left = s.done[s.offs[q + 1]] - s.done[np.searchsorted(entry_key, q * s.width + tree.until[v], "right")]
+            live = (tree.begin[v] < q) & (over + np.minimum(left, tree.rest[v]) >= ratio * (s.size[q] + tree.least[v]) - 1e-9)
+            q, v, over = q[live], v[live], over[live]
+            if not len(q):
+                break
+            here = tree.here[v]
+            who = _ragged(tree.begin[v], here)
+            by, both = np.repeat(q, here), np.repeat(over, here)
+            ok = (who < by) & (both >= ratio * (s.size[by] + s.size[who]) - 1e-9) & (both > 0)
+            if ok.any():
+                yield by[ok], who[ok], both[ok]
+            kids = tree.kids[v]
+            q, over, v = np.repeat(q, kids), np.repeat(over, kids), tree.children[_ragged(tree.kid[v], kids)]
+        q0 = q1
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges, and the smallest node that each is connected to."""
+    nodes, number = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = number[: len(u)], number[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return nodes, nodes[label]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label = up
 
 
 def _trees(t: float):
-    """Blocks as runs of rows ``root, lo, hi, token, chunk, sid, size, dfs, tokens, weights``."""
-    names = ["a", "b", "both", "size_a", "size_b"]
+    """Blocks as runs of rows ``root, lo, hi, token, chunk, sid, size, copies, prefix, dfs, tokens, weights`` -> ``sid, links, root``."""
 
-    def join(parts: list[pa.RecordBatch], key: tuple) -> Iterator[pa.RecordBatch]:
+    def join(parts: list[pa.RecordBatch], own_tokens: list) -> Iterator[pa.RecordBatch]:
+        block = np.repeat(np.arange(len(parts)), [p.num_rows for p in parts])
         rows = pa.Table.from_batches(parts).combine_chunks()
-        if len(rows) < 2:
-            return
-        n = pa.compute.list_value_length(rows["tokens"]).to_numpy()
-        offs = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        n = pa.compute.list_value_length(rows["tokens"]).to_numpy().astype(np.int64)
         df, tok, w = (pa.compute.list_flatten(rows[c]).to_numpy() for c in ("dfs", "tokens", "weights"))
-        order = np.lexsort((tok, df))
+        of = np.repeat(block, n)
+        order = np.lexsort((tok, df, of))
+        x, y, z = of[order], df[order], tok[order]
         new = np.ones(len(order), bool)
-        new[1:] = (tok[order][1:] != tok[order][:-1]) | (df[order][1:] != df[order][:-1])
+        new[1:] = (z[1:] != z[:-1]) | (y[1:] != y[:-1]) | (x[1:] != x[:-1])
         rank = np.empty(len(order), np.int64)
         rank[order] = np.cumsum(new) - 1
-        own = int(rank[np.flatnonzero(tok == key[3])[0]]) if key[3] is not None else None
-        sid, size, chunk = (rows[c].to_numpy() for c in ("sid", "size", "chunk"))
-        out = list(tree_join(sid, size, rank, w.astype(np.int64), offs, t, own))
-        if out:
-            cols = [np.concatenate(c) for c in zip(*out)]
-            if key[1] != key[2]:  # pairs inside a chunk are reported by the chunk's own block
-                at = np.argsort(sid)
-                of = [chunk[at[np.searchsorted(sid, c, sorter=at)]] for c in cols[:2]]
-                cols = [c[of[0] != of[1]] for c in cols]
-            for x in range(0, len(cols[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 50_000], pa.int64()) for c in cols], names=names)
+        low = np.zeros(len(parts), np.int64)
+        low[x[::-1]] = rank[order][::-1]  # the first rank of each block
+        rank -= low[of]
+        own = None
+        if any(k is not None for k in own_tokens):
+            own = np.full(len(parts), -1)
+            for i, k in enumerate(own_tokens):
+                if k is not None:
+                    own[i] = rank[np.flatnonzero((tok == k) & (of == i))[0]]
+        sid, size, copies, chunk, prefix = (rows[c].to_numpy().astype(np.int64) for c in ("sid", "size", "copies", "chunk", "prefix"))
+        cross = (rows["lo"].to_numpy() != rows["hi"].to_numpy())
+        s = Sets(block, rank, w.astype(np.int64), n, prefix, size)
+        o = s.order
+        sid, copies, chunk, cross = sid[o], copies[o], chunk[o], cross[o]
+        links = np.zeros(len(sid), np.int64)
+        edges: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for a, b, _ in tree_join(s, t, None if own is None else own[s.block]):
+            other = ~cross[a] | (chunk[a] != chunk[b])  # pairs inside a chunk are reported by the chunk's own block
+            a, b = a[other], b[other]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            edges.append((a, b))
+            held += len(a)
+            if held > STEP_CELLS:
+                edges = [forest(*(np.concatenate(e) for e in zip(*edges)))]
+                held = len(edges[0][0])
+        if held:
+            node, root = forest(*(np.concatenate(e) for e in zip(*edges)))
+            for lo in range(0, len(node), 50_000):
+                k = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(sid[node[k]]), pa.array(links[node[k]]), pa.array(sid[root[k]])], names=["sid", "links", "root"])
 
     def run(batches):
-        now, parts = None, []
+        now, parts, own, held = None, [], [], 0
         for b in batches:
             keys = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            size = pa.compute.list_value_length(b.column(b.schema.get_field_index("tokens"))).to_numpy(zero_copy_only=False)
             lo = 0
             for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[lo]:
-                    if keys[lo] != now and parts:
-                        yield from join(parts, now)
-                        parts = []
+                if i < len(keys) and keys[i] == keys[lo]:
+                    continue
+                piece = b.slice(lo, i - lo)
+                if keys[lo] != now:
+                    if held > BLOCK_TOKENS:
+                        yield from join(parts, own)
+                        parts, own, held = [], [], 0
                     now = keys[lo]
-                    parts.append(b.slice(lo, i - lo))
-                    lo = i
+                    parts.append(piece)
+                    own.append(now[3])
+                else:
+                    both = pa.Table.from_batches([parts[-1], piece]).combine_chunks()
+                    parts[-1] = both.to_batches()[0]
+                held += int(size[lo:i].sum())
+                lo = i
         if parts:
-            yield from join(parts, now)
+            yield from join(parts, own)
 
     return run
 
 
-def gram_sets(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id", n: int = 3) -> DataFrame:
-    """Sets that may have a partner: ``sid, size, shared, prefix, ids, dfs, tokens, weights`` (tokens in global order), equal sets merged."""
+def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id", n: int = 3, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """Texts that may have a partner: ``sid, id, size, shared, prefix, dfs, tokens, weights`` (tokens in global order).
+
+    ``docs`` should be a stored table: blocks are numbered by scan partition, so
+    a task that runs again must see the same rows.
+    """
     spark = attach(docs.sparkSession)
     src = docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(3, (4 * parts - 1).bit_length())
+    most = max(8, block_grams // 64)
+    bits = max(3, min(most, max(4 * parts, size_of(docs) // RANGE_BYTES)).bit_length())
     kind = src.schema["id"].dataType
     id_type = _arrow_schema(T.StructType([src.schema["id"]])).field(0).type
-    wire = T.StructType([T.StructField("range", T.LongType()), T.StructField("base", T.LongType()), T.StructField("payload", T.BinaryType()), T.StructField("id", kind), T.StructField("size", T.LongType())])
-    post = T.StructType([T.StructField("route", T.LongType()), T.StructField("uid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("payload", T.BinaryType())])
     kinds = {"dfs": T.IntegerType(), "tokens": T.LongType(), "weights": T.IntegerType()}
     out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, T.ArrayType(k)) for c, k in kinds.items()]])
-    shared = src.mapInArrow(_blocks(n, bits, id_type), wire).repartition(parts, "range").sortWithinPartitions("range").mapInArrow(_postings(id_type, 4 * parts), post)
-    lists = shared.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_lists(t)(_arrow_schema(out)), out)
-    # only sets without n-grams of their own can be equal to others
-    lists = spill_table(lists, "lists")
-    equal = lists.where("shared = size").groupBy("size", "shared", "prefix", "dfs", "tokens", "weights").agg(F.min("sid").alias("sid"), F.sort_array(F.collect_set("id")).alias("ids"))
-    odd = lists.where("shared < size").withColumn("ids", F.array("id"))
-    cols = ["sid", "size", "shared", "prefix", "ids", "dfs", "tokens", "weights"]
-    return odd.select(*cols).unionByName(equal.select(*cols))
+    asked = src.mapInArrow(_blocks(n, bits, id_type, block_grams), _WIRE).repartition(parts, "route").sortWithinPartitions("route")
+    told = asked.mapInArrow(_owners, _WIRE).repartition(parts, "base").sortWithinPartitions("base", "kind", "route")
+    return told.mapInArrow(_homes(t)(_arrow_schema(out)), out)
 
 
 def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """``a, b`` (sids), ``both`` and the two sizes of every pair of sets with Jaccard >= t.
-
-    Sets that share prefix tokens, directly or over others, form a block, and
-    every set is sent to its block once. A block of more than ``block_tokens``
-    list entries is cut into chunks of half that, and each two chunks meet in a
-    block of their own. Beyond ``MAX_CHUNKS`` it is worked token by token (each
-    pair at the first token it shares), a copy of a list for each prefix token.
+    """``sid, links, root``: parts of each set's number of linked documents, and edges that span the links.
+
+    ``sets``: ``sid, size, copies, prefix, dfs, tokens, weights``. Sets that
+    share prefix tokens, directly or over others, form a block, and every set is
+    sent to its block once. A block of more than ``block_tokens`` list entries is
+    cut into chunks of half that, and each two chunks meet in a block of their
+    own. Beyond ``MAX_CHUNKS`` it is worked token by token (each pair at the
+    first token it shares), with the same bound and chunks for a token's sets.
     """
     spark = attach(sets.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = spill_table(sets.select("sid", F.size("tokens").alias("n"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefix")
-    hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    # chunks of half a block, so that two of them make one
+    chunks = F.when(F.col("held") <= block_tokens, 1).otherwise(F.ceil(2 * F.col("held") / block_tokens)).cast("int")
+    hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("held")).where("c > 1")
     star = edges.join(hub, "token").select(F.col("hub").alias("u"), F.col("sid").alias("v")).where("u <> v").distinct()
     blocks = components(star)
     weigh = edges.select("sid", "n").distinct().join(blocks, edges["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"))
-    # chunks of half a block, so that two of them make one
-    chunks = F.when(F.col("held") <= block_tokens, 1).otherwise(F.ceil(2 * F.col("held") / block_tokens)).cast("int")
-    placed = cut(blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", chunks.alias("m")))
-    if placed.count() <= BROADCAST_SETS:
-        placed = F.broadcast(placed)
-    body = ["sid", "size", "dfs", "tokens", "weights"]
-    at = sets.join(placed, "sid").withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("chunk", j).alias("lo"), F.greatest("chunk", j).alias("hi")))
-    whole = at.where(F.col("m") <= MAX_CHUNKS).select("root", F.inline(others), F.lit(None).cast("long").alias("token"), "chunk", *body)
-    single = at.where(F.col("m") > MAX_CHUNKS).select("root", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token"), "chunk", *body)
+    placed = blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", chunks.alias("m"))
+    at = sets.join(placed, "sid")
+    body = ["sid", "size", "copies", "prefix", "dfs", "tokens", "weights"]
+
+    def meet(rows: DataFrame, token) -> DataFrame:
+        """Each chunk with itself and every other."""
+        others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("chunk", j).alias("lo"), F.greatest("chunk", j).alias("hi")))
+        return rows.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int")).select("root", F.inline(others), token.alias("token"), "chunk", *body)
+
+    whole = meet(at.where(F.col("m") <= MAX_CHUNKS), F.lit(None).cast("long"))
+    by_token = at.where(F.col("m") > MAX_CHUNKS).drop("m").withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))))
+    single = meet(by_token.join(hub.select("token", chunks.alias("m")), "token"), F.col("token"))
     rows = whole.unionByName(single).repartition(parts, "root", "lo", "hi", "token").sortWithinPartitions("root", "lo", "hi", "token")
-    return rows.mapInArrow(_trees(t), "a long, b long, both long, size_a long, size_b long")
+    out = spill_table(rows.mapInArrow(_trees(t), "sid long, links long, root long"), "links")
+    forget(edges, blocks)
+    return out
 
 
-def ngram_join(docs: DataFrame, t: float = 0.5, text: str = "text", key: str = "doc_id", n: int = 3) -> DataFrame:
-    """Groups and pairs of documents whose n-gram sets have Jaccard similarity >= ``t`` (see above)."""
+def ngram_join(docs: DataFrame, t: float = 0.5, text: str = "text", key: str = "doc_id", n: int = 3, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """``doc_id, class_id, n_links`` of every document with a partner of Jaccard similarity >= ``t`` (see above)."""
     if not 0 < t <= 1:
         raise ValueError("t must be in (0, 1]")
-    sets = spill_table(gram_sets(docs, t, text, key, n), "gramsets")
-    pairs = set_pairs(sets, t)
-    ids = sets.select("sid", "ids")
-    near = (
-        pairs.join(ids.select(F.col("sid").alias("a"), F.col("ids").alias("ids_a")), "a")
-        .join(ids.select(F.col("sid").alias("b"), F.col("ids").alias("ids_b")), "b")
-        .select(F.array_sort(F.array_distinct(F.concat("ids_a", "ids_b"))).alias("doc_ids"), F.round(F.col("both") / (F.col("size_a") + F.col("size_b") - F.col("both")), 6).alias("jaccard"))
-    )
-    same = sets.select(F.col("ids").alias("doc_ids"), F.lit(1.0).alias("jaccard"))
-    return same.unionByName(near).where(F.size("doc_ids") > 1)
-
-
-def expand_pairs(rows: DataFrame) -> DataFrame:
-    """Plain pairs ``doc_a < doc_b, jaccard`` of the rows of ``ngram_join``."""
-    a = rows.select("doc_ids", "jaccard", F.explode("doc_ids").alias("doc_a"))
-    return a.select("doc_a", F.explode("doc_ids").alias("doc_b"), "jaccard").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
-
-
-def components(star: DataFrame) -> DataFrame:
-    """``id, root`` of the connected nodes of the edges ``u, v``; the root is the smallest id.
-
-    Minimum-label rounds with pointer jumping; every round is checkpointed, and
-    their number grows with the logarithm of the diameter.
+    lists = spill_table(gram_lists(docs, t, text, key, n, block_grams), "lists")
+    # equal sets have equal lists; a set with n-grams of its own equals no other
+    twin = F.col("shared") == F.col("size")
+    mark = [F.when(twin, F.xxhash64(F.lit(i), "size", "dfs", "tokens", "weights")).otherwise(F.col("sid") if i else F.lit(None)).alias(f"k{i}") for i in (0, 1)]
+    marked = lists.select("sid", "id", *mark)
+    same = F.col("k0").eqNullSafe(F.col("r0")) & (F.col("k1") == F.col("r1"))
+    items = spill_table(marked.groupBy("k0", "k1", "id").agg(F.min("sid").alias("sid")), "items")
+    reps = spill_table(items.groupBy("k0", "k1").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
+    sets = lists.join(reps.select("rep", "copies"), F.col("sid") == F.col("rep")).select("sid", "size", "copies", "prefix", "dfs", "tokens", "weights")
+    links = set_pairs(sets, t)
+    reps = reps.select(F.col("k0").alias("r0"), F.col("k1").alias("r1"), "rep", "copies")
+    own = items.join(reps, same).select("id", "rep", "copies")
+    count = links.groupBy("sid").agg(F.sum("links").alias("links"))
+    own = own.join(count, F.col("rep") == F.col("sid"), "left").select("id", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).where("links > 0")
+    own = spill_table(own, "own")
+    # an id with several texts connects their sets
+    several = own.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).where("u <> w").select("id", "u")
+    tied = own.join(several, "id").select("u", F.col("rep").alias("v"))
+    linked = links.select(F.col("root").alias("u"), F.col("sid").alias("v")).unionByName(tied).where("u <> v")
+    roots = components(linked)
+    top = own.join(roots.select(F.col("id").alias("node"), "root"), F.col("rep") == F.col("node"), "left").select("id", "links", F.coalesce("root", "rep").alias("root"))
+    least = top.groupBy("root").agg(F.min("id").alias("class_id"))
+    return top.join(least, "root").groupBy(F.col("id").alias(key)).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links"))
+
+
+def _contract(batches):
+    """Edges ``u, v`` of a task -> its nodes and the smallest node that each is connected to in it."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n, bound = 0, EDGES_AT_ONCE
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        n += b.num_rows
+        if n > bound:
+            held = [forest(*(np.concatenate(x) for x in zip(*held)))]
+            n = len(held[0][0])
+            bound = max(EDGES_AT_ONCE, 2 * n)
+    if n:
+        node, root = forest(*(np.concatenate(x) for x in zip(*held)))
+        for lo in range(0, len(node), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(node[lo : lo + 100_000]), pa.array(root[lo : lo + 100_000])], names=["id", "root"])
+
+
+def components(star: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """``id, root`` of the connected nodes of the edges ``u, v`` (BIGINT); the root is the smallest id.
+
+    Every task first contracts its own edges to a forest. At most ``at_once``
+    edges of 16 bytes are then contracted by one task; more take minimum-label
+    rounds with pointer jumping, whose number grows with the logarithm of the
+    diameter and each of which is written down.
     """
-    edges = spill_table(star.select("u", "v").unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    label = cut(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("root")))
+    spanning = spill_table(star.select("u", "v").mapInArrow(_contract, "id long, root long"), "forest")
+    edges = spanning.where("id <> root")
+    if spanning.count() <= at_once:
+        out = spill_table(spanning.coalesce(1).mapInArrow(_contract, "id long, root long"), "roots")
+        forget(spanning)
+        return out
+    both = spill_table(edges.selectExpr("id as u", "root as v").unionByName(edges.selectExpr("root as u", "id as v")).distinct(), "edges")
+    forget(spanning)
+    label = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("root")))
     while True:
-        near = edges.join(label, edges["v"] == label["id"]).groupBy("u").agg(F.min("root").alias("m"))
+        near = both.join(label, both["v"] == label["id"]).groupBy("u").agg(F.min("root").alias("m"))
         hooked = label.join(near, label["id"] == near["u"]).select("id", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         up = hooked.select(F.col("id").alias("p"), F.col("root").alias("top"))
         step = cut(hooked.join(up, hooked["root"] == up["p"], "left").select("id", F.least("root", F.coalesce("top", "root")).alias("root"), "old"))
         label, moved = step.select("id", "root"), step.where("root <> old").limit(1).count()
         if not moved:
+            forget(both)
             return label
-
-
-def duplicate_groups(rows: DataFrame) -> DataFrame:
-    """``id, root``: connected documents of the rows of ``ngram_join`` and the smallest id of their group."""
-    return components(rows.select(F.element_at("doc_ids", 1).alias("u"), F.explode("doc_ids").alias("v")).where("u <> v").distinct())

@@ -1,7 +1,7 @@
 """DuckDB statements for the operators that SQL can express."""
 
 OP10 = r"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (
@@ -9,20 +9,21 @@ g AS (
     THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
     ELSE [array_to_string(w, ' ')] END)) AS g
   FROM w WHERE len(w) > 0),
-s AS (
-  SELECT md5(array_to_string(g, '|')) AS k, any_value(g) AS g, len(any_value(g)) AS n, list_sort(list_distinct(list(doc_id))) AS ids
-  FROM g GROUP BY 1),
+t AS (SELECT DISTINCT doc_id, md5(array_to_string(g, '|')) AS k, g FROM g),
+s AS (SELECT k, any_value(g) AS g, len(any_value(g)) AS n, count(*) AS c, min(doc_id) AS least FROM t GROUP BY 1),
 x AS (SELECT k, n, unnest(g) AS gram FROM s),
 p AS (
-  SELECT a.k AS ka, b.k AS kb, a.n AS na, b.n AS nb, count(*) AS o
-  FROM x a JOIN x b ON a.gram = b.gram AND a.k < b.k GROUP BY ALL),
-r AS (
-  SELECT ids AS doc_ids, 1.0::DOUBLE AS jaccard FROM s
-  UNION ALL
-  SELECT list_sort(list_distinct(list_concat(a.ids, b.ids))), round(o::DOUBLE / (na + nb - o), 6)
-  FROM p JOIN s a ON a.k = ka JOIN s b ON b.k = kb
-  WHERE o::DOUBLE / (na + nb - o) >= 0.5 - 1e-9)
-SELECT doc_ids, jaccard FROM r WHERE len(doc_ids) > 1
+  SELECT a.k AS ka, b.k AS kb
+  FROM x a JOIN x b ON a.gram = b.gram AND a.k <> b.k
+  GROUP BY a.k, b.k, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) >= 0.5 - 1e-9),
+l AS (SELECT ka AS k, sum(c) AS links FROM p JOIN s ON s.k = kb GROUP BY 1),
+i AS (
+  SELECT t.doc_id, t.k, c - 1 + coalesce(links, 0) AS links
+  FROM t JOIN s ON s.k = t.k LEFT JOIN l ON l.k = t.k WHERE c - 1 + coalesce(links, 0) > 0),
+e AS (SELECT ka AS a, kb AS b FROM p UNION SELECT y.k, z.k FROM i y JOIN i z ON y.doc_id = z.doc_id AND y.k <> z.k),
+r(k, o) AS (SELECT DISTINCT k, k FROM i UNION SELECT r.k, e.b FROM r JOIN e ON r.o = e.a),
+m AS (SELECT r.k, min(s.least) AS class_id FROM r JOIN s ON s.k = r.o GROUP BY 1)
+SELECT i.doc_id, min(m.class_id) AS class_id, sum(i.links)::BIGINT AS n_links FROM i JOIN m ON m.k = i.k GROUP BY 1
 """
 
 OP2 = r"""

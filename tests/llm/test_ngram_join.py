@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from orrery.llm import ngram_join as N
@@ -10,16 +12,17 @@ from orrery.llm import ngram_join as N
 WORDS = [f"w{i}" for i in range(60)]
 
 
-def corpus(seed=3):
+def corpus(seed=3, most=9):
     r = random.Random(seed)
     base = [[r.choice(WORDS) for _ in range(r.randint(1, 60))] for _ in range(12)]
     docs = []
     for b in base:
-        for _ in range(r.randint(1, 9)):
+        for _ in range(r.randint(1, most)):
             t = [w if r.random() > 0.06 else r.choice(WORDS) for w in b]
             docs.append(" ".join(t))
     docs += ["", "   ", "one", "One!", "two words", "x " * 3000, "x " * 3000]
-    return [(i, d) for i, d in enumerate(docs)] + [(1000, None), (None, docs[0]), (0, docs[0])]
+    docs += [docs[0], docs[0], docs[0] + " and a tail of its own", docs[0] + " and another tail"]
+    return [(i, d) for i, d in enumerate(docs)] + [(1000, None), (None, docs[0]), (0, docs[0]), (1, docs[-8])]
 
 
 def grams(text, n=3):
@@ -28,25 +31,94 @@ def grams(text, n=3):
 
 
 def brute(rows, t):
-    sets = {i: grams(d) for i, d in rows if i is not None and d}
-    sets = {i: s for i, s in sets.items() if s}
-    ids = sorted(sets)
-    return {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b]) - 1e-9}
+    """(class, links) of each linked id: all pairs of distinct (id, set)."""
+    items = sorted({(i, grams(d)) for i, d in rows if i is not None and d and grams(d)}, key=lambda x: (x[0], sorted(x[1])))
+    links, root = {}, {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for k, (i, a) in enumerate(items):
+        for j, b in items[k + 1 :]:
+            if len(a & b) >= t * len(a | b) - 1e-9:
+                links[i], links[j] = links.get(i, 0) + 1, links.get(j, 0) + 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: (find(i), n) for i, n in links.items()}
 
 
-@pytest.mark.parametrize("t,block,chunks", [(0.5, 10**9, 32), (0.5, 300, 32), (0.5, 200, 1), (0.8, 10**9, 32), (1.0, 10**9, 32)])
-def test_against_brute_force(spark, monkeypatch, t, block, chunks):
+def rows_of(df):
+    return {r["doc_id"]: (r["class_id"], r["n_links"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("t,block,chunks,edges", [(0.5, 400_000, 32, 4_000_000), (0.5, 300, 32, 4_000_000), (0.5, 200, 1, 3), (0.8, 400_000, 32, 3), (1.0, 400_000, 32, 4_000_000)])
+def test_against_brute_force(spark, monkeypatch, t, block, chunks, edges):
     monkeypatch.setattr(N, "MAX_CHUNKS", chunks)
     monkeypatch.setattr(N.set_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(N.components, "__defaults__", (edges,))
     rows = corpus()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as token", "3 as sid")
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in N.expand_pairs(N.ngram_join(docs, t)).collect()}
+    names = ("id", "token", "sid", "root", "links", "class_id", "n_links", "k0", "rep")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"{i} as {x}" for i, x in enumerate(names)]).repartition(3)
+    got = rows_of(N.ngram_join(docs, t, block_grams=700))
     assert got == brute(rows, t)
 
 
-def test_groups_and_empty(spark):
-    rows = corpus()
-    pairs = brute(rows, 0.5)
+def test_empty_and_string_ids(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    assert N.ngram_join(docs.limit(0)).count() == 0
+    assert N.ngram_join(docs.where("doc_id = 1000 or text = ''")).count() == 0
+    got = {r["name"]: r["n_links"] for r in N.ngram_join(docs.where("doc_id in (2, 3)").selectExpr("concat('d', doc_id) as name", "'a b c d' as text"), key="name").collect()}
+    assert got == {"d2": 1, "d3": 1}
+
+
+def test_one_long_text_among_copies(spark):
+    r = random.Random(8)
+    long = " ".join(f"v{r.randint(0, 10**9)}" for _ in range(60_000))
+    rows = [(1, long), (2, long + " tail"), (3, " ".join(long.split()[:40_000])), (4, " ".join(long.split()[:20_000]))]
+    got = rows_of(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block_grams=5_000))
+    # 40,000 of 60,000 n-grams; 20,000 of 40,000 just reach a half or just miss it
+    want = brute(rows, 0.5)
+    assert got == want and set(got) >= {1, 2, 3}
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.9])
+def test_tree_of_random_sets(t):
+    """Traversal with pruning against all pairs, in a trie of many forks, ends inside paths and equal lists."""
+    g = np.random.default_rng(int(t * 10))
+    lists, sizes = [], []
+    for b in range(3):
+        for _ in range(60):
+            base = np.flatnonzero(g.random(70) < 0.3) if not lists or g.random() < 0.3 else lists[g.integers(len(lists))][1]
+            x = np.unique(np.concatenate([base[g.random(len(base)) < 0.9], g.integers(0, 70, g.integers(0, 4))]))
+            if len(x):
+                lists.append((b, x.astype(np.int64)))
+    weight_of = g.integers(1, 5, (3, 70))
+    w = [weight_of[b][x] for b, x in lists]
+    sizes = np.array([int(x.sum()) + int(g.integers(0, 3)) for x in w])
+    prefix = []
+    for x, size in zip(w, sizes):
+        rest = x.sum() - (np.cumsum(x) - x)
+        prefix.append(int((rest >= max(1, np.ceil(t * size - 1e-9))).sum()))
+    s = N.Sets(np.array([b for b, _ in lists]), np.concatenate([x for _, x in lists]), np.concatenate(w).astype(np.int64), np.array([len(x) for _, x in lists]), np.array(prefix), sizes)
+    got = {}
+    for a, b, o in N.tree_join(s, t):
+        for i, j, k in zip(s.order[a].tolist(), s.order[b].tolist(), o.tolist()):
+            assert (min(i, j), max(i, j)) not in got
+            got[min(i, j), max(i, j)] = k
+    want = {}
+    for i in range(len(lists)):
+        for j in range(i):
+            if lists[i][0] == lists[j][0]:
+                o = int(weight_of[lists[i][0]][np.intersect1d(lists[i][1], lists[j][1])].sum())
+                if o and o >= t * (sizes[i] + sizes[j] - o) - 1e-9:
+                    want[j, i] = o
+    assert got == want and len(want) > 15
+
+
+def test_forest():
+    g = np.random.default_rng(1)
+    u, v = g.integers(0, 400, 300), g.integers(0, 400, 300)
     root = {}
 
     def find(x):
@@ -54,10 +126,9 @@ def test_groups_and_empty(spark):
             x = root[x]
         return x
 
-    for a, b in pairs:
-        ra, rb = find(a), find(b)
-        root[max(ra, rb)] = min(ra, rb)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["id"]: r["root"] for r in N.duplicate_groups(N.ngram_join(docs)).collect()}
-    assert got == {x: find(x) for x in list(root)}
-    assert N.ngram_join(docs.limit(0)).count() == 0
+    for a, b in zip(u.tolist(), v.tolist()):
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    node, label = N.forest(u, v)
+    assert dict(zip(node.tolist(), label.tolist())) == {x: find(x) for x in set(u.tolist()) | set(v.tolist())}
+    batch = pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    assert sum(b.num_rows for b in N._contract([batch])) == len(node)
