@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, crf, line_dedup, mixing, ngram_join
-from orrery.runtime import attach, read_table, scratch_dir
+from orrery.runtime import attach, forget, read_table, spill_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,8 +31,7 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of connected near copies."""
     attach(spark)
-    roots = ngram_join.duplicate_groups(ngram_join.ngram_join(docs, t=0.5))
-    gone = roots.where("id <> root").select(F.col("id").alias("__gone"))
+    gone = ngram_join.ngram_join(docs, t=0.5).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*COLUMNS)
 
 
@@ -64,9 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     docs = read_table(spark, sf_dir, "documents")
-    base = f"{scratch_dir(spark).rstrip('/')}/orrery-pipeline-{uuid.uuid4().hex[:12]}"
-    for i, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{i}_{name}"
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+    for name, stage in STAGES:
+        done = spill_table(stage(spark, docs, sf_dir), name)
+        forget(docs)  # the table of the stage before
+        docs = done
     return docs
