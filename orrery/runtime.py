@@ -88,6 +88,26 @@ def forget(*tables: DataFrame) -> None:
             _forget(df.sparkSession, path)
 
 
+#: Plan nodes that give the same rows in the same order each time they run.
+_REPEATABLE = {"LogicalRelation", "LocalRelation", "LogicalRDD", "Project", "Filter", "Relation"}
+
+
+def stable(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` itself if it is a scan with projections and filters, else a scratch table of it.
+
+    After a shuffle the order of rows isn't fixed, so a plan that runs twice, or
+    whose lost tasks run again, could number them differently.
+    """
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in _REPEATABLE:
+            return spill_table(df, tag)
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return df
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of ``df`` as the optimizer estimates them (files on disk for a scan; nothing is read), 0 if it has no idea."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
