@@ -1,28 +1,33 @@
 """Byte-level BPE encoding and decoding with a global distinct-word shuffle.
 
 Encoding explodes texts into pre-tokens with their positions, sends each
-distinct word to the one partition that owns it, encodes it there once, joins
-the ids back, and reassembles documents by position. What crosses the network
-is packed: per block of text the distinct words (front to one owner each), the
-ids on their way back, and the positions as word numbers in byte planes; an
-exploded table of (document, position, word) rows would be several times the
-input. The pre-tokenizer runs twice, once for the words and once for the
-positions, so that positions cross the network once only. Decoding joins ids
-with the token-byte table by position.
+distinct word to the one owner of its hash, encodes it there once, joins the ids
+back, and reassembles documents by position. What crosses the network is packed:
+per block of text the distinct words (front to one owner each), the ids on their
+way back, and the positions as word numbers in byte planes; an exploded table of
+(document, position, word) rows would be several times the input. The
+pre-tokenizer runs twice, once for the words and once for the positions, so that
+positions cross the network once only. Both runs must see the same rows: input
+that isn't a plain scan is written down first, and each block's two halves bear
+a mark of its words, whose difference is an error.
+
+Decoding explodes the ids with their positions, joins them with the token-byte
+table (one row per vocabulary entry, so it is broadcast), and reassembles the
+bytes by position. A document's tokens stay in one task and in order, which is
+verified row by row, so nothing is shuffled.
 
 Rows, defined results:
   null text      -> null ids, 0 tokens        empty text -> empty ids
   repeated rows  -> one output row each       null ids in other columns pass
-  empty table    -> empty result              other columns don't matter: only
-                                              ``keep`` columns are carried
+  empty table    -> empty result              very long texts go in steps
+  columns whose names clash with a result's are refused; others don't matter:
+  only ``keep`` columns are carried
 """
 
 from __future__ import annotations
 
 import io
-import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,54 +38,22 @@ from pyspark.sql import types as T
 
 from orrery.llm import textkit as K
 from orrery.llm import vocab
-from orrery.runtime import attach
+from orrery.llm.wire import pack, unpack
+from orrery.runtime import attach, size_of, stable
 
 #: Characters whose distinct words form one dictionary, and characters handled at a time.
-BLOCK_CHARS = 6_000_000
-STEP_CHARS = 500_000
+BLOCK_CHARS = 3_000_000
+STEP_CHARS = 400_000
+#: Bytes of input for each owner of words (an owner's words are in memory one owner at a time), and the most owners: a block has a message for each.
+OWNER_BYTES = 16 << 20
+MAX_OWNERS = 1024
 _WIRE = "route long, block long, kind int, seq long, payload binary"
 _WIRE_PA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int64()), ("payload", pa.binary())])
 
 
-@lru_cache(maxsize=1)
-def _zstd():
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
-
-
-def _pack(*parts: bytes) -> bytes:
-    out = io.BytesIO()
-    out.write(struct.pack("<I", len(parts)))
-    for p in parts:
-        z = _zstd()[0].compress(p)
-        out.write(struct.pack("<QQ", len(z), len(p)))
-        out.write(z)
-    return out.getvalue()
-
-
-def _unpack(blob: bytes) -> list[bytes]:
-    n, at, out = struct.unpack_from("<I", blob)[0], 4, []
-    for _ in range(n):
-        z, raw = struct.unpack_from("<QQ", blob, at)
-        at += 16
-        out.append(_zstd()[1].decompress(blob[at : at + z], max_output_size=raw) if raw else b"")
-        at += z
-    return out
-
-
-def _planes(a: np.ndarray) -> list[bytes]:
-    """Unsigned numbers below 2**32 as four byte planes, which compress far better than mixed bytes."""
-    b = np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4)
-    return [b[:, i].tobytes() for i in range(4)]
-
-
-def _unplanes(p: list[bytes]) -> np.ndarray:
-    n = len(p[0])
-    b = np.empty((n, 4), np.uint8)
-    for i in range(4):
-        b[:, i] = np.frombuffer(p[i], np.uint8, n)
-    return b.view("<u4").ravel()
+def _rows(route: list[int], block: int, kind: int, seq: list[int], payload: list[bytes]) -> pa.RecordBatch:
+    n = len(route)
+    return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array(seq, pa.int64()), pa.array(payload, pa.binary())], schema=_WIRE_PA)
 
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
@@ -90,117 +63,135 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return out.getvalue()
 
 
-class _Block:
-    """Distinct words and word numbers of about BLOCK_CHARS of text."""
+def _ragged(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[b:b+s] of each pair, one after the other."""
+    total = int(size.sum())
+    shift = np.repeat(begin - (np.cumsum(size) - size), size)
+    return values[np.arange(total) + shift]
+
 
-    def __init__(self, number: int, owners: int):
-        self.number, self.owners = number, owners
-        self.index: dict[str, int] = {}
-        self.hashes: list[np.ndarray] = []
-        self.steps: list[tuple[bytes, np.ndarray, np.ndarray]] = []
+class _Words:
+    """Distinct words of a block, numbered as they first occur, known by their hashes; ``keep``: with their bytes."""
+
+    def __init__(self, keep: bool):
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+        self.ordered: list[np.ndarray] = []  # hashes by number
+        self.keep = keep
+        self.bytes: list[np.ndarray] = []
+        self.size: list[np.ndarray] = []
         self.chars = 0
 
-    def add(self, texts: list[str | None], carried: pa.RecordBatch) -> None:
-        body = [t or "" for t in texts]
-        cp, starts = K.codepoints(body)
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all pre-tokens of the texts, and the number of pre-tokens of each text."""
+        cp, starts = K.codepoints(texts)
         self.chars += len(cp)
         beg = K.pretokens(cp, starts)
         end = np.append(beg[1:], len(cp))
         h = K.span_hashes(cp, beg, end)
         uniq, at, inv = np.unique(h, return_index=True, return_inverse=True)
-        # equal hashes must be equal words: compare every sign with its representative's
-        if len(cp):
-            size = end - beg
-            rep = at[inv]
-            if not (np.array_equal(size, size[rep]) and np.array_equal(cp, cp[np.repeat(beg[rep] - beg, size) + np.arange(len(cp))])):
-                raise ValueError("two words share a 64-bit hash")
-        full = "".join(body)
+        pos = np.searchsorted(self.hashes, uniq)
+        old = np.zeros(len(uniq), bool)
+        ok = pos < len(self.hashes)
+        old[ok] = self.hashes[pos[ok]] == uniq[ok]
         num = np.empty(len(uniq), np.int64)
-        fresh = []
-        index = self.index
-        for j, (s, e) in enumerate(zip(beg[at].tolist(), end[at].tolist())):
-            w = full[s:e]
-            k = index.get(w)
-            if k is None:
-                k = index[w] = len(index)
-                fresh.append(j)
-            num[j] = k
-        self.hashes.append(uniq[np.array(fresh, np.int64)])
-        counts = np.diff(np.searchsorted(beg, starts))
-        counts[[i for i, t in enumerate(texts) if t is None]] = -1
-        self.steps.append((_ipc(carried), counts, num[inv].astype(np.uint32)))
-
-    def rows(self, words: bool) -> Iterator[pa.RecordBatch]:
-        """Rows of the words (with their owners), or of the documents."""
-        if not self.steps:
-            return
-        n = len(self.index)
-        freq = np.zeros(n, np.int64)
-        for _, _, seq in self.steps:
-            freq += np.bincount(seq, minlength=n)
-        rank = np.empty(n, np.uint32)
-        order = np.argsort(-freq, kind="stable")
-        rank[order] = np.arange(n, dtype=np.uint32)
-
-        def row(route: int, kind: int, seq: int, payload: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([route], pa.int64()), pa.array([self.number], pa.int64()), pa.array([kind], pa.int32()), pa.array([seq], pa.int64()), pa.array([payload], pa.binary())], schema=_WIRE_PA)
-
-        if words:
-            owner = self._owners(order)
-            listed = list(self.index)
-            by_owner = np.argsort(owner, kind="stable")
-            cut = K.groups(owner[by_owner])
-            for lo, hi in zip(cut, np.append(cut[1:], n)):
-                ids = by_owner[lo:hi]
-                ws = [listed[i].encode("utf-8", "surrogatepass") for i in order[ids]]
-                lens = np.fromiter(map(len, ws), np.uint32, len(ws))
-                o = int(owner[ids[0]])
-                yield row(o, 0, o, _pack(*_planes(lens), b"".join(ws)))
-        else:
-            yield row(0, 1, 0, _pack(*_planes(self._owners(order))))
-            for i, (carried, counts, seq) in enumerate(self.steps):
-                yield row(0, 2, i, _pack(carried, counts.astype("<i8").tobytes(), *_planes(rank[seq])))
-
-    def _owners(self, order: np.ndarray) -> np.ndarray:
-        """Owner of each word, by rank."""
-        hashes = np.concatenate(self.hashes)[order] if len(order) else np.zeros(0, np.uint64)
-        return (hashes % np.uint64(self.owners)).astype(np.uint32)
+        num[old] = self.numbers[pos[old]]
+        fresh = np.flatnonzero(~old)
+        fresh = fresh[np.argsort(at[fresh], kind="stable")]
+        num[fresh] = len(self.hashes) + np.arange(len(fresh))
+        if self.keep and len(cp):
+            self._verify(texts, cp, beg, end, at, inv, num, fresh, old)
+        if len(fresh):
+            self.ordered.append(uniq[fresh])
+            hashes, numbers = np.concatenate([self.hashes, uniq[fresh]]), np.concatenate([self.numbers, num[fresh]])
+            o = np.argsort(hashes, kind="stable")
+            self.hashes, self.numbers = hashes[o], numbers[o]
+        return num[inv], np.diff(np.searchsorted(beg, starts))
+
+    def _verify(self, texts, cp, beg, end, at, inv, num, fresh, old) -> None:
+        """Equal hashes must be equal words, here and among the words known; takes the fresh words' bytes."""
+        size, rep = end - beg, at[inv]
+        if not (np.array_equal(size, size[rep]) and np.array_equal(cp, cp[np.repeat(beg[rep] - beg, size) + np.arange(len(cp))])):
+            raise ValueError("two words share a 64-bit hash")
+        body = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+        wide = np.concatenate([[0], np.cumsum(1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000))])
+        b, n = wide[beg[at]], wide[end[at]] - wide[beg[at]]
+        if old.any():
+            known, width = np.concatenate(self.bytes), np.concatenate(self.size)
+            k = num[old]
+            if not (np.array_equal(width[k], n[old]) and np.array_equal(_ragged(known, (np.cumsum(width) - width)[k], n[old]), _ragged(body, b[old], n[old]))):
+                raise ValueError("two words share a 64-bit hash")
+            self.bytes, self.size = [known], [width]
+        self.bytes.append(_ragged(body, b[fresh], n[fresh]))
+        self.size.append(n[fresh])
+
+    def mark(self) -> np.ndarray:
+        """Of all words in their order; the same for both halves of a block."""
+        h = np.concatenate(self.ordered) if self.ordered else np.zeros(0, np.uint64)
+        return np.array([K.mix(h + np.arange(len(h), dtype=np.uint64)).sum(dtype=np.uint64)], np.uint64)
+
+    def owners(self, owners: int) -> np.ndarray:
+        h = np.concatenate(self.ordered) if self.ordered else np.zeros(0, np.uint64)
+        return (h % np.uint64(owners)).astype(np.int64)
 
 
 def _split(text_at: int, keep_at: list[int], owners: int, block_chars: int, words: bool):
+    """Rows of the words for their owners, or of the documents for their block."""
+
+    def close(block: _Words, number: int) -> pa.RecordBatch:
+        owner = block.owners(owners)
+        if not words:
+            return _rows([0], number, 1, [0], [pack(block.mark(), owner)])
+        body, size = np.concatenate(block.bytes or [np.zeros(0, np.uint8)]), np.concatenate(block.size or [np.zeros(0, np.int64)])
+        begin = np.cumsum(size) - size
+        order = np.argsort(owner, kind="stable")
+        cuts = K.groups(owner[order])
+        to, payload = [], []
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+            k = order[lo:hi]
+            to.append(int(owner[k[0]]))
+            payload.append(pack(block.mark(), size[k], _ragged(body, begin[k], size[k]).tobytes()))
+        return _rows(to, number, 0, to, payload)
+
     def run(batches):
         from pyspark import TaskContext
 
-        # blocks are numbered by scan partition, the same in both passes
-        part = TaskContext.get().partitionId()
-        k = 0
-        block = _Block(part << 24, owners)
+        # blocks are numbered by scan partition, the same in both runs
+        number = TaskContext.get().partitionId() << 24
+        block, step = _Words(words), 0
         for b in batches:
             texts = b.column(text_at).to_pylist()
+            body = [t or "" for t in texts]
             carried = pa.RecordBatch.from_arrays([b.column(i) for i in keep_at], names=[f"c{i}" for i in range(len(keep_at))])
-            for lo, hi in K.rechunk([t or "" for t in texts], STEP_CHARS):
-                block.add(texts[lo:hi], carried.slice(lo, hi - lo))
+            for lo, hi in K.rechunk(body, STEP_CHARS):
+                seq, counts = block.add(body[lo:hi])
+                if not words:
+                    counts[[i for i, t in enumerate(texts[lo:hi]) if t is None]] = -1
+                    yield _rows([0], number, 2, [step], [pack(_ipc(carried.slice(lo, hi - lo)), counts + 1, seq)])
+                step += 1
                 if block.chars >= block_chars:
-                    yield from block.rows(words)
-                    k += 1
-                    block = _Block((part << 24) + k, owners)
-        yield from block.rows(words)
+                    yield close(block, number)
+                    number += 1
+                    block, step = _Words(words), 0
+        if step:
+            yield close(block, number)
 
     return run
 
 
 def _encode_words(path: str):
-    """Owner side: ids of every word of the partition, each distinct word encoded once."""
+    """Owner side (rows sorted by owner): ids of every word, each distinct word encoded once."""
 
     def run(batches):
         enc = vocab.byte_encoder(path)._core_bpe
-        known: dict[bytes, tuple] = {}
+        now, known = None, {}
         for b in batches:
             payload = []
-            for blob in b.column(4):
-                *lens, body = _unpack(blob.as_py())
+            for route, blob in zip(b.column(0).to_pylist(), b.column(4)):
+                if route != now:
+                    now, known = route, {}
+                mark, lens, body = unpack(blob.as_py())
                 ids, sizes, at = [], [], 0
-                for size in _unplanes(lens).tolist():
+                for size in lens.tolist():
                     w = body[at : at + size]
                     at += size
                     t = known.get(w)
@@ -208,59 +199,51 @@ def _encode_words(path: str):
                         t = known[w] = tuple(enc.encode_single_piece(w))
                     ids.extend(t)
                     sizes.append(len(t))
-                payload.append(_pack(*_planes(np.array(sizes, np.uint32)), *_planes(np.array(ids, np.uint32))))
+                payload.append(pack(mark, np.array(sizes, np.int64), np.array(ids, np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(payload, pa.binary())], schema=_WIRE_PA)
 
     return run
 
 
-def _ragged(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """values[b:b+s] of each pair, one after the other."""
-    total = int(size.sum())
-    shift = np.repeat(begin - (np.cumsum(size) - size), size)
-    return values[np.arange(total) + shift]
-
-
 def _assemble(schema: pa.Schema):
     """Block side: dictionaries first (sorted by kind), then documents by position."""
 
+    def dictionary(parts: dict[int, list], mark: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size, begin = np.zeros(len(owner), np.int64), np.zeros(len(owner), np.int64)
+        flat, order = [], np.argsort(owner, kind="stable")
+        cuts = K.groups(owner[order])
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(owner))):
+            theirs, s, ids = parts.pop(int(owner[order[lo]]), (None, (), ()))
+            if theirs is None or theirs[0] != mark[0] or len(s) != hi - lo:
+                raise ValueError("the words and the positions of a block come from different rows")
+            size[order[lo:hi]] = s
+            flat.append(ids)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return (np.concatenate(flat) if flat else np.zeros(0, np.int64)).astype(np.int32), begin, size
+
     def run(batches):
-        now, parts, owner, table = None, {}, None, None
+        now, parts, table = None, {}, None
         for b in batches:
             for block, kind, seq, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
                 if block != now:
-                    now, parts, owner, table = block, {}, None, None
-                got = _unpack(blob.as_py())
+                    now, parts, table = block, {}, None
+                got = unpack(blob.as_py())
                 if kind == 0:
-                    parts[seq] = (_unplanes(got[:4]).astype(np.int64), _unplanes(got[4:8]))
+                    parts[seq] = got
                 elif kind == 1:
-                    owner = _unplanes(got)
-                    size = np.zeros(len(owner), np.int64)
-                    flat = []
-                    order = np.argsort(owner, kind="stable")
-                    cut = K.groups(owner[order])
-                    for lo, hi in zip(cut, np.append(cut[1:], len(owner))):
-                        s, ids = parts.pop(int(owner[order[lo]]))
-                        size[order[lo:hi]] = s
-                        flat.append(ids)
-                    begin = np.zeros(len(owner), np.int64)
-                    begin[order] = np.cumsum(size[order]) - size[order]
-                    table = (np.concatenate(flat) if flat else np.zeros(0, np.uint32), begin, size)
+                    table = dictionary(parts, *got)
                 else:
-                    carried = pa.ipc.open_stream(got[0]).read_next_batch()
-                    counts = np.frombuffer(got[1], "<i8")
-                    seqs = _unplanes(got[2:6])
+                    carried, counts, seqs = pa.ipc.open_stream(got[0]).read_next_batch(), got[1] - 1, got[2]
                     ids, begin, size = table
-                    tokens = _ragged(ids, begin[seqs], size[seqs]).astype(np.int32)
+                    tokens = _ragged(ids, begin[seqs], size[seqs])
                     per_word = np.concatenate([[0], np.cumsum(size[seqs])])
                     ends = np.concatenate([[0], np.cumsum(np.maximum(counts, 0))])
                     offs = per_word[ends]
-                    null = counts < 0
                     # lists are limited to 2**31 values a batch
                     if len(tokens) >= 1 << 31:
                         raise ValueError("a single step holds 2**31 tokens")
                     # a null list is marked by a null offset
-                    lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32), mask=np.append(null, False)), pa.array(tokens))
+                    lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32), mask=np.append(counts < 0, False)), pa.array(tokens))
                     yield pa.RecordBatch.from_arrays([*carried.columns, lists, pa.array(np.diff(offs).astype(np.int64))], schema=schema)
 
     return run
@@ -275,87 +258,85 @@ def _arrow_schema(spark_schema: T.StructType) -> pa.Schema:
 def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, owners: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``keep`` columns plus ``token_ids ARRAY<INT>`` and ``n_tokens BIGINT``.
 
-    ``vocabulary``: a rank file or the folder that has it. ``owners``: partitions
-    that own the words (default: the session's shuffle partitions).
+    ``vocabulary``: a rank file or the folder that has it. ``owners`` of words:
+    by default as many as the size of the input asks for.
     """
     spark = attach(docs.sparkSession)
     path = vocab.locate(vocabulary, vocab.BYTE_RANKS)
     if {"token_ids", "n_tokens"} & set(keep):
         raise ValueError("keep columns may not be named token_ids or n_tokens")
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = stable(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text")), "texts")
+    owners = owners or max(parts, min(MAX_OWNERS, size_of(src) // OWNER_BYTES))
     words, places = (src.mapInArrow(_split(len(keep), list(range(len(keep))), owners, block_chars, w), _WIRE) for w in (True, False))
-    ids = words.repartition(owners, "route").mapInArrow(_encode_words(path), _WIRE)
-    # places come first in the union: its partitions keep the numbers of the scan
-    wire = places.union(ids).repartition(owners, "block").sortWithinPartitions("block", "kind", "seq")
-    out = T.StructType([*[src.schema[i] for i in range(len(keep))], T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    ids = words.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_encode_words(path), _WIRE)
+    wire = places.unionByName(ids).repartition(parts, "block").sortWithinPartitions("block", "kind", "seq")
+    out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
     return wire.mapInArrow(_assemble(_arrow_schema(out)), out)
 
 
 def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
-    """The token-byte table: ``token_id INT, bytes BINARY`` (fixed size, from the vocabulary file)."""
-    rows = sorted((i, bytearray(b)) for b, i in vocab.ranks(vocab.locate(vocabulary, vocab.BYTE_RANKS)).items())
-    return spark.createDataFrame(rows, "token_id int, bytes binary")
+    """The token-byte table: ``token_id INT, bytes BINARY`` (as many rows as the vocabulary file)."""
+    rows = sorted((i, b) for b, i in vocab.ranks(vocab.locate(vocabulary, vocab.BYTE_RANKS)).items())
+    return spark.createDataFrame(pa.table({"token_id": pa.array([i for i, _ in rows], pa.int32()), "bytes": pa.array([b for _, b in rows], pa.binary())}))
 
 
-@lru_cache(maxsize=4)
-def _byte_columns(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    r = vocab.ranks(path)
-    by_id: list[bytes] = ["�".encode()] * (max(r.values()) + 1)
-    for b, i in r.items():
-        by_id[i] = b
-    size = np.fromiter(map(len, by_id), np.int64, len(by_id))
-    return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(size) - size, size
+def _reassemble(schema: pa.Schema):
+    """Rows ``head, pos, bytes`` of documents in token order -> carried columns and text; head is set at a document's first row."""
 
+    def text_of(parts: list[bytes], n: int, seen: int) -> str | None:
+        if seen != max(n, 1):
+            raise ValueError("a document's tokens don't come in one piece")
+        return None if n < 0 else b"".join(parts).decode("utf-8", "replace")
 
-def _decode_batches(ids_at: int, keep_at: list[int], path: str, schema: pa.Schema):
     def run(batches):
-        body, begin, size = _byte_columns(path)
-        for whole in batches:
-            for lo in range(0, max(1, whole.num_rows), 1024):
-                b = whole.slice(lo, 1024)
-                col = b.column(ids_at)
-                offs = np.zeros(b.num_rows + 1, np.int64)
-                lens = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                np.cumsum(lens, out=offs[1:])
-                flat = pa.compute.fill_null(col.flatten(), -1).to_numpy(zero_copy_only=False)
-                ok = (flat >= 0) & (flat < len(size))
-                safe = np.where(ok, flat, 0)
-                per = np.where(ok, size[safe], 0)
-                data = _ragged(body, begin[safe], per)
-                at = np.concatenate([[0], np.cumsum(per)])[offs]
-                raw = data.tobytes()
-                nulls = col.is_null().to_numpy(zero_copy_only=False)
-                text = [None if z else raw[s:e].decode("utf-8", "replace") for s, e, z in zip(at[:-1].tolist(), at[1:].tolist(), nulls.tolist())]
-                yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep_at], pa.array(text, pa.string())], schema=schema)
+        head, parts, n, seen, last = None, [], 0, 0, -1
+        for b in batches:
+            heads, pos, body = b.column(0), pa.compute.fill_null(b.column(1), 0).to_numpy(), b.column(2)
+            first = pa.compute.is_valid(heads).to_numpy(zero_copy_only=False)
+            before = np.concatenate([[last], pos[:-1]])
+            if not np.array_equal(pos, np.where(first, 0, before + 1)):
+                raise ValueError("a document's tokens don't come in order")
+            last = int(pos[-1]) if len(pos) else last
+            offs = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, 4 * body.offset)
+            data = memoryview(body.buffers()[2] or b"")
+            at = np.flatnonzero(first)
+            cut = int(at[0]) if len(at) else len(pos)
+            parts.append(bytes(data[offs[0] : offs[cut]]))
+            seen += cut
+            if not len(at):
+                continue
+            # the document that was open, and all of this batch but its last one
+            done = heads.take(pa.array(at[:-1]))
+            sizes = done.field(len(schema) - 1).to_pylist()
+            ends = at[1:]
+            texts = [text_of([bytes(data[offs[s] : offs[e]])], k, e - s) for s, e, k in zip(at[:-1].tolist(), ends.tolist(), sizes)]
+            if head is not None:
+                texts.insert(0, text_of(parts, n, seen))
+                done = pa.concat_arrays([head, done])
+            if len(texts):
+                yield pa.RecordBatch.from_arrays([*[done.field(i) for i in range(len(schema) - 1)], pa.array(texts, pa.string())], schema=schema)
+            head = pa.concat_arrays([heads.slice(int(at[-1]), 1)])
+            n = head.field(len(schema) - 1)[0].as_py()
+            parts, seen = [bytes(data[offs[at[-1]] : offs[len(pos)]])], len(pos) - int(at[-1])
+        if head is not None:
+            yield pa.RecordBatch.from_arrays([*[head.field(i) for i in range(len(schema) - 1)], pa.array([text_of(parts, n, seen)], pa.string())], schema=schema)
 
     return run
 
 
 def decode(encoded: DataFrame, ids: str = "token_ids", keep: tuple[str, ...] | None = None, vocabulary: str | None = None, name: str = "decoded") -> DataFrame:
-    """``keep`` columns (all by default) plus the text that the ids spell.
+    """``keep`` columns (all by default) plus the text that the ids spell, by a join with the token-byte table.
 
-    Ids are joined with the token-byte table by position (the id is the row
-    number of a fixed table of 50k rows). Null lists give null, empty lists
-    the empty text; null or unknown ids add nothing; bytes that aren't UTF-8
-    become U+FFFD.
+    Null lists give null, empty lists the empty text; null or unknown ids add
+    nothing; bytes that aren't UTF-8 become U+FFFD.
     """
-    attach(encoded.sparkSession)
+    spark = attach(encoded.sparkSession)
     keep = tuple(encoded.columns) if keep is None else tuple(keep)
     if name in keep:
         raise ValueError(f"{name} is already a column")
-    src = encoded.select(*[encoded[c] for c in keep], encoded[ids].alias("__ids"))
-    out = T.StructType([*[src.schema[i] for i in range(len(keep))], T.StructField(name, T.StringType())])
-    path = vocab.locate(vocabulary, vocab.BYTE_RANKS)
-    return src.mapInArrow(_decode_batches(len(keep), list(range(len(keep))), path, _arrow_schema(out)), out)
-
-
-def decode_by_join(encoded: DataFrame, key: str = "doc_id", ids: str = "token_ids", vocabulary: str | None = None, name: str = "decoded") -> DataFrame:
-    """The same decoding as plain relational steps (explode, join, reassemble), for short texts.
-
-    ``key`` must be unique. Unlike ``decode`` it shuffles a row per token.
-    """
-    at = encoded.select(key, F.posexplode_outer(ids).alias("__pos", "__id"))
-    hit = at.join(F.broadcast(token_table(encoded.sparkSession, vocabulary)), F.col("__id") == F.col("token_id"), "left")
-    joined = hit.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__pos", F.coalesce("bytes", F.lit(b"")).alias("b")))).alias("__l"))
-    return joined.select(key, F.decode(F.aggregate("__l", F.lit(b""), lambda a, x: F.concat(a, x["b"])), "utf-8").alias(name))
+    src = encoded.select(F.struct(*[encoded[c].alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.size(encoded[ids]), F.lit(-1)).alias("n")).alias("row"), encoded[ids].alias("ids"))
+    tokens = src.select("row", F.posexplode_outer("ids").alias("pos", "id")).select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row")).alias("head"), "pos", "id")
+    spelt = tokens.join(F.broadcast(token_table(spark, vocabulary)), F.col("id") == F.col("token_id"), "left").select("head", "pos", "bytes")
+    out = T.StructType([*[T.StructField(c, encoded.schema[c].dataType) for c in keep], T.StructField(name, T.StringType())])
+    return spelt.mapInArrow(_reassemble(_arrow_schema(out)), out)
