@@ -39,7 +39,7 @@ c AS (
   SELECT host, line, count(*) AS n
   FROM (SELECT host, unnest(list_distinct(list_transform(l, lambda x: trim(x, ' ')))) AS line FROM a WHERE host <> '')
   WHERE line <> '' GROUP BY ALL),
-bad AS (SELECT c.host, list(line) AS b FROM c JOIN h USING (host) WHERE n >= 5 AND n::DOUBLE / tot > 0.05 GROUP BY 1),
+bad AS (SELECT c.host, list(line) AS b FROM c JOIN h USING (host) WHERE n >= 2 AND n::DOUBLE / tot > 0.05 GROUP BY 1),
 k AS (
   SELECT page_id, a.host, l, CASE WHEN b IS NULL THEN l ELSE list_filter(l, lambda x: trim(x, ' ') = '' OR NOT list_contains(b, trim(x, ' '))) END AS kept
   FROM a LEFT JOIN bad ON a.host = bad.host)
@@ -52,7 +52,7 @@ WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: x > 0) AS
 d AS (
   SELECT a.vec_id AS query_id, o.vec_id AS neighbor_id,
     list_sum(list_transform(list_zip(a.b, o.b), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance
-  FROM c a JOIN c o ON a.vec_id <> o.vec_id),
+  FROM c a JOIN c o ON a.vec_id <> o.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM d)
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """

@@ -22,7 +22,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     attach(spark)
     pages = read_table(spark, sf_dir, "pages")
     lines = pages.select("page_id", line_dedup.host_of(F.col("url")).alias("host"), line_dedup.html_lines(F.col("html")).alias("text"))
-    return line_dedup.drop_boilerplate(lines, F.col("host"), ratio=0.05, min_pages=5, dropped="dropped_lines")
+    return line_dedup.drop_boilerplate(lines, F.col("host"), ratio=0.05, min_pages=2, dropped="dropped_lines")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +39,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest others of every vector by the signs of its 64 coordinates."""
+    """The ten nearest of all vectors, by the signs of their 64 coordinates, to every one whose id is divisible by 20."""
     attach(spark)
     rows = read_table(spark, sf_dir, "embeddings")
-    return hamming.topk(rows, F.col("vec_id"), hamming.sign_code(F.col("embedding")), k=10)
+    return hamming.topk(rows, F.col("vec_id"), hamming.sign_code(F.col("embedding")), k=10, queries=F.col("vec_id") % 20 == 0)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
