@@ -14,11 +14,14 @@ bytes as byte pieces. Scores are log((count + 1) / (total + pieces)).
 
 Rows, defined results: null text -> null; empty text -> log-probability 0 and
 no words; repeated rows count and give a row each; an empty corpus gives
-uniform scores; only ``keep`` columns are carried.
+uniform scores; words of any length are worked whole, long ones alone and sign
+by sign; only ``keep`` columns are carried, and none may be named like a result.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +37,10 @@ from orrery.runtime import attach
 
 MARK = 0x2581
 STEP_CHARS = 500_000
-BLOCK_WORDS = 40_000
+#: Numbers of the forward table of words worked together (words x signs of the longest), and signs of a word that is worked alone.
+BLOCK_CELLS = 2_000_000
+LONG_WORD = 1_000
+WINDOW = 50_000
 _NEG = -1e30
 
 
@@ -141,14 +147,18 @@ def distinct(cp: np.ndarray, b: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
 def forward(cp: np.ndarray, b: np.ndarray, e: np.ndarray, t: Trie, scores: np.ndarray, byte_ids: np.ndarray) -> np.ndarray:
     """log of the summed probability of all segmentations of each word cp[b:e].
 
-    All words advance together: ``alpha`` has a row per sign position, words are
+    Words advance together: ``alpha`` has a row per sign position, words are
     sorted by length, and edges that end at the same offset are added per word.
     """
     size = e - b
     out = np.zeros(len(b))
     order = np.argsort(-size, kind="stable")
-    for lo in range(0, len(order), BLOCK_WORDS):
-        ws = order[lo : lo + BLOCK_WORDS]
+    lo = int((size > LONG_WORD).sum())
+    for w in order[:lo].tolist():
+        out[w] = forward_alone(cp[b[w] : e[w]], t, scores, byte_ids)
+    while lo < len(order):
+        ws = order[lo : lo + max(1, BLOCK_CELLS // (int(size[order[lo]]) + 1))]
+        lo += len(ws)
         n, bb = size[ws], b[ws]
         longest = int(n[0])
         live = np.searchsorted(-n, -np.arange(longest + 1), "right")  # words of at least j signs
@@ -189,13 +199,54 @@ def forward(cp: np.ndarray, b: np.ndarray, e: np.ndarray, t: Trie, scores: np.nd
     return out
 
 
+def edges(cp: np.ndarray, lo: int, hi: int, t: Trie) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """(begin, signs, piece) of the pieces that begin at lo..hi-1, shortest first."""
+    at, node = np.arange(lo, hi), np.zeros(hi - lo, np.int64)
+    for l in range(1, t.depth + 1):
+        inside = at + l <= len(cp)
+        at, node = at[inside], t.step(node[inside], t.code[cp[at[inside] + l - 1]])
+        at, node = at[node > 0], node[node > 0]
+        has = t.piece[node] >= 0
+        yield at[has], l, t.piece[node[has]]
+
+
+def forward_alone(cp: np.ndarray, t: Trie, scores: np.ndarray, byte_ids: np.ndarray) -> float:
+    """``forward`` of one word of any length: its edges a window at a time, and a ring of the last log sums."""
+    ring = [_NEG] * (t.depth + 1)
+    width, ring[0] = len(ring), 0.0
+    for lo in range(0, len(cp), WINDOW):
+        hi = min(len(cp), lo + WINDOW)
+        found = list(edges(cp, lo, hi, t))
+        spelt = np.ones(hi - lo, bool)
+        if found:
+            spelt[found[0][0] - lo] = False
+        rest = np.flatnonzero(spelt) + lo
+        u, inv = np.unique(cp[rest], return_inverse=True)
+        cost = np.array([scores[byte_ids[list(chr(x).encode("utf-8", "surrogatepass"))]].sum() for x in u.tolist()])[inv] if len(u) else np.zeros(0)
+        begin = np.concatenate([a for a, _, _ in found] + [rest])
+        length = np.concatenate([np.full(len(a), l) for a, l, _ in found] + [np.ones(len(rest), np.int64)])
+        score = np.concatenate([scores[p] for _, _, p in found] + [cost])
+        o = np.argsort(begin, kind="stable")
+        now, base = lo, ring[lo % width]
+        for i, l, s in zip(begin[o].tolist(), length[o].tolist(), score[o].tolist()):
+            if i != now:  # sums of a sign are complete when its edges come up
+                ring[now % width] = _NEG
+                now, base = i, ring[i % width]
+            x, y = ring[(i + l) % width], base + s
+            ring[(i + l) % width] = max(x, y) + math.log1p(math.exp(-abs(x - y)))
+        ring[now % width] = _NEG
+    return ring[len(cp) % width]
+
+
 def _word_counts(batches):
-    """Distinct words with counts, per about ten million signs (the shuffle adds them up)."""
+    """Distinct words with counts, per million words or 20 million signs (the shuffle adds them up)."""
     counts: dict[str, int] = {}
+    held = 0
 
     def flush():
-        for lo in range(0, len(counts), 100_000):
-            part = list(counts)[lo : lo + 100_000]
+        names = list(counts)
+        for lo, hi in K.rechunk(names, STEP_CHARS):
+            part = names[lo:hi]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[w] for w in part], pa.int64())], names=["word", "n"])
 
     for b in batches:
@@ -209,10 +260,14 @@ def _word_counts(batches):
             full = cp.tobytes().decode("utf-32-le", "surrogatepass")
             for s, e, k in zip(beg[at].tolist(), end[at].tolist(), n.tolist()):
                 w = full[s:e]
-                counts[w] = counts.get(w, 0) + k
-            if len(counts) > 1_000_000:
+                had = counts.get(w)
+                if had is None:
+                    held += e - s
+                counts[w] = (had or 0) + k
+            if len(counts) > 1_000_000 or held > 20_000_000:
                 yield from flush()
                 counts.clear()
+                held = 0
     yield from flush()
 
 
@@ -282,6 +337,6 @@ def lattice_scores(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     path = vocab.locate(vocabulary, vocab.PIECES)
     if scores is None:
         scores = unigram_scores(docs, text, vocabulary)
-    src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    out = T.StructType([*[src.schema[i] for i in range(len(keep))], T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())])
+    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
+    out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())])
     return src.mapInArrow(_score(len(keep), list(range(len(keep))), path, scores, _arrow_schema(out)), out)
