@@ -1,22 +1,23 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are regrouped into batches of about equal bytes; a long text is split at
-safe boundaries (a plain space between a letter or number and a non-space),
-where the vocabulary's pattern splits in any case, so the counts of its pieces
-add up exactly. There is no shuffle: the scan's own byte-sized partitions are
-the work units.
+Texts are regrouped, across the batches that Spark sends, into batches of about
+equal bytes; a long text is split at safe boundaries (a plain space between a
+letter or number and a non-space), where the vocabulary's pattern splits in any
+case, so the counts of its pieces add up exactly. There is no shuffle: the
+scan's own byte-sized partitions are the work units.
 
 Rows, defined results: null text -> null count; empty text -> 0; repeated rows
--> one output row each; empty table -> empty result; only ``keep`` columns of
-the input are read.
+-> one output row each; empty table -> empty result; a very long text without a
+safe boundary is one piece; only ``keep`` columns of the input are read, and one
+named like the result is refused.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -29,10 +30,11 @@ _SAFE = re.compile(r"(?<=[^\W_]) (?=\S)")
 
 
 def pieces(text: str, limit: int) -> list[str]:
-    """``text`` in pieces of about ``limit`` characters, cut only at safe boundaries."""
+    """``text`` in pieces of about ``limit`` bytes, cut only at safe boundaries."""
+    step = max(1, limit * len(text) // max(1, len(text.encode("utf-8", "surrogatepass"))))
     out, at = [], 0
-    while len(text) - at > limit:
-        m = _SAFE.search(text, at + limit)
+    while len(text) - at > step:
+        m = _SAFE.search(text, at + step)
         if m is None:
             break
         out.append(text[at : m.start()])
@@ -41,32 +43,45 @@ def pieces(text: str, limit: int) -> list[str]:
     return out
 
 
-def batches_by_bytes(texts: list[str], limit: int):
-    """(index of text, piece) lists of about ``limit`` characters each."""
-    batch: list[tuple[int, str]] = []
-    size = 0
-    for i, t in enumerate(texts):
-        for p in pieces(t, limit):
-            batch.append((i, p))
-            size += len(p)
-            if size >= limit:
-                yield batch
-                batch, size = [], 0
-    if batch:
-        yield batch
-
-
 def _count(text_at: int, keep_at: list[int], path: str, limit: int, schema: pa.Schema):
     def run(arrow_batches):
         enc = vocab.byte_encoder(path)
+        rows: list[pa.RecordBatch] = []  # whose texts are all in ``total`` or ``batch``
+        total: list[int | None] = []
+        batch: list[tuple[int, str]] = []
+        size = 0
+
+        def encode() -> None:
+            nonlocal size
+            for (i, _), ids in zip(batch, enc.encode_ordinary_batch([p for _, p in batch], num_threads=1)):
+                total[i] += len(ids)
+            batch.clear()
+            size = 0
+
+        def give():
+            at = 0
+            for b in rows:
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep_at)], pa.array(total[at : at + b.num_rows], pa.int64())], schema=schema)
+                at += b.num_rows
+            rows.clear()
+            total.clear()
+
         for b in arrow_batches:
-            texts = b.column(text_at).to_pylist()
-            total = np.zeros(len(texts), np.int64)
-            for batch in batches_by_bytes([t or "" for t in texts], limit):
-                for (i, _), ids in zip(batch, enc.encode_ordinary_batch([p for _, p in batch], num_threads=1)):
-                    total[i] += len(ids)
-            counts = pa.array(total, pa.int64(), mask=np.array([t is None for t in texts], bool))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep_at], counts], schema=schema)
+            column = b.column(text_at)
+            wide = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+            for t, n in zip(column.to_pylist(), wide):
+                total.append(None if t is None else 0)
+                for p in pieces(t, limit) if n > limit else [t] if n else []:
+                    batch.append((len(total) - 1, p))
+                    size += n if n <= limit else len(p.encode("utf-8", "surrogatepass"))
+                    if size >= limit:
+                        encode()
+            rows.append(pa.RecordBatch.from_arrays([b.column(i) for i in keep_at] or [pa.nulls(b.num_rows)], names=[f"c{i}" for i in range(len(keep_at))] or ["none"]))
+            if not batch or len(rows) == 8:
+                encode()
+                yield from give()
+        encode()
+        yield from give()
 
     return run
 
@@ -76,7 +91,7 @@ def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     attach(docs.sparkSession)
     if name in keep:
         raise ValueError(f"{name} is already a column")
-    src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
-    out = T.StructType([*[src.schema[i] for i in range(len(keep))], T.StructField(name, T.LongType())])
+    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
+    out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField(name, T.LongType())])
     path = vocab.locate(vocabulary, vocab.BYTE_RANKS)
     return src.mapInArrow(_count(len(keep), list(range(len(keep))), path, batch_bytes, _arrow_schema(out)), out)
