@@ -14,8 +14,10 @@ Rows, defined results: null text -> null quality, not kept; a text without a
 non-blank line -> quality 0, not kept; repeated rows -> a row each; an empty
 table -> an empty result; no labelled document -> quality 0.5 for every text
 (all kept); a document with several labels counts with each of them; null
-labels are left out; all columns of ``docs`` are returned by
-``filter_quality``, only ``keep`` columns by ``quality``.
+labels are left out; a text of any length is worked whole: its lines are
+measured a part at a time and their messages run through all parts; all columns
+of ``docs``, whatever their names, are returned by ``filter_quality``, only
+``keep`` columns by ``quality``, and none of these may be named like a result.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from orrery.llm import textkit as K
 from orrery.llm.bpe import _arrow_schema
 from orrery.runtime import attach
 
-#: The bounds of the training sample: labelled documents, and signs of each
-#: (longer ones are not drawn; a text is never cut).
+#: The bounds of the training sample: labelled documents, and lines of all of them together (whole documents, in the order of the draw).
 SAMPLE_DOCS = 3_000
-SAMPLE_CHARS = 20_000
+SAMPLE_LINES = 200_000
+#: Lines whose indicators are made together, and lines from which a chain is worked alone.
+STEP_LINES = 50_000
+LONG_CHAIN = 5_000
 STEPS = 6
 STEP_CHARS = 500_000
 NAMES = ("length", "words", "letters", "upper", "digits", "spaces", "signs", "odd_signs", "bangs", "bars", "word_length", "distinct_words", "stops", "same_sign_runs", "repeats", "echoes")
@@ -51,15 +55,48 @@ class Lines:
     length: np.ndarray
     number: np.ndarray
     x: np.ndarray
+    whole: np.ndarray | None = None  # sums of word hashes, equal for equal lines
+
+
+TWIN = NAMES.index("repeats")
+
+
+def parts_of(text: str, limit: int) -> list[str]:
+    """``text`` cut behind line ends into parts of about ``limit`` signs."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        cut = text.find("\n", at + limit) + 1
+        if not cut:
+            break
+        out.append(text[at:cut])
+        at = cut
+    out.append(text[at:])
+    return out
 
 
 def lines(texts: list[str]) -> Lines:
+    """Lines of all texts and their measures; a text beyond ``STEP_CHARS`` part by part."""
+    if len(texts) != 1 or len(texts[0]) <= STEP_CHARS:
+        return _lines(texts)
+    found, number = [], 0
+    for part in parts_of(texts[0], STEP_CHARS):
+        ls = _lines([part])
+        ls.number = ls.number + number
+        number += part.count("\n")
+        found.append(ls)
+    doc, length, numbers, x, whole = (np.concatenate([getattr(ls, c) for ls in found]) for c in ("doc", "length", "number", "x", "whole"))
+    _, inv, n = np.unique(whole, return_inverse=True, return_counts=True)
+    x[:, TWIN] = n[inv] > 1
+    return Lines(doc, length, numbers, x, whole)
+
+
+def _lines(texts: list[str]) -> Lines:
     """Lines of all texts and their measures (each a share or a bounded logarithm)."""
     cp, starts = K.codepoints(texts)
     n = len(cp)
     first = K.doc_flags(n, starts)[:n]
     if not n:
-        return Lines(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(NAMES)), np.float32))
+        return Lines(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(NAMES)), np.float32), np.zeros(0))
     end = cp == 10
     cls = K.class_table()[cp]
     begin = first.copy()
@@ -115,7 +152,7 @@ def lines(texts: list[str]) -> Lines:
         ],
         axis=1,
     )
-    return Lines(doc[ok], size[ok], number[ok], x[ok].astype(np.float32))
+    return Lines(doc[ok], size[ok], number[ok], x[ok].astype(np.float32), whole[ok])
 
 
 @dataclass
@@ -126,7 +163,14 @@ class Model:
 
     def scores(self, ls: Lines) -> np.ndarray:
         """Score of "good" against "bad" of each line, its neighbours' measures included."""
-        return (indicators(ls, self.cuts) @ self.weights.astype(np.float32)).astype(np.float64)
+        w, n = self.weights.astype(np.float32), len(ls.doc)
+        out = np.empty(n)
+        for lo in range(0, n, STEP_LINES):  # with a neighbour on either side
+            hi = min(n, lo + STEP_LINES)
+            a, b = max(0, lo - 1), min(n, hi + 1)
+            part = Lines(ls.doc[a:b], ls.length[a:b], ls.number[a:b], ls.x[a:b])
+            out[lo:hi] = (indicators(part, self.cuts) @ w)[lo - a : hi - a]
+        return out
 
 
 def indicators(ls: Lines, cuts: np.ndarray) -> np.ndarray:
@@ -155,6 +199,8 @@ def marginals(score: np.ndarray, doc: np.ndarray, pairs: np.ndarray) -> tuple[np
     n = len(score)
     beg = K.groups(doc)
     size = np.diff(np.append(beg, n))
+    if n and int(size.max()) > LONG_CHAIN:
+        return _marginals_apart(score, doc, pairs, beg, size)
     order = np.argsort(-size, kind="stable")
     beg, size = beg[order], size[order]
     longest = int(size[0]) if len(size) else 0
@@ -181,6 +227,46 @@ def marginals(score: np.ndarray, doc: np.ndarray, pairs: np.ndarray) -> tuple[np
     return p[:, 1] / p.sum(axis=1), both, logz
 
 
+def _marginals_apart(score: np.ndarray, doc: np.ndarray, pairs: np.ndarray, beg: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``marginals`` where some chains are long: these by themselves, line by line, the others together."""
+    p, both, logz = np.empty(len(score)), np.zeros((2, 2)), np.empty(len(beg))
+    long = size > LONG_CHAIN
+    rest = np.repeat(~long, size)
+    if rest.any():
+        p[rest], both, logz[~long] = marginals(score[rest], doc[rest], pairs)
+    (s00, s01), (s10, s11) = np.exp(pairs - pairs.max()).tolist()
+    for k in np.flatnonzero(long).tolist():
+        b, n = int(beg[k]), int(size[k])
+        sc = score[b : b + n]
+        top = np.maximum(sc, 0.0)
+        n0, n1 = np.exp(-top).tolist(), np.exp(sc - top).tolist()
+        a0, a1, norm = [0.0] * n, [0.0] * n, [0.0] * n
+        x, y = n0[0], n1[0]
+        for t in range(n):
+            if t:
+                x, y = (x * s00 + y * s10) * n0[t], (x * s01 + y * s11) * n1[t]
+            z = x + y
+            x, y = x / z, y / z
+            a0[t], a1[t], norm[t] = x, y, z
+        q0 = q1 = 1.0
+        pair = [0.0] * 4
+        p[b + n - 1] = a1[-1]
+        for t in range(n - 2, -1, -1):
+            z = norm[t + 1]
+            m0, m1 = n0[t + 1] * q0 / z, n1[t + 1] * q1 / z
+            x, y = a0[t], a1[t]
+            pair[0] += x * m0 * s00
+            pair[1] += x * m1 * s01
+            pair[2] += y * m0 * s10
+            pair[3] += y * m1 * s11
+            q0, q1 = s00 * m0 + s01 * m1, s10 * m0 + s11 * m1
+            x, y = x * q0, y * q1
+            p[b + t] = y / (x + y)
+        both = both + np.array(pair).reshape(2, 2)
+        logz[k] = float(np.log(norm).sum() + top.sum()) + pairs.max() * (n - 1)
+    return p, both, logz
+
+
 def fit(ls: Lines, good: np.ndarray, steps: int = STEPS, sweeps: int = 150, ridge: float = 1e-3) -> Model:
     """Maximum conditional likelihood (chains weigh alike per line), by Adam with all lines in each sweep."""
     grid = np.linspace(0, 1, steps + 2)[1:-1]
@@ -208,33 +294,50 @@ def fit(ls: Lines, good: np.ndarray, steps: int = STEPS, sweeps: int = 150, ridg
     return Model(cuts, w, pairs)
 
 
-def _sample_lines(batches):
-    """Measures of the sampled documents' lines, as packed rows."""
-    for b in batches:
-        texts = K.texts_of(b.column(0))
-        ls = lines(texts)
-        cut = np.searchsorted(ls.doc, np.arange(len(texts) + 1))
-        blobs = [ls.x[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:])]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(blobs, pa.binary()), b.column(2)], names=["good", "x", "rank"])
+def _sample_lines(most: int):
+    """Measures of the drawn documents' lines, as packed rows, of as many documents (in order, one at least) as have ``most`` lines; -1 where the rest was left."""
 
+    def run(batches):
+        held = 0
+        for b in batches:
+            for text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ls = lines([text])
+                if held and held + len(ls.doc) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary())], names=["good", "x"])
+                    return
+                held += len(ls.doc)
+                yield pa.RecordBatch.from_arrays([pa.array([good], pa.int32()), pa.array([ls.x.tobytes()], pa.binary())], names=["good", "x"])
+
+    return run
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
-    """Fit on at most ``sample_docs`` labelled documents of at most ``sample_chars`` signs, drawn by a hash of the key."""
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES) -> Model:
+    """Fit on the first ``sample_docs`` labelled documents, ``sample_lines`` lines at most, in the order of a hash of the key.
+
+    Labels without a document don't count: if too many of the drawn ones have
+    none, more are drawn.
+    """
     attach(docs.sparkSession)
     rank = F.xxhash64(F.lit("crf"), F.col("k"))
-    named = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("good")).where("k is not null and good is not null")
-    # the draw is settled on the labels alone; four times the number leaves room for long texts and missing ones
-    drawn = named.withColumn("rank", rank).orderBy("rank", "k", "good").limit(4 * sample_docs)
-    body = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.col("t").isNotNull() & (F.length("t") <= sample_chars))
-    hit = body.join(F.broadcast(drawn), "k").select("t", "good", "rank")
-    got = hit.orderBy("rank", "good", "t").limit(sample_docs).mapInArrow(_sample_lines, "good int, x binary, rank long").collect()
-    if not got:
-        return fit(Lines(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(NAMES)), np.float32)), np.zeros(0))
-    parts = [np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)) for r in got]
+    named = labels.select(labels[key].alias("k"), labels[label].cast("int").alias("good")).where("k is not null and good is not null").withColumn("rank", rank)
+    body = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.col("t").isNotNull())
+    take = 4 * sample_docs
+    while True:
+        drawn = named.orderBy("rank", "k", "good").limit(take)
+        # twelve thousand numbers are broadcast; larger draws are joined as they come
+        hit = body.join(F.broadcast(drawn) if take == 4 * sample_docs else drawn, "k").select("k", "t", "good", "rank")
+        got = hit.orderBy("rank", "k", "good", "t").limit(sample_docs)
+        rows = got.select("t", "good").mapInArrow(_sample_lines(sample_lines), "good int, x binary").collect()
+        full = len(rows) >= sample_docs or any(r["good"] == -1 for r in rows)
+        if full or drawn.count() < take:
+            break
+        take *= 8
+    rows = [r for r in rows if r["good"] != -1]
+    parts = [np.frombuffer(r["x"], np.float32).reshape(-1, len(NAMES)) for r in rows]
     size = [len(p) for p in parts]
     doc = np.repeat(np.arange(len(parts)), size)
-    x = np.concatenate(parts)
-    return fit(Lines(doc, np.ones(len(x), np.int64), np.zeros(len(x), np.int64), x), np.repeat([r["good"] for r in got], size))
+    x = np.concatenate([np.zeros((0, len(NAMES)), np.float32), *parts])
+    return fit(Lines(doc, np.ones(len(x), np.int64), np.zeros(len(x), np.int64), x), np.repeat([r["good"] for r in rows], size))
 
 
 def label_texts(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
@@ -277,9 +380,9 @@ def quality(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     names = ("n_lines", "bad_lines", "quality", "kept")
     if set(names) & set(keep):
         raise ValueError(f"keep columns may not be named {', '.join(names)}")
-    src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.DoubleType(), T.BooleanType())
-    out = T.StructType([*[src.schema[i] for i in range(len(keep))], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
+    out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
     return src.mapInArrow(_score(len(keep), list(range(len(keep))), model, _arrow_schema(out), least, True), out)
 
 
