@@ -167,7 +167,7 @@ def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     attach(docs.sparkSession)
     if set(_OUT) & set(keep):
         raise ValueError(f"keep columns may not be named {', '.join(_OUT)}")
-    src = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     kinds = (T.IntegerType(), T.StringType(), T.IntegerType(), T.LongType(), T.LongType())
-    out = T.StructType([*[src.schema[i] for i in range(len(keep))], *[T.StructField(n, k) for n, k in zip(_OUT, kinds)]])
+    out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *[T.StructField(n, k) for n, k in zip(_OUT, kinds)]])
     return src.mapInArrow(_scan(len(keep), list(range(len(keep))), _arrow_schema(out)), out)
