@@ -54,7 +54,7 @@ from pyspark.sql import types as T
 from orrery.llm import textkit as K
 from orrery.llm.bpe import _arrow_schema
 from orrery.llm.wire import pack, unpack
-from orrery.runtime import attach, cut, forget, size_of, spill_table
+from orrery.runtime import attach, cut, forget, size_of, spill_table, stable
 
 _U = np.uint64
 #: N-grams of a block of documents. A block has a message for each hash range, so ranges are at most a 64th of it.
@@ -133,10 +133,10 @@ def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int):
         d, g = d[new], g[new]
         beg = K.groups(g)
         count = np.diff(np.append(beg, len(g)))
-        home = int(K.mix_int(base) >> (64 - bits))
-        yield _wire([home], [base], 1, [pack(_ipc(pa.RecordBatch.from_arrays([pa.array(ids, id_type)], names=["id"])), count, d)])
+        one = count == 1
+        several = np.repeat(~one, count)
         mark = np.add.reduceat(K.mix((base + d).astype(np.uint64)), beg)  # a posting is known by the sum of its documents' marks
-        g, one, first = g[beg], count == 1, d[beg]
+        g, first = g[beg], d[beg]
         rng = (g >> _U(64 - bits)).astype(np.int64)
         cuts = K.groups(rng)
         route, payload = [], []
@@ -144,6 +144,9 @@ def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int):
             s = one[lo:hi]
             route.append(int(rng[lo]))
             payload.append(pack(np.diff(g[lo:hi], prepend=_U(0)), count[lo:hi], first[lo:hi][s], mark[lo:hi][~s]))
+        # who has the n-grams that several of the block's documents have; the others' come back with the answers
+        named = _ipc(pa.RecordBatch.from_arrays([pa.array(ids, id_type)], names=["id"]))
+        yield _wire([int(K.mix_int(base) >> (64 - bits))], [base], 1, [pack(named, np.array([len(route)]), np.bincount(d, minlength=len(ids)), count[~one], d[several])])
         yield _wire(route, [base] * len(route), 0, payload)
 
     def run(batches):
@@ -185,10 +188,13 @@ def _owners(batches):
         df[order] = np.repeat(np.add.reduceat(count[order], beg), size)
         post[order] = np.repeat(np.add.reduceat(mark[order], beg), size)
         out, lo = [], 0
-        for p in parts:
-            hi = lo + len(p[1])
-            many = df[lo:hi] > 1
-            out.append(pack(many.astype(np.int64), df[lo:hi][many], post[lo:hi][many]))
+        for _, _, c, _, first in parts:
+            hi = lo + len(c)
+            one = c == 1
+            lone = one & (df[lo:hi] > 1)  # of one document here, and of others elsewhere
+            shared = lone | ~one
+            names, at, number = np.unique(post[lo:hi][shared], return_index=True, return_inverse=True)
+            out.append(pack(names, df[lo:hi][shared][at], number[~one[shared]], number[one[shared]], first[lone[one]]))
             lo = hi
         return _wire([rng] * len(parts), [p[0] for p in parts], 2, out)
 
@@ -206,7 +212,7 @@ def _owners(batches):
             mark = np.empty(len(delta), np.uint64)
             mark[count == 1] = K.mix((base + first).astype(np.uint64))
             mark[count != 1] = several
-            parts.append((base, np.cumsum(delta, dtype=np.uint64), count, mark))
+            parts.append((base, np.cumsum(delta, dtype=np.uint64), count, mark, first))
     if parts:
         yield settle(now, parts)
 
@@ -216,16 +222,16 @@ def _homes(t: float):
 
     def settle(base: int, members: list, answers: list[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         ids = pa.ipc.open_stream(members[0]).read_next_batch().column(0)
-        count, d = members[1], members[2]
-        many = np.concatenate([a[0] for a in answers]).astype(bool)
-        if len(many) != len(count):
+        asked, size, count, d = members[1:]
+        if len(answers) != int(asked[0]) or sum(len(a[2]) for a in answers) != len(count):
             raise ValueError("an n-gram block hasn't got all its answers")
-        size = np.bincount(d, minlength=len(ids))
-        df, post = (np.concatenate([a[i] for a in answers]) for i in (1, 2))
-        u = d[np.repeat(many, count)]
+        df = [a[1][np.concatenate([a[2], a[3]])] for a in answers]
+        post = [a[0][np.concatenate([a[2], a[3]])].view(np.int64) for a in answers]  # signed, as all that follows orders them
+        several = [len(a[2]) for a in answers]
+        u = np.concatenate([d, *[a[4] for a in answers]])
+        df, tok = (np.concatenate([np.repeat(np.concatenate([x[:k] for x, k in zip(v, several)]), count), *[x[k:] for x, k in zip(v, several)]]) for v in (df, post))
         if not len(u):
             return
-        df, tok = np.repeat(df, count[many]), np.repeat(post.view(np.int64), count[many])  # signed, as all that follows orders them
         o = np.lexsort((tok, df, u))
         u, tok, df = u[o], tok[o], df[o]
         new = np.ones(len(u), bool)
@@ -545,19 +551,19 @@ def _trees(t: float):
 def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id", n: int = 3, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Texts that may have a partner: ``sid, id, size, shared, prefix, dfs, tokens, weights`` (tokens in global order).
 
-    ``docs`` should be a stored table: blocks are numbered by scan partition, so
-    a task that runs again must see the same rows.
+    Blocks are numbered by scan partition, so a task that runs again must see
+    the same rows: input that isn't a plain scan is written down first.
     """
     spark = attach(docs.sparkSession)
-    src = docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text"))
+    src = stable(docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text")), "texts")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     most = max(8, block_grams // 64)
-    bits = max(3, min(most, max(4 * parts, size_of(docs) // RANGE_BYTES)).bit_length())
+    bits = max(3, min(most, max(4 * parts, size_of(src) // RANGE_BYTES)).bit_length())
     kind = src.schema["id"].dataType
     id_type = _arrow_schema(T.StructType([src.schema["id"]])).field(0).type
     kinds = {"dfs": T.IntegerType(), "tokens": T.LongType(), "weights": T.IntegerType()}
     out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, T.ArrayType(k)) for c, k in kinds.items()]])
-    asked = src.mapInArrow(_blocks(n, bits, id_type, block_grams), _WIRE).repartition(parts, "route").sortWithinPartitions("route")
+    asked = src.mapInArrow(_blocks(n, bits, id_type, block_grams), _WIRE).repartitionById(parts, F.pmod("route", F.lit(parts)).cast("int")).sortWithinPartitions("route")
     told = asked.mapInArrow(_owners, _WIRE).repartition(parts, "base").sortWithinPartitions("base", "kind", "route")
     return told.mapInArrow(_homes(t)(_arrow_schema(out)), out)
 
