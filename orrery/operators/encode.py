@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from orrery.errors import BadValueError, CalibrationError, DimensionError
 from orrery.functions.vectors import bad_coordinate
 from orrery.plans import quantizer as Q
-from orrery.runtime import arrow_schema, attach
+from orrery.runtime import arrow_schema, attach, cut
 
 #: Sample size at which a calibration stops improving.
 RECOMMENDED_SAMPLE = 1000
@@ -117,18 +117,65 @@ def rotated(vectors: DataFrame, dim: int, embedding: str = "embedding", keep: tu
     return src.mapInArrow(_rotate(seed, len(keep), arrow_schema(out), dim), out)
 
 
+#: Steps of a coordinate's histogram over [-1, 1].
+BINS = 4096
+
+
+def _bins(u: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((u + 1) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
+
+
+def _histogram(dim: int):
+    def run(batches):
+        n = np.zeros(dim * BINS, np.int64)
+        for b in batches:
+            n += np.bincount((_bins(rows_of(b.column(0), dim)) + np.arange(dim) * BINS).ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        for lo in range(0, len(at), 100_000):
+            k = at[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k // BINS, pa.int32()), pa.array(k % BINS, pa.int32()), pa.array(n[k])], names=["coord", "bin", "n"])
+
+    return run
+
+
+def _inside(dim: int, wanted: np.ndarray):
+    """Values in the wanted bins (2 x dim)."""
+
+    def run(batches):
+        for b in batches:
+            u = rows_of(b.column(0), dim)
+            bins = _bins(u)
+            for end in (0, 1):
+                r, c = np.nonzero(bins == wanted[end])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(np.full(len(c), end), pa.int32()), pa.array(u[r, c])], names=["coord", "end", "x"])
+
+    return run
+
+
 def calibration_table(sample: DataFrame, dim: int, bits: int, embedding: str = "embedding", seed: int = 42) -> DataFrame:
     """``coord, shift, scale``: two order statistics of each rotated coordinate put on the ends of the codebook.
 
-    A coordinate of (nearly) one value keeps shift 0 and scale 1.
+    A histogram of every coordinate, made where the rows are, tells in which of
+    its steps the two lie; only values of these steps are then sorted. A
+    coordinate of (nearly) one value keeps shift 0 and scale 1.
     """
     p_lo, p_hi, outer = Q.anchor(bits, dim)
-    flat = rotated(sample, dim, embedding, (), seed).select(F.posexplode("rotated").alias("coord", "x"))
+    u = rotated(sample, dim, embedding, (), seed)
+    steps = u.mapInArrow(_histogram(dim), "coord int, bin int, n long").groupBy("coord", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("coord")
-    ranked = flat.select("coord", "x", (F.row_number().over(w.orderBy("x")) - 1).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    lo = F.floor(F.col("n") * p_lo)
-    hi = F.greatest(F.least(F.floor(F.col("n") * p_hi), F.col("n") - 1), lo + 1)
-    two = ranked.groupBy("coord").agg(F.max(F.when(F.col("r") == lo, F.col("x"))).alias("a"), F.max(F.when(F.col("r") == hi, F.col("x"))).alias("b"))
+    upto = steps.select("coord", "bin", "n", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
+    lo = F.floor(F.col("all") * p_lo)
+    hi = F.greatest(F.least(F.floor(F.col("all") * p_hi), F.col("all") - 1), lo + 1)
+    ranks = F.explode(F.array(F.struct(F.lit(0).alias("end"), lo.alias("r")), F.struct(F.lit(1).alias("end"), hi.alias("r"))))
+    # two rows a coordinate
+    found = cut(upto.select("coord", "bin", "n", "upto", ranks.alias("w")).where("w.r < upto and w.r >= upto - n").select("coord", F.col("w.end").alias("end"), "bin", (F.col("w.r") - F.col("upto") + F.col("n")).alias("r")))
+    wanted = np.full((2, dim), -1)
+    for x in found.collect():
+        wanted[x["end"], x["coord"]] = x["bin"]
+    values = u.mapInArrow(_inside(dim, wanted), "coord int, end int, x double").groupBy("coord", "end", "x").agg(F.count(F.lit(1)).alias("n"))
+    ranked = values.select("coord", "end", "x", "n", F.sum("n").over(Window.partitionBy("coord", "end").orderBy("x")).alias("upto"))
+    hit = ranked.join(found.select("coord", "end", "r"), ["coord", "end"]).where("r < upto and r >= upto - n")
+    two = hit.groupBy("coord").agg(F.max(F.when(F.col("end") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("x"))).alias("b"))
     span = F.col("b") - F.col("a")
     ok = span > 1e-6
     s = F.lit(2 * outer) / span

@@ -3,8 +3,9 @@
 The vectors are scanned once. Queries travel to them as one matrix while it is
 small (its size is checked); every Arrow batch keeps its k best rows a query,
 each task merges them, and one exchange of at most tasks x k rows a query
-ranks the rest. Larger query sets are cut into blocks of that size that are
-joined to the scan, so memory is bounded by a block at any number of queries.
+ranks the rest. A larger query set never reaches the driver: it is packed into
+blocks in the shared scratch folder, and packed blocks of rows meet packed blocks
+of queries, so memory is bounded by a block of each at any number of queries.
 
 Ranks are by score (descending), then id; scores are compared to 12 digits.
 k beyond the candidates gives what there is; k <= 0, no candidate or no query
@@ -13,7 +14,8 @@ give no row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,17 @@ from pyspark.sql import types as T
 from orrery.errors import OrreryError, UnknownIdError
 from orrery.operators.encode import code_rows, rows_of, validate
 from orrery.plans import quantizer as Q
-from orrery.runtime import arrow_schema, attach
+from orrery.runtime import arrow_schema, attach, spill_table
 
-#: Bytes of a query block (as doubles).
+#: Bytes of queries (as doubles) that are sent with the tasks, and of a block of more.
 QUERY_BYTES = 64 << 20
-#: Scores held at a time.
+BLOCK_BYTES = 4 << 20
+#: Rows of a packed block, and scores held at a time.
+BLOCK_ROWS = 2048
 STEP_SCORES = 4_000_000
 Scorer = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
+#: Rows, the ids of queries, and their matrix.
+Work = Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -38,54 +44,92 @@ def unit(v: np.ndarray) -> np.ndarray:
     return np.where(n > 0, v / np.where(n > 0, n, 1.0), v)
 
 
-def _local(scorer: Scorer, qids: np.ndarray, queries: np.ndarray, k: int, id_type: pa.DataType):
-    names = ["query_id", "id", "score"]
+def _best(q: np.ndarray, i: pa.Array, s: np.ndarray, k: int, id_type: pa.DataType) -> np.ndarray:
+    """Positions of each query's k best."""
+    if pa.types.is_integer(id_type):
+        key = i.to_numpy(zero_copy_only=False)
+    else:
+        key = np.argsort(np.argsort(np.array(i.to_pylist(), object), kind="stable"), kind="stable")
+    o = np.lexsort((key, -s, q))
+    beg = np.flatnonzero(np.concatenate([[True], q[o][1:] != q[o][:-1]]))
+    rank = np.arange(len(o)) - np.repeat(beg, np.diff(np.append(beg, len(o))))
+    return o[rank < k]
 
-    def best(q: np.ndarray, i: pa.Array, s: np.ndarray) -> np.ndarray:
-        if pa.types.is_integer(id_type):
-            key = i.to_numpy(zero_copy_only=False)
-        else:
-            key = np.argsort(np.argsort(np.array(i.to_pylist(), object), kind="stable"), kind="stable")
-        o = np.lexsort((key, -s, q))
-        beg = np.flatnonzero(np.concatenate([[True], q[o][1:] != q[o][:-1]]))
-        rank = np.arange(len(o)) - np.repeat(beg, np.diff(np.append(beg, len(o))))
-        return o[rank < k]
 
-    def run(batches):
-        held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
-        n = 0
+def _ranked(work: Work, scorer: Scorer, k: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """``query_id, id, score`` of the k best rows a query among the work of a task."""
+    held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+    n = 0
+
+    def merged():
+        q, s = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+        i = pa.concat_arrays([h[1] for h in held])
+        o = _best(q, i, s, k, id_type)
+        return q[o], i.take(pa.array(o)), s[o]
 
-        def merged():
-            q, s = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
-            i = pa.concat_arrays([h[1] for h in held])
-            o = best(q, i, s)
-            return q[o], i.take(pa.array(o)), s[o]
+    def give():
+        q, i, s = merged()
+        for lo in range(0, len(q), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(q[lo : lo + 50_000]), i.slice(lo, 50_000), pa.array(s[lo : lo + 50_000])], names=["query_id", "id", "score"])
 
+    for whole, qids, queries in work:
         step = max(1, STEP_SCORES // max(1, len(qids)))
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                b = whole.slice(lo, step)
-                s = np.round(scorer(b, queries), 12) + 0.0
-                m = min(k, len(s))
-                if m < len(s):
-                    # rows that reach the k-th score (ties included)
-                    kth = np.partition(s, len(s) - m, axis=0)[len(s) - m]
-                    r, q = np.nonzero(s >= kth)
-                else:
-                    r, q = (x.ravel() for x in np.indices(s.shape))
-                held.append((q, b.column(0).take(pa.array(r)), s[r, q]))
-                n += len(q)
-                if n > STEP_SCORES:
-                    held = [merged()]
-                    n = len(held[0][0])
-        if held:
-            q, i, s = merged()
-            for lo in range(0, len(q), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(qids[q[lo : lo + 50_000]]), i.slice(lo, 50_000), pa.array(s[lo : lo + 50_000])], names=names)
+        for lo in range(0, whole.num_rows, step):
+            b = whole.slice(lo, step)
+            s = np.round(scorer(b, queries), 12) + 0.0
+            m = min(k, len(s))
+            if m < len(s):
+                # rows that reach the k-th score (ties included)
+                kth = np.partition(s, len(s) - m, axis=0)[len(s) - m]
+                r, q = np.nonzero(s >= kth)
+            else:
+                r, q = (x.ravel() for x in np.indices(s.shape))
+            held.append((qids[q], b.column(0).take(pa.array(r)), s[r, q]))
+            n += len(q)
+            if n > STEP_SCORES:
+                held = [merged()]
+                n = len(held[0][0])
+                if n > STEP_SCORES // 2:  # more queries than a task can hold: the exchange ranks them
+                    yield from give()
+                    held, n = [], 0
+    if held:
+        yield from give()
+
+
+def _sent(scorer: Scorer, qids: np.ndarray, queries: np.ndarray, k: int, id_type: pa.DataType):
+    return lambda batches: _ranked(((b, qids, queries) for b in batches), scorer, k, id_type)
+
+
+def _pack_rows(batches):
+    for b in batches:
+        for lo in range(0, b.num_rows, BLOCK_ROWS):
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b.slice(lo, BLOCK_ROWS))
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["rows"])
+
+
+def _pack_queries(dim: int, per: int, cosine: bool):
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, per):
+                part = b.slice(lo, per)
+                q = rows_of(part.column(1), dim)
+                q = unit(q) if cosine else q
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary())], names=["ids", "queries"])
 
     return run
 
 
+def _met(scorer: Scorer, dim: int, k: int, id_type: pa.DataType):
+    def work(batches) -> Work:
+        for b in batches:
+            for rows, ids, queries in zip(*b.columns):
+                yield pa.ipc.open_stream(rows.as_buffer()).read_next_batch(), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(queries.as_buffer(), np.float64).reshape(-1, dim)
+
+    return lambda batches: _ranked(work(batches), scorer, k, id_type)
+
+
 def _topk(rows: DataFrame, scorer: Scorer, queries: DataFrame, k: int, cosine: bool, query_key: str, query_embedding: str, dim: int) -> DataFrame:
     spark = attach(rows.sparkSession)
     kind = rows.schema[0].dataType
@@ -95,32 +139,39 @@ def _topk(rows: DataFrame, scorer: Scorer, queries: DataFrame, k: int, cosine: b
     id_type = arrow_schema(out).field(1).type
     per = max(1, QUERY_BYTES // (8 * dim))
     src = queries.select(queries[query_key].cast("long").alias("q"), queries[query_embedding].cast("array<double>").alias("v"))
-    found: DataFrame | None = None
-    block: list = []
-
-    def search(block: list) -> DataFrame:
-        ids, q = np.array([r["q"] for r in block], np.int64), np.array([r["v"] for r in block], np.float64).reshape(len(block), dim)
-        return rows.mapInArrow(_local(scorer, ids, unit(q) if cosine else q, k, id_type), out)
-
-    # a block at a time reaches the driver, to be sent with the tasks
-    for r in src.toLocalIterator():
-        block.append(r)
-        if len(block) == per:
-            found, block = search(block) if found is None else found.unionByName(search(block)), []
-    if block or found is None:
-        part = search(block) if block else spark.createDataFrame([], out)
-        found = part if found is None else found.unionByName(part)
+    first = src.limit(per + 1).toArrow().combine_chunks()
+    if len(first) <= per:
+        q = rows_of(first["v"].combine_chunks(), dim) if len(first) else np.zeros((0, dim))
+        found = rows.mapInArrow(_sent(scorer, first["q"].to_numpy(), unit(q) if cosine else q, k, id_type), out) if len(first) else spark.createDataFrame([], out)
+    else:
+        found = _in_blocks(rows, scorer, src, k, cosine, dim, max(1, BLOCK_BYTES // (8 * dim)), out)
+    return _final(found, k)
+
+
+def _in_blocks(rows: DataFrame, scorer: Scorer, src: DataFrame, k: int, cosine: bool, dim: int, per: int, out: T.StructType) -> DataFrame:
+    blocks = spill_table(src.mapInArrow(_pack_queries(dim, per, cosine), "ids binary, queries binary"), "queries")
+    return rows.mapInArrow(_pack_rows, "rows binary").crossJoin(blocks).mapInArrow(_met(scorer, dim, k, arrow_schema(out).field(1).type), out)
+
+
+def _final(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def blocked_topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, per: int) -> DataFrame:
+    """``exact_topk`` of rows ``id, v`` by packed blocks of ``per`` queries, however few there are."""
+    attach(rows.sparkSession)
+    out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", rows.schema[0].dataType), T.StructField("score", T.DoubleType())])
+    src = queries.select(F.col("query_id").cast("long").alias("q"), F.col("embedding").cast("array<double>").alias("v"))
+    return _final(_in_blocks(rows, lambda b, q: rows_of(b.column(1), dim) @ q.T, src, k, False, dim, per, out), k)
+
+
 def allowed(rows: DataFrame, key: str, mask: Column | None = None, allowlist: DataFrame | None = None) -> DataFrame:
     """Rows that pass a mask (a condition) and an allowlist (``id`` column; duplicates count once).
 
-    An empty allowlist and unknown ids are errors, as they are most likely mistakes.
+    An empty allowlist and ids that the table doesn't have are errors, as they
+    are most likely mistakes; ids that the mask leaves out just don't take part.
     """
-    if mask is not None:
-        rows = rows.where(mask)
     if allowlist is not None:
         ids = allowlist.select(allowlist["id"].alias("__allowed")).distinct()
         if not ids.limit(1).count():
@@ -129,7 +180,7 @@ def allowed(rows: DataFrame, key: str, mask: Column | None = None, allowlist: Da
         if strange:
             raise UnknownIdError(f"unknown ids in the allowlist: {[r[0] for r in strange]}")
         rows = rows.join(ids, rows[key] == ids["__allowed"], "left_semi")
-    return rows
+    return rows if mask is None else rows.where(mask)
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int | None = None, cosine: bool = False, key: str = "id", embedding: str = "embedding", query_key: str = "query_id", query_embedding: str = "embedding", mask: Column | None = None, allowlist: DataFrame | None = None, check: bool = False) -> DataFrame:

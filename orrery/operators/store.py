@@ -11,19 +11,22 @@ from __future__ import annotations
 import asyncio
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.errors import OrreryError, UnsupportedModeError
+from orrery.errors import IntegrityError, OrreryError, UnsupportedModeError
 from orrery.functions import filters as W
 from orrery.functions import vectors as V
 from orrery.operators import mutate as M
 from orrery.operators import search as S
 from orrery.operators.encode import encode, validate
 from orrery.plans import quantizer as Q
+from orrery.sources import snapshot as P
 
 
 @dataclass(frozen=True)
@@ -110,18 +113,26 @@ class DocumentStore:
     # searching
 
     def hits(self, queries: DataFrame, k: int, where: Any = None, ids: DataFrame | None = None, query_key: str = "query_id") -> DataFrame:
-        """``query_id, rank, id, score``; the filter is applied before the ranking."""
-        rows = self.table.where(self.predicate(where)) if where is not None else self.table
+        """``query_id, rank, id, score``; filter and ids (all of which must be there) apply together, before the ranking."""
+        mask = None if where is None else self.predicate(where)
         if self.model is None:
-            return S.exact_topk(rows, queries, k, None, self.cosine, self.key, self.embedding, query_key, allowlist=ids)
+            return S.exact_topk(self.table, queries, k, None, self.cosine, self.key, self.embedding, query_key, mask=mask, allowlist=ids)
+        rows = S.allowed(self.table, self.key, mask, ids)
         if self.cosine:
             rows = rows.withColumn(self.embedding, V.normalize(F.col(self.embedding)))
         codes = encode(rows, self.model, self.embedding, (self.key,))
-        return S.quantized_topk(codes, self.model, queries, k, self.cosine, self.key, query_key, allowlist=ids)
-
-    def search(self, queries: DataFrame, k: int = 4, where: Any = None, ids: DataFrame | None = None, threshold: float | None = None) -> DataFrame:
-        """Hits with their documents; ``threshold`` on the similarity in [0, 1]."""
-        hits = self.hits(queries, k, where, ids)
+        return S.quantized_topk(codes, self.model, queries, k, self.cosine, self.key, query_key)
+
+    def narrowed(self, where: Any = None, node_ids: list | None = None, doc_ids: list | None = None, reference: str = "ref_doc_id") -> Any:
+        """A filter with sets of ids and of source documents; None and empty sets restrict nothing, unknown ids match nothing."""
+        parts = [] if where is None else [self.predicate(where)]
+        parts += [F.col(self.key).isin(list(node_ids))] if node_ids else []
+        parts += [F.coalesce(F.col(reference).isin(list(doc_ids)), F.lit(False))] if doc_ids else []
+        return reduce(lambda a, b: a & b, parts) if parts else None
+
+    def search(self, queries: DataFrame, k: int = 4, where: Any = None, ids: DataFrame | None = None, threshold: float | None = None, node_ids: list | None = None, doc_ids: list | None = None, reference: str = "ref_doc_id") -> DataFrame:
+        """Hits with their documents; ``threshold`` on the similarity in [0, 1]; ``node_ids`` and ``doc_ids`` as in ``narrowed``."""
+        hits = self.hits(queries, k, self.narrowed(where, node_ids, doc_ids, reference), ids)
         if threshold is not None:
             hits = hits.where((V.similarity_cosine if self.cosine else V.similarity_inner)(F.col("score")) >= threshold)
         docs = self.table.drop(self.embedding).withColumnRenamed(self.key, "__id")
@@ -173,6 +184,49 @@ class DocumentStore:
         """Rows that match go; None changes nothing, an empty dict drops all."""
         return self if where is None else self._with(self.table.where(~self.predicate(where)))
 
+    def delete_named(self, value: str | None, column: str = "name") -> "DocumentStore":
+        """All rows of a name (or content id); None changes nothing, so rows without one stay."""
+        return self if value is None else self._with(self.table.where(~F.coalesce(F.col(column) == value, F.lit(False))))
+
+    def upsert_content(self, batch: DataFrame, content_hash: str, column: str = "content_hash") -> "DocumentStore":
+        """The rows stored under a content hash are replaced by the batch, whatever its ids."""
+        kept = self.table.where(~F.coalesce(F.col(column) == content_hash, F.lit(False)))
+        return self._with(M.append(kept, batch.withColumn(column, F.lit(content_hash))))
+
+    def add_texts(self, texts: DataFrame, embedder: Callable, dim: int) -> "DocumentStore":
+        """Texts with their metadata, embedded and upserted; rows without an id get one made of their content and place."""
+        made = F.md5(F.concat_ws("_", F.col(self.text), F.col("pos").cast("string")))
+        ids = F.coalesce(F.col(self.key), made) if self.key in texts.columns else made
+        batch = self.embed(texts.withColumn(self.key, ids), embedder, dim)
+        return self.add(batch.select(*[F.col(f.name).cast(f.dataType) if f.name in batch.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.table.schema], "pos"))
+
+    def save(self, root: str, expected: int | None = None) -> int:
+        """Table, model and settings as one version."""
+        extra = {k: getattr(self, k) for k in ("key", "text", "embedding", "metadata", "cosine")}
+        return P.save(self.table, root, self.key, self.model, expected, {"store": extra})
+
+    @classmethod
+    def load(cls, spark: SparkSession, root: str, version: int | None = None, check: bool = True) -> "DocumentStore":
+        """A saved store; ``check`` as in ``snapshot.load``. A table that wasn't saved as a store is an error."""
+        m = P.manifest(spark, root, version)
+        if "store" not in m.extra:
+            raise IntegrityError(f"{root} isn't a document store")
+        return cls(P.load(spark, root, m.version, check), model=P.load_model(spark, root, m.version), **m.extra["store"])
+
+    def prepare(self) -> "DocumentStore":
+        """The same store with its table in memory (spilling to disk), so that the first search costs what later ones do."""
+        table = self.table.persist(StorageLevel.MEMORY_AND_DISK)
+        table.count()
+        return self._with(table)
+
+    def info(self) -> dict[str, Any]:
+        """Rows, dimensions, and how vectors are held."""
+        first = self.table.select(F.size(self.embedding).alias("d")).where("d > 0").limit(1).collect() if self.embedding in self.table.columns else []
+        return {"rows": self.table.count(), "dim": first[0]["d"] if first else None, "bits": self.model.bits if self.model else None, "state": self.model.state if self.model else "exact"}
+
+    def ids(self) -> DataFrame:
+        return self.table.select(self.key)
+
     def delete_reference(self, ref: str | None, column: str = "ref_doc_id") -> "DocumentStore":
         """All nodes of a source document; nodes without one go by the name "None"."""
         return self._with(self.table.where(F.coalesce(F.col(column).cast("string"), F.lit("None")) != str(ref)))
@@ -196,4 +250,18 @@ class DocumentStore:
 
     async def asearch(self, *args: Any, **kw: Any) -> list:
         """``search`` collected off the event loop."""
-        return await asyncio.to_thread(lambda: self.search(*args, **kw).collect())
+        return await self.off_loop(lambda: self.search(*args, **kw).collect())
+
+    async def aget(self, ids: list) -> list:
+        return await self.off_loop(lambda: self.get(ids).collect())
+
+    async def asave(self, root: str, expected: int | None = None) -> int:
+        return await self.off_loop(self.save, root, expected)
+
+    async def aadd(self, batch: DataFrame, policy: str = M.KEEP_LAST) -> "DocumentStore":
+        return await self.off_loop(self.add, batch, policy)
+
+    @staticmethod
+    async def off_loop(f: Callable, *args: Any) -> Any:
+        """Any method of a store, on a thread of its own."""
+        return await asyncio.to_thread(f, *args)

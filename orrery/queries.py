@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+import warnings
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -303,18 +306,16 @@ SELECT id, {_HEX} AS code, round(CASE WHEN ip > 0.1 THEN nrm2 / ip ELSE 0 END, 6
         m = model(bits)
         return _codes_shown(E.reencode(E.encode(vectors(spark, d), m), m, calibrated(spark, d, bits)))
 
-    @register("SELECT vec_id AS id, 0.0::DOUBLE AS gap FROM embeddings", f"self_score_{bits}bit")
+    @register("SELECT vec_id AS id, round(list_sum(list_transform(embedding::DOUBLE[], lambda e: e * e)) * (label + 1) * (label + 1), 4) AS score FROM embeddings", f"self_score_{bits}bit")
     def self_score(spark, d):
-        """A row's score against itself is its squared length."""
+        """A row's score against itself is its squared length, whatever its code."""
         m = model(bits)
-        v = vectors(spark, d)
+        v = scaled(spark, d)
         codes = E.encode(v, m, keep=("id", "embedding"))
         x = E.rotated(v, DIM).join(codes, "id")
         cents = F.array(*[F.lit(float(c)) for c in m.codebook()[1]])
         byte = F.transform(F.sequence(F.lit(1), F.lit(DIM)), lambda i: F.element_at(cents, F.conv(F.substring(F.hex(F.col("code")), i * 2 - 1, F.lit(2)), 16, 10).cast("int") + 1))
-        n = V.norm(F.col("embedding"))
-        score = F.col("scale") * n * V.dot(F.col("rotated"), byte)
-        return x.select("id", (F.abs(F.round(score - n * n, 6)) + 0.0).alias("gap"))
+        return x.select("id", F.round(F.col("scale") * V.norm(F.col("embedding")) * V.dot(F.col("rotated"), byte), 4).alias("score"))
 
 
 for _bits in (2, 3, 4):
@@ -385,9 +386,10 @@ def get_by_ids(spark, d):
     return store(spark, d).get([42, 7, 100000000, 13]).select("pos", "id", "lang")
 
 
-@register("SELECT unnest([5, 100000000]) AS id, unnest([true, false]) AS found")
+@register("SELECT vec_id * 3 - 100 AS id, vec_id * 3 - 100 IN (SELECT vec_id FROM embeddings) AS found FROM embeddings")
 def membership(spark, d):
-    return M.removed_flags(vectors(spark, d), spark.createDataFrame([(5,), (100000000,)], "id long")).select("id", F.col("removed").alias("found"))
+    have = vectors(spark, d)
+    return M.removed_flags(have, have.select((F.col("id") * 3 - 100).alias("id"))).select("id", F.col("removed").alias("found"))
 
 
 # changes
@@ -490,6 +492,112 @@ def search_distinct(spark, d):
     return shown(_shelf(spark, d).search_distinct(asked(spark, d), 10))
 
 
+@register(topk_sql(where="WHERE x.label IN (1, 4, 7) AND x.id % 3 = 0", k=5))
+def topk_mask_and_allowlist(spark, d):
+    """Ids that are there but masked don't take part."""
+    v = vectors(spark, d)
+    return shown(S.exact_topk(v, asked(spark, d), 5, mask=F.col("label").isin(1, 4, 7), allowlist=v.where("id % 3 = 0").select("id")))
+
+
+@register(topk_sql(_SHELF.replace("quality FROM", "quality, source FROM"), _COS, 4, "WHERE x.source IN ('src1', 'src4') AND coalesce(x.quality = 1, false)"))
+def search_doc_ids(spark, d):
+    return shown(_shelf(spark, d).search(asked(spark, d), 4, {"quality": 1}, doc_ids=["src1", "src4", "none"], reference="source"))
+
+
+@register(topk_sql(_SHELF, _COS, 6, "WHERE x.id IN (2, 3, 5, 8, 13, 21) AND x.lang = 'en'"))
+def search_node_ids(spark, d):
+    return shown(_shelf(spark, d).search(asked(spark, d), 6, {"lang": "en"}, node_ids=[2, 3, 5, 8, 13, 21, 100000000], doc_ids=[]))
+
+
+@register(topk_sql())
+def exact_topk_in_blocks(spark, d):
+    """More queries than are sent with the tasks: packed blocks of rows meet packed blocks of queries."""
+    v = vectors(spark, d).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    return shown(S.blocked_topk(v, asked(spark, d), 10, DIM, 100))
+
+
+@register("SELECT vec_id AS id FROM embeddings WHERE vec_id % 7 < 4")
+def codes_not_of_the_model(spark, d):
+    """Codes and scales spoilt in four ways are found, the others pass."""
+    codes = E.encode(vectors(spark, d), model(3))
+    at = F.col("id") % 7
+    worse = codes.select(
+        "id",
+        F.when(at == 0, F.concat(F.expr("substring(code, 1, 63)"), F.lit(b"\x08"))).when(at == 1, F.expr("substring(code, 1, 60)")).otherwise(F.col("code")).alias("code"),
+        F.when(at == 2, float("nan")).when(at == 3, -1.0).otherwise(F.col("scale")).alias("scale"),
+    )
+    return P.bad_codes(worse, model(3)).select("id")
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/orrery-{tag}-{uuid.uuid4().hex[:12]}"
+
+
+@register("SELECT vec_id AS id, label FROM embeddings UNION ALL SELECT vec_id + 1000000000, label FROM embeddings WHERE label = 5")
+def snapshot_after_a_crash(spark, d):
+    """The newest manifest was cut off: the version before holds, and the next delta goes on from it."""
+    root, table = _scratch(spark, "torn"), vectors(spark, d).select("id", "label")
+    P.save(table, root)
+    P.Storage(spark, root).create("manifest-00000002.json", '{"format": 1, "vers')
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        P.sync(root, added=table.where("label = 5").select((F.col("id") + 1000000000).alias("id"), "label"), check=True)
+    return P.load(spark, root, check=True)
+
+
+@register(ORACLE_SQL["search_filtered"])
+def store_save_load(spark, d):
+    root = _scratch(spark, "store")
+    _shelf(spark, d).save(root, 0)
+    return shown(DocumentStore.load(spark, root).search(asked(spark, d), 4, {"quality": 1}))
+
+
+@register("SELECT label::VARCHAR AS name, count(*) AS n FROM embeddings WHERE label <> 2 GROUP BY label UNION ALL SELECT 'empty', 0")
+def table_lifecycle(spark, d):
+    """Tables created, filled, dropped and listed."""
+    root, table = _scratch(spark, "tables"), vectors(spark, d).select("id", "label")
+    labels = [r[0] for r in table.select("label").distinct().collect()]
+    for x in labels:
+        P.sync(P.create(spark, root, str(x), "id long, label int"), added=table.where(F.col("label") == x))
+    P.create(spark, root, "empty", "id long, label int")
+    P.create(spark, root, str(labels[0]), "id long, label int")  # there already: it stays
+    P.drop(spark, root, "2")
+    counts = [P.load(spark, P.table_path(root, x), check=True).agg(F.count(F.lit(1)).alias("n")).select(F.lit(x).alias("name"), "n") for x in P.names(spark, root)]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@register(ORACLE_SQL["reencode_4bit"])
+def recalibrated_table(spark, d):
+    """A stored table of packed codes changes its calibration in one version."""
+    root, old = _scratch(spark, "codes"), model(4)
+    P.save(E.encode(vectors(spark, d), old, packed=True), root, model=old, extra={"packed": True})
+    P.recalibrate(spark, root, calibrated(spark, d, 4))
+    new = P.load_model(spark, root)
+    return _codes_shown(E.unpack(P.load(spark, root, check=True), new))
+
+
+@register(ORACLE_SQL["encode_2bit"])
+def bytes_round_trip(spark, d):
+    return _codes_shown(P.from_bytes(spark, P.to_bytes(spark.createDataFrame(E.encode(vectors(spark, d), model(2)).toArrow()), model(2)))[0])
+
+
+_HASHED = "SELECT doc_id AS id, md5(coalesce(source, '')) AS content_hash, lang AS name FROM documents"
+
+
+@register(f"SELECT id, content_hash, name FROM ({_HASHED}) WHERE content_hash <> md5('src1') UNION ALL SELECT doc_id + 1000000000, md5('src1'), lang FROM documents WHERE source = 'src2'")
+def upsert_content_hash(spark, d):
+    docs = read_table(spark, d, "documents")
+    table = docs.select(F.col("doc_id").alias("id"), F.md5(F.coalesce("source", F.lit(""))).alias("content_hash"), F.col("lang").alias("name"))
+    batch = docs.where("source = 'src2'").select((F.col("doc_id") + 1000000000).alias("id"), F.col("lang").alias("name"))
+    return DocumentStore(table).upsert_content(batch, hashlib.md5(b"src1").hexdigest()).table
+
+
+@register(f"SELECT id, name FROM ({_HASHED}) WHERE name IS DISTINCT FROM 'de'")
+def delete_by_name(spark, d):
+    table = read_table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("name"))
+    return DocumentStore(table).delete_named("de").delete_named(None).table
+
+
 # persistence and streams
 
 

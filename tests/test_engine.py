@@ -62,6 +62,13 @@ def test_search(spark):
         S.exact_topk(rows, queries, 9, allowlist=ids([4, 400]))
     with pytest.raises(X.OrreryError):
         S.exact_topk(rows, queries, 9, allowlist=ids([]).limit(0))
+    # ids that are there but masked are no error, and don't take part
+    assert {r["id"] for r in S.exact_topk(rows, queries, 9, mask=F.col("id") < 6, allowlist=ids([4, 8])).collect()} == {4}
+    store = DocumentStore(rows.selectExpr("*", "cast(id as string) as text", "concat('s', id div 2) as ref_doc_id"))
+    found = lambda **kw: {r["id"] for r in store.search(queries.where("query_id = 0"), 60, **kw).collect()}
+    assert found(node_ids=[1, 3, 999]) == {1, 3} and found(node_ids=[], doc_ids=[]) == set(range(60))
+    assert found(doc_ids=["s0", "s1"]) == {0, 1, 2, 3} and found(doc_ids=["0"]) == set()
+    assert found(where=F.col("id") % 2 == 1, node_ids=[0, 1, 2, 3]) == {1, 3} and found(where=F.col("id") < 6, ids=ids([5, 7])) == {5}
     bad = rows.withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("id") == 3, float("nan")).otherwise(x)))
     with pytest.raises(X.BadValueError):
         S.exact_topk(bad, queries, 3, check=True)
@@ -122,11 +129,113 @@ def test_snapshots(spark, tmp_path):
     assert P.load(spark, root, check=True).count() == 20 and P.load(spark, root, 1).count() == 10
     (tmp_path / "index" / "manifest-00000003.json").write_text('{"format": 1, "vers')
     assert P.manifest(spark, root).version == 2  # a manifest cut off by a crash
+    with pytest.warns(UserWarning, match="cut off"):
+        assert P.sync(root, added=t.selectExpr("id + 20 as id", "v"), expected=2, check=True) == 4
+    assert P.load(spark, root, check=True).count() == 30 and P.save(t, root, expected=4) == 5
+    with pytest.raises(X.DuplicateIdError):
+        P.sync(root, added=t, check=True)
+    assert P.sync(root, added=t, removed=t, check=True) == 6 and P.load(spark, root, check=True).count() == 10
+    P.sync(root, added=t)
+    with pytest.raises(X.IntegrityError):
+        P.load(spark, root, check=True)
     for name in ("a/b", "..", ""):
         with pytest.raises(X.IntegrityError):
             P.table_path(root, name)
 
 
+def test_deltas_cost_what_they_have(spark, tmp_path):
+    """A delta is saved without a look at the table: it works even where the base can't be read."""
+    root = "file://" + str(tmp_path / "index")
+    t = spark.createDataFrame([(i, i) for i in range(10)], "id long, v long")
+    P.save(t, root)
+    base = tmp_path / "index" / P.manifest(spark, root).base
+    base.rename(tmp_path / "away")
+    assert P.sync(root, added=t.selectExpr("id + 10 as id", "v"), removed=t.where("id < 3").select("id")) == 2
+    (tmp_path / "away").rename(base)
+    assert P.load(spark, root, check=True).count() == 17
+
+
+def test_codes_are_checked(spark, tmp_path):
+    rows = frame(spark, unit_rows(20, 64))
+    for bits in (2, 3, 4):
+        m = Q.Model(64, bits)
+        plain, packed = E.encode(rows, m).cache(), E.encode(rows, m, packed=True).cache()
+        P.check_codes(plain, m)
+        P.check_codes(packed, m, packed=True)
+        for bad, how in ((plain.withColumn("code", F.expr(f"concat(substring(code, 1, 63), X'{1 << bits:02X}')")), False), (plain, True), (packed, False), (plain.withColumn("scale", F.lit(None).cast("double")), False), (plain.withColumn("code", F.expr("concat(substring(code, 1, 63), X'FF')")), False)):
+            with pytest.raises(X.IntegrityError):
+                P.check_codes(bad, m, how)
+    spoilt = plain.withColumn("code", F.expr("concat(substring(code, 1, 63), X'FF')"))
+    root = "file://" + str(tmp_path / "codes")
+    P.save(spoilt, root, model=m)
+    with pytest.raises(X.IntegrityError):
+        P.load(spark, root, check=True)
+    data = P.to_bytes(spark.createDataFrame(plain.toArrow()), m)
+    back, model = P.from_bytes(spark, data)
+    assert model == m and sorted(map(tuple, back.collect())) == sorted(map(tuple, plain.collect()))
+    for torn in (data[:100], b"", b"x" * 50, P.to_bytes(spark.createDataFrame(spoilt.toArrow()), m)):
+        with pytest.raises(X.IntegrityError):
+            P.from_bytes(spark, torn)
+    with pytest.raises(X.IntegrityError):
+        P.to_bytes(plain, m, most=1)
+
+
+def test_stores(spark, tmp_path):
+    root = "file://" + str(tmp_path)
+    v = unit_rows(6, 64)
+    t = frame(spark, v).selectExpr("cast(id as string) as id", "cast(embedding as array<float>) as embedding", "concat('text ', id) as text", "if(id < 2, 'n', null) as name", "'h' as content_hash")
+    for m in (None, Q.Model(64, 4)):
+        store = DocumentStore(t, model=m)
+        number = store.save(f"{root}/s{m is None}", 0)
+        again = DocumentStore.load(spark, f"{root}/s{m is None}")
+        q = frame(spark, v[:3], "query_id")
+        assert number == 1 and again.model == m and sorted(map(tuple, again.search(q, 2).collect())) == sorted(map(tuple, store.search(q, 2).collect()))
+        assert again.info() == {"rows": 6, "dim": 64, "bits": m and 4, "state": "uncalibrated" if m else "exact"}
+        with pytest.raises(X.IntegrityError):
+            store.save(f"{root}/s{m is None}", 0)
+    P.save(t, f"{root}/plain")
+    with pytest.raises(X.IntegrityError):
+        DocumentStore.load(spark, f"{root}/plain")
+    assert store.delete_named("n").table.count() == 4 and store.delete_named(None) is store and store.delete_named("zz").table.count() == 6
+    new = store.upsert_content(t.limit(2).drop("content_hash"), "h")
+    assert new.table.count() == 2 and store.upsert_content(t.limit(2).drop("content_hash"), "other").table.count() == 8
+    more = store.add_texts(spark.createDataFrame([(0, "fresh", None), (1, "given", "3")], "pos int, text string, id string"), lambda x: x.map(lambda _: [1.0] * 64), 64)
+    assert more.table.count() == 7 and more.get(["3"]).collect()[0]["text"] == "given"
+    with pytest.raises(X.DimensionError):
+        store.add_texts(spark.createDataFrame([(0, "fresh")], "pos int, text string"), lambda x: x.map(lambda _: [1.0] * 8), 64)
+    assert P.create(spark, root, "t", "id long") == f"{root}/t" and P.exists(spark, root, "t") and not P.exists(spark, root, "u")
+    P.sync(f"{root}/t", added=spark.range(3))
+    P.create(spark, root, "t", "id long")
+    assert P.load(spark, f"{root}/t").count() == 3 and "t" in P.names(spark, root) and P.drop(spark, root, "t") and not P.drop(spark, root, "t")
+    assert not P.exists(spark, root, "t")
+    import asyncio
+
+    assert len(asyncio.run(store.asearch(q, 1))) == 3 and len(asyncio.run(store.aget(["1", "2"]))) == 2 and store.prepare().table.count() == 6
+
+
+def test_constants():
+    """Codebooks of high dimensions against the published quantizers of a normal variable, ends and rotation against their definitions."""
+    normal = {2: [0.4528, 1.510], 3: [0.2451, 0.7560, 1.344, 2.152], 4: [0.1284, 0.3881, 0.6568, 0.9424, 1.256, 1.618, 2.069, 2.733]}
+    for bits, half in normal.items():
+        got = Q.codebook(bits, 8192)[1][len(half) :] * np.sqrt(8192)
+        assert np.allclose(got, half, atol=3e-3)
+        assert np.allclose(Q.codebook(bits, 8192)[0], (Q.codebook(bits, 8192)[1][1:] + Q.codebook(bits, 8192)[1][:-1]) / 2)
+    for dim in (8, 64, 200):
+        r = Q.rotation_matrix(dim)
+        assert np.allclose(r @ r.T, np.eye(dim)) and np.abs(r).max() < 1
+
+
+def test_queries_beyond_a_block(spark, monkeypatch):
+    v = unit_rows(70, 64)
+    rows, queries = frame(spark, v), frame(spark, v[:30], "query_id")
+    want = sorted(map(tuple, S.exact_topk(rows, queries, 4).collect()))
+    for name, value in (("QUERY_BYTES", 64 * 8 * 10), ("BLOCK_BYTES", 64 * 8 * 7), ("BLOCK_ROWS", 9), ("STEP_SCORES", 200)):
+        monkeypatch.setattr(S, name, value)
+    assert sorted(map(tuple, S.exact_topk(rows, queries, 4).collect())) == want
+    names = rows.selectExpr("concat('d', id) as id", "embedding")
+    assert {r["id"] for r in S.exact_topk(names, queries, 70).collect()} == {f"d{i}" for i in range(70)}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
