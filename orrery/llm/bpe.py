@@ -11,10 +11,11 @@ positions cross the network once only. Both runs must see the same rows: input
 that isn't a plain scan is written down first, and each block's two halves bear
 a mark of its words, whose difference is an error.
 
-Decoding explodes the ids with their positions, joins them with the token-byte
-table (one row per vocabulary entry, so it is broadcast), and reassembles the
-bytes by position. A document's tokens stay in one task and in order, which is
-verified row by row, so nothing is shuffled.
+Decoding works the same way round: documents are packed, each pack's distinct
+ids are exploded to rows and joined with the token-byte table (one row per
+vocabulary entry, so it is broadcast), and the bytes are put back by position.
+A pack stays in one task and its rows in order, which is verified row by row,
+so nothing is shuffled.
 
 Rows, defined results:
   null text      -> null ids, 0 tokens        empty text -> empty ids
@@ -47,6 +48,8 @@ STEP_CHARS = 400_000
 #: Bytes of input for each owner of words (an owner's words are in memory one owner at a time), and the most owners: a block has a message for each.
 OWNER_BYTES = 16 << 20
 MAX_OWNERS = 1024
+#: Tokens of a pack of documents to decode (one document at least).
+PACK_TOKENS = 400_000
 _WIRE = "route long, block long, kind int, seq long, payload binary"
 _WIRE_PA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int64()), ("payload", pa.binary())])
 
@@ -281,46 +284,92 @@ def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame
     return spark.createDataFrame(pa.table({"token_id": pa.array([i for i, _ in rows], pa.int32()), "bytes": pa.array([b for _, b in rows], pa.binary())}))
 
 
-def _reassemble(schema: pa.Schema):
-    """Rows ``head, pos, bytes`` of documents in token order -> carried columns and text; head is set at a document's first row."""
+def _explode(pack_tokens: int):
+    """Packs of documents (the ids are the last column) -> a row ``head`` with the pack, then a row for each distinct id."""
 
-    def text_of(parts: list[bytes], n: int, seen: int) -> str | None:
-        if seen != max(n, 1):
-            raise ValueError("a document's tokens don't come in one piece")
-        return None if n < 0 else b"".join(parts).decode("utf-8", "replace")
+    def rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        flat = whole.column(whole.num_columns - 1).flatten()
+        ids = np.unique(flat.drop_null().to_numpy(zero_copy_only=False)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([_ipc(whole)], pa.binary()), pa.array([len(ids)], pa.int32())], names=["head", "id"])
+        for lo in range(0, len(ids), 100_000):
+            part = ids[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.binary()), pa.array(part)], names=["head", "id"])
 
     def run(batches):
-        head, parts, n, seen, last = None, [], 0, 0, -1
+        held: list[pa.RecordBatch] = []
+        n = 0
         for b in batches:
-            heads, pos, body = b.column(0), pa.compute.fill_null(b.column(1), 0).to_numpy(), b.column(2)
-            first = pa.compute.is_valid(heads).to_numpy(zero_copy_only=False)
-            before = np.concatenate([[last], pos[:-1]])
-            if not np.array_equal(pos, np.where(first, 0, before + 1)):
-                raise ValueError("a document's tokens don't come in order")
-            last = int(pos[-1]) if len(pos) else last
-            offs = np.frombuffer(body.buffers()[1], np.int32, len(body) + 1, 4 * body.offset)
-            data = memoryview(body.buffers()[2] or b"")
-            at = np.flatnonzero(first)
-            cut = int(at[0]) if len(at) else len(pos)
-            parts.append(bytes(data[offs[0] : offs[cut]]))
-            seen += cut
-            if not len(at):
-                continue
-            # the document that was open, and all of this batch but its last one
-            done = heads.take(pa.array(at[:-1]))
-            sizes = done.field(len(schema) - 1).to_pylist()
-            ends = at[1:]
-            texts = [text_of([bytes(data[offs[s] : offs[e]])], k, e - s) for s, e, k in zip(at[:-1].tolist(), ends.tolist(), sizes)]
-            if head is not None:
-                texts.insert(0, text_of(parts, n, seen))
-                done = pa.concat_arrays([head, done])
-            if len(texts):
-                yield pa.RecordBatch.from_arrays([*[done.field(i) for i in range(len(schema) - 1)], pa.array(texts, pa.string())], schema=schema)
-            head = pa.concat_arrays([heads.slice(int(at[-1]), 1)])
-            n = head.field(len(schema) - 1)[0].as_py()
-            parts, seen = [bytes(data[offs[at[-1]] : offs[len(pos)]])], len(pos) - int(at[-1])
+            size = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                before = int(size[lo - 1]) if lo else 0
+                hi = min(b.num_rows, max(lo + 1, int(np.searchsorted(size, before + pack_tokens - n, "right"))))
+                held.append(b.slice(lo, hi - lo))
+                n += int(size[hi - 1]) - before
+                lo = hi
+                if n >= pack_tokens or lo < b.num_rows:
+                    yield from rows(held)
+                    held, n = [], 0
+        if held:
+            yield from rows(held)
+
+    return run
+
+
+def _spell(schema: pa.Schema, keep: int):
+    """Rows ``head, id, bytes``, each pack's ids behind it in their order -> carried columns and text."""
+
+    def texts(head: bytes, count: int, ids: np.ndarray, size: np.ndarray, body: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids) != count or not (ids[1:] > ids[:-1]).all():
+            raise ValueError("the tokens of a pack don't come in one piece")
+        whole = pa.ipc.open_stream(head).read_next_batch()
+        begin = np.concatenate([[0], np.cumsum(size)])
+        size = np.append(size, 0)  # what a null adds
+        for lo in range(0, whole.num_rows, 1024):
+            b = whole.slice(lo, 1024)
+            col = b.column(b.num_columns - 1)
+            offs = np.zeros(b.num_rows + 1, np.int64)
+            np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False), out=offs[1:])
+            flat = col.flatten()
+            at = np.searchsorted(ids, pa.compute.fill_null(flat, 0).to_numpy(zero_copy_only=False)) if len(ids) else np.zeros(len(flat), np.int64)
+            at[flat.is_null().to_numpy(zero_copy_only=False)] = len(ids)
+            raw = _ragged(body, begin[at], size[at]).tobytes()
+            cut = np.concatenate([[0], np.cumsum(size[at])])[offs].tolist()
+            spelt = [None if z else raw[s:e].decode("utf-8", "replace") for s, e, z in zip(cut[:-1], cut[1:], col.is_null().to_numpy(zero_copy_only=False).tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(spelt, pa.string())], schema=schema)
+
+    def run(batches):
+        head, count = None, 0
+        ids: list[np.ndarray] = []
+        size: list[np.ndarray] = []
+        body: list[np.ndarray] = []
+
+        def take(b: pa.RecordBatch) -> None:
+            col = b.column(2)
+            offs = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, 4 * col.offset)
+            ids.append(b.column(1).to_numpy())
+            size.append(np.diff(offs).astype(np.int64))
+            body.append(np.frombuffer(col.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]].copy())
+
+        def give():
+            yield from texts(head, count, *(np.concatenate(x) if x else np.zeros(0, k) for x, k in ((ids, np.int32), (size, np.int64), (body, np.uint8))))
+
+        for b in batches:
+            at = np.flatnonzero(pa.compute.is_valid(b.column(0)).to_numpy(zero_copy_only=False)).tolist()
+            lo = 0
+            for i in [*at, b.num_rows]:
+                if i > lo:
+                    take(b.slice(lo, i - lo))
+                if i < b.num_rows:
+                    if head is not None:
+                        yield from give()
+                    head, count = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                    for x in (ids, size, body):
+                        x.clear()
+                lo = i + 1
         if head is not None:
-            yield pa.RecordBatch.from_arrays([*[head.field(i) for i in range(len(schema) - 1)], pa.array([text_of(parts, n, seen)], pa.string())], schema=schema)
+            yield from give()
 
     return run
 
@@ -335,8 +384,8 @@ def decode(encoded: DataFrame, ids: str = "token_ids", keep: tuple[str, ...] | N
     keep = tuple(encoded.columns) if keep is None else tuple(keep)
     if name in keep:
         raise ValueError(f"{name} is already a column")
-    src = encoded.select(F.struct(*[encoded[c].alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.size(encoded[ids]), F.lit(-1)).alias("n")).alias("row"), encoded[ids].alias("ids"))
-    tokens = src.select("row", F.posexplode_outer("ids").alias("pos", "id")).select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row")).alias("head"), "pos", "id")
-    spelt = tokens.join(F.broadcast(token_table(spark, vocabulary)), F.col("id") == F.col("token_id"), "left").select("head", "pos", "bytes")
+    src = encoded.select(*[encoded[c].alias(f"c{i}") for i, c in enumerate(keep)], encoded[ids].alias("ids"))
+    tokens = src.mapInArrow(_explode(PACK_TOKENS), "head binary, id int")
+    spelt = tokens.join(F.broadcast(token_table(spark, vocabulary)), F.col("head").isNull() & (F.col("id") == F.col("token_id")), "left").select("head", "id", "bytes")
     out = T.StructType([*[T.StructField(c, encoded.schema[c].dataType) for c in keep], T.StructField(name, T.StringType())])
-    return spelt.mapInArrow(_reassemble(_arrow_schema(out)), out)
+    return spelt.mapInArrow(_spell(_arrow_schema(out), len(keep)), out)
