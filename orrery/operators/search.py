@@ -60,6 +60,7 @@ def _ranked(work: Work, scorer: Scorer, k: int, id_type: pa.DataType) -> Iterato
     """``query_id, id, score`` of the k best rows a query among the work of a task."""
     held: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
     n = 0
+    floors: dict[bytes, np.ndarray] = {}  # what a row must score to matter, by block of queries
 
     def merged():
         q, s = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
@@ -73,18 +74,20 @@ def _ranked(work: Work, scorer: Scorer, k: int, id_type: pa.DataType) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(q[lo : lo + 50_000]), i.slice(lo, 50_000), pa.array(s[lo : lo + 50_000])], names=["query_id", "id", "score"])
 
     for whole, qids, queries in work:
+        name = qids.tobytes()
         step = max(1, STEP_SCORES // max(1, len(qids)))
         for lo in range(0, whole.num_rows, step):
             b = whole.slice(lo, step)
-            s = np.round(scorer(b, queries), 12) + 0.0
+            s = scorer(b, queries)
             m = min(k, len(s))
             if m < len(s):
-                # rows that reach the k-th score (ties included)
-                kth = np.partition(s, len(s) - m, axis=0)[len(s) - m]
-                r, q = np.nonzero(s >= kth)
+                floor = floors.get(name)
+                if floor is None:  # the k-th score of the first rows; later ones need no ranking of their own
+                    floor = floors[name] = np.round(np.partition(s, len(s) - m, axis=0)[len(s) - m], 12) - 1e-11
+                r, q = np.nonzero(s >= floor)
             else:
                 r, q = (x.ravel() for x in np.indices(s.shape))
-            held.append((qids[q], b.column(0).take(pa.array(r)), s[r, q]))
+            held.append((qids[q], b.column(0).take(pa.array(r)), np.round(s[r, q], 12) + 0.0))
             n += len(q)
             if n > STEP_SCORES:
                 held = [merged()]
