@@ -46,27 +46,31 @@ def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode every document and decode it again: doc_id, token_ids, n_tokens, decoded."""
+    """Encode every document and decode it again: doc_id, token_ids, n_tokens, decoded (null texts: null, 0, null)."""
     attach(spark)
     return bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document (null texts: null; empty ones: 0; a row for each row)."""
     attach(spark)
     return token_count.token_counts(read_table(spark, sf_dir, "documents"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document over all its segmentations, by scores of the whole table (null texts: null; empty ones: 0)."""
     attach(spark)
     return lattice.lattice_scores(read_table(spark, sf_dir, "documents"))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen entries for every document, of 3 k-mers of 8 signs each (null texts: null; ties: the earlier k-mer)."""
     attach(spark)
     return omh.order_minhash(read_table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document that is half or more like another by word trigrams (null and wordless texts: none)."""
     attach(spark)
     return ngram_join.ngram_join(read_table(spark, sf_dir, "documents"), t=0.5)
 
