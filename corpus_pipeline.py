@@ -1,4 +1,13 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again.
+
+Rows, defined results of the whole: a null text and a text without words or
+lines are rejected by the classifier; a null id is an id that no group of
+duplicates has, so its document passes that stage; rows with one id and equal
+texts are one document to the duplicates and stay or go together; ties are
+settled by the smallest id; an empty table gives an empty table; of other
+columns only ``COLUMNS`` are read, whatever the others are named. Every stage's
+operator states its own cases.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier, fitted on the labelled ones, doesn't reject."""
+    """Documents that the line classifier, fitted on the labelled ones of the folder, doesn't reject (null and blank texts go)."""
     attach(spark)
     raw = read_table(spark, sf_dir, "documents")
     model = crf.train(raw, read_table(spark, sf_dir, "labels"))
@@ -22,21 +31,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that many documents of their source share."""
+    """All documents, without the lines that many documents of their source share; no source or no text: as they are."""
     attach(spark)
     out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), ratio=0.05, min_pages=2)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of connected near copies."""
+    """One document, that of the smallest id, of each group of connected near copies, and all that are in none."""
     attach(spark)
     gone = ngram_join.ngram_join(docs, t=0.5).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the raked mix of sources, languages and topics."""
+    """Documents sampled to the raked mix of sources, languages and topics; those of no words go."""
     attach(spark)
     return mixing.mix_sources(docs.select(*COLUMNS), extra=False).select(*COLUMNS)
 
@@ -55,7 +64,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte_bpe", tokenize),
 ]
 
-#: The classifier is a trained model: no SQL. test_pipeline in tests/llm/test_operators.py compares stages with each other only; there is no brute-force version.
+#: The classifier is a trained model: no SQL. tests/llm/test_pipeline.py holds every stage against a brute-force version in plain Python, the trained model being given.
 ORACLE_SQL = None
 
 
