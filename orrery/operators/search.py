@@ -35,6 +35,8 @@ BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 2048
 STEP_SCORES = 4_000_000
 Scorer = Callable[[pa.RecordBatch, np.ndarray], np.ndarray]
+#: What is done to the queries once, before they are sent.
+Ready = Callable[[np.ndarray], np.ndarray]
 #: Rows, the ids of queries, and their matrix.
 Work = Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]
 
@@ -112,13 +114,12 @@ def _pack_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["rows"])
 
 
-def _pack_queries(dim: int, per: int, cosine: bool):
+def _pack_queries(dim: int, per: int, ready: Ready):
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, per):
                 part = b.slice(lo, per)
-                q = rows_of(part.column(1), dim)
-                q = unit(q) if cosine else q
+                q = ready(rows_of(part.column(1), dim))
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([q.tobytes()], pa.binary())], names=["ids", "queries"])
 
     return run
@@ -133,7 +134,7 @@ def _met(scorer: Scorer, dim: int, k: int, id_type: pa.DataType):
     return lambda batches: _ranked(work(batches), scorer, k, id_type)
 
 
-def _topk(rows: DataFrame, scorer: Scorer, queries: DataFrame, k: int, cosine: bool, query_key: str, query_embedding: str, dim: int) -> DataFrame:
+def _topk(rows: DataFrame, scorer: Scorer, queries: DataFrame, k: int, ready: Ready, query_key: str, query_embedding: str, dim: int) -> DataFrame:
     spark = attach(rows.sparkSession)
     kind = rows.schema[0].dataType
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", kind), T.StructField("score", T.DoubleType())])
@@ -145,14 +146,14 @@ def _topk(rows: DataFrame, scorer: Scorer, queries: DataFrame, k: int, cosine: b
     first = src.limit(per + 1).toArrow().combine_chunks()
     if len(first) <= per:
         q = rows_of(first["v"].combine_chunks(), dim) if len(first) else np.zeros((0, dim))
-        found = rows.mapInArrow(_sent(scorer, first["q"].to_numpy(), unit(q) if cosine else q, k, id_type), out) if len(first) else spark.createDataFrame([], out)
+        found = rows.mapInArrow(_sent(scorer, first["q"].to_numpy(), ready(q), k, id_type), out) if len(first) else spark.createDataFrame([], out)
     else:
-        found = _in_blocks(rows, scorer, src, k, cosine, dim, max(1, BLOCK_BYTES // (8 * dim)), out)
+        found = _in_blocks(rows, scorer, src, k, ready, dim, max(1, BLOCK_BYTES // (8 * dim)), out)
     return _final(found, k)
 
 
-def _in_blocks(rows: DataFrame, scorer: Scorer, src: DataFrame, k: int, cosine: bool, dim: int, per: int, out: T.StructType) -> DataFrame:
-    blocks = spill_table(src.mapInArrow(_pack_queries(dim, per, cosine), "ids binary, queries binary"), "queries")
+def _in_blocks(rows: DataFrame, scorer: Scorer, src: DataFrame, k: int, ready: Ready, dim: int, per: int, out: T.StructType) -> DataFrame:
+    blocks = spill_table(src.mapInArrow(_pack_queries(dim, per, ready), "ids binary, queries binary"), "queries")
     return rows.mapInArrow(_pack_rows, "rows binary").crossJoin(blocks).mapInArrow(_met(scorer, dim, k, arrow_schema(out).field(1).type), out)
 
 
@@ -166,7 +167,7 @@ def blocked_topk(rows: DataFrame, queries: DataFrame, k: int, dim: int, per: int
     attach(rows.sparkSession)
     out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", rows.schema[0].dataType), T.StructField("score", T.DoubleType())])
     src = queries.select(F.col("query_id").cast("long").alias("q"), F.col("embedding").cast("array<double>").alias("v"))
-    return _final(_in_blocks(rows, lambda b, q: rows_of(b.column(1), dim) @ q.T, src, k, False, dim, per, out), k)
+    return _final(_in_blocks(rows, lambda b, q: rows_of(b.column(1), dim) @ q.T, src, k, lambda q: q, dim, per, out), k)
 
 
 def allowed(rows: DataFrame, key: str, mask: Column | None = None, allowlist: DataFrame | None = None) -> DataFrame:
@@ -200,7 +201,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int | N
         v = rows_of(b.column(1), dim)
         return (unit(v) if cosine else v) @ q.T
 
-    return _topk(rows, scorer, queries, k, cosine, query_key, query_embedding, dim)
+    return _topk(rows, scorer, queries, k, unit if cosine else lambda q: q, query_key, query_embedding, dim)
 
 
 def quantized_topk(codes: DataFrame, model: Q.Model, queries: DataFrame, k: int = 10, cosine: bool = False, key: str = "id", query_key: str = "query_id", query_embedding: str = "embedding", mask: Column | None = None, allowlist: DataFrame | None = None, packed: bool = False) -> DataFrame:
@@ -208,9 +209,12 @@ def quantized_topk(codes: DataFrame, model: Q.Model, queries: DataFrame, k: int
     rows = allowed(codes, key, mask, allowlist).select(F.col(key).alias("id"), "code", "scale")
 
     def scorer(b: pa.RecordBatch, q: np.ndarray) -> np.ndarray:
-        return Q.scores(code_rows(b.column(1), model, packed), b.column(2).to_numpy(), q, model)
+        return Q.scores(code_rows(b.column(1), model, packed), b.column(2).to_numpy(), q, model, rotated=True)
 
-    return _topk(rows, scorer, queries, k, cosine, query_key, query_embedding, model.dim)
+    def ready(q: np.ndarray) -> np.ndarray:
+        return Q.rotate(unit(q) if cosine else q, model.seed)
+
+    return _topk(rows, scorer, queries, k, ready, query_key, query_embedding, model.dim)
 
 
 def recall_at(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:

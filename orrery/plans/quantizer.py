@@ -77,20 +77,33 @@ def rotation_parts(dim: int, seed: int = 42) -> tuple[tuple[np.ndarray, np.ndarr
     return tuple((g.permutation(dim), np.where(g.random(dim) < 0.5, -1.0, 1.0)) for _ in range(ROUNDS))
 
 
+@lru_cache(maxsize=16)
+def _hadamard(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
 def rotate(v: np.ndarray, seed: int = 42) -> np.ndarray:
-    """Rows times the fixed orthogonal matrix: rounds of permutation, signs and block Hadamard transforms."""
+    """Rows times the fixed orthogonal matrix: rounds of permutation, signs and block Hadamard transforms.
+
+    A block's matrix is the Kronecker product of two of about the root of its
+    size, so a transform is two small matrix products.
+    """
     dim = v.shape[1]
     block = dim & -dim
-    out = np.asarray(v, np.float64)
-    for perm, sign in rotation_parts(dim, seed):
-        out = out[:, perm] * sign
-        h = 1
-        out = out.reshape(len(out), dim // block, block)
-        while h < block:
-            y = out.reshape(len(out), dim // block, block // (2 * h), 2, h)
-            out = np.stack([y[..., 0, :] + y[..., 1, :], y[..., 0, :] - y[..., 1, :]], axis=-2).reshape(len(out), dim // block, block)
-            h *= 2
-        out = out.reshape(len(out), dim) / np.sqrt(block)
+    low = 1 << (block.bit_length() // 2)
+    high = block // low
+    out = np.empty(v.shape)
+    for lo in range(0, len(v), 256):
+        x = np.asarray(v[lo : lo + 256], np.float64)
+        for perm, sign in rotation_parts(dim, seed):
+            x = x[:, perm] * (sign / np.sqrt(block))
+            y = x.reshape(-1, low) @ _hadamard(low)
+            y = y.reshape(-1, high, low).transpose(0, 2, 1).reshape(-1, high) @ _hadamard(high)
+            x = y.reshape(-1, low, high).transpose(0, 2, 1).reshape(-1, dim)
+        out[lo : lo + 256] = x
     return out
 
 
@@ -166,10 +179,10 @@ def reencode(codes: np.ndarray, scale: np.ndarray, old: Model, new: Model) -> tu
     return _finish(u, scale * length, new)
 
 
-def scores(codes: np.ndarray, scale: np.ndarray, queries: np.ndarray, model: Model) -> np.ndarray:
-    """rows x queries: scale * (sum of (Rq / s) c[code] - sum of (Rq) shift)."""
+def scores(codes: np.ndarray, scale: np.ndarray, queries: np.ndarray, model: Model, rotated: bool = False) -> np.ndarray:
+    """rows x queries: scale * (sum of (Rq / s) c[code] - sum of (Rq) shift). ``rotated``: the queries are Rq already."""
     shift, s = model.pair()
-    q = rotate(queries, model.seed)
+    q = queries if rotated else rotate(queries, model.seed)
     return scale[:, None] * (model.codebook()[1][codes] @ (q / s).T - q @ shift)
 
 
