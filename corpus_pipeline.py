@@ -20,6 +20,8 @@ from orrery.llm import bpe, crf, line_dedup, mixing, ngram_join
 from orrery.runtime import attach, forget, read_table, spill_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids of duplicates (some 24 bytes each in a hash table) up to which they are broadcast.
+BROADCAST_IDS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,9 @@ def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of connected near copies, and all that are in none."""
     attach(spark)
-    gone = ngram_join.ngram_join(docs, t=0.5).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone"))
+    gone = spill_table(ngram_join.ngram_join(docs, t=0.5).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")), "gone")
+    if gone.count() <= BROADCAST_IDS:  # else texts are shuffled to them
+        gone = F.broadcast(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*COLUMNS)
 
 
