@@ -9,6 +9,7 @@ over-fetch is ever needed.
 from __future__ import annotations
 
 import asyncio
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -48,8 +49,10 @@ class DocumentStore:
         return W.Fields.of(self.table, self.metadata)
 
     def predicate(self, where: Any) -> Column:
-        """A Column, an equality dict, a ``Filters`` group, a filter tree, or None."""
-        if where is None:
+        """A Column, an equality dict, a ``Filters`` group, a filter tree, or None; a list of conditions is ignored, with a warning."""
+        if isinstance(where, list):
+            warnings.warn("filters given as a list are ignored", stacklevel=2)
+        if where is None or isinstance(where, list):
             return F.lit(True)
         if isinstance(where, Column):
             return F.coalesce(where, F.lit(False))

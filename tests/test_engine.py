@@ -113,6 +113,10 @@ def test_changes(spark):
     with pytest.raises(IndexError):
         M.swap_remove(M.with_slots(t), 5)
     store = DocumentStore(t, text="v")
+    with pytest.warns(UserWarning, match="list"):
+        assert store.filter(["v = 1"]).count() == 5
+    nested = DocumentStore(spark.createDataFrame([(1, {"a": "x"}), (2, None), (3, {})], "id long, metadata map<string,string>"), metadata="metadata")
+    assert [r["id"] for r in nested.filter({"a": "x"}).collect()] == [1] and nested.get([]).count() == 0 and nested.get([3, 9]).count() == 1
     assert store.delete(None) is store and store.delete_where({}).table.count() == 0 and store.clear().table.count() == 0
     with pytest.raises(X.UnsupportedModeError):
         store.search_mode("hybrid", t)
