@@ -271,11 +271,11 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = stable(docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text")), "texts")
     owners = owners or max(parts, min(MAX_OWNERS, size_of(src) // OWNER_BYTES))
-    words, places = (src.mapInArrow(_split(len(keep), list(range(len(keep))), owners, block_chars, w), _WIRE) for w in (True, False))
-    ids = words.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(_encode_words(path), _WIRE)
+    words, places = (src.mapInArrow(K.tidy(_split(len(keep), list(range(len(keep))), owners, block_chars, w)), _WIRE) for w in (True, False))
+    ids = words.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(K.tidy(_encode_words(path)), _WIRE)
     wire = places.unionByName(ids).repartition(parts, "block").sortWithinPartitions("block", "kind", "seq")
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
-    return wire.mapInArrow(_assemble(_arrow_schema(out)), out)
+    return wire.mapInArrow(K.tidy(_assemble(_arrow_schema(out))), out)
 
 
 def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
@@ -385,7 +385,7 @@ def decode(encoded: DataFrame, ids: str = "token_ids", keep: tuple[str, ...] | N
     if name in keep:
         raise ValueError(f"{name} is already a column")
     src = encoded.select(*[encoded[c].alias(f"c{i}") for i, c in enumerate(keep)], encoded[ids].alias("ids"))
-    tokens = src.mapInArrow(_explode(PACK_TOKENS), "head binary, id int")
+    tokens = src.mapInArrow(K.tidy(_explode(PACK_TOKENS)), "head binary, id int")
     spelt = tokens.join(F.broadcast(token_table(spark, vocabulary)), F.col("head").isNull() & (F.col("id") == F.col("token_id")), "left").select("head", "id", "bytes")
     out = T.StructType([*[T.StructField(c, encoded.schema[c].dataType) for c in keep], T.StructField(name, T.StringType())])
-    return spelt.mapInArrow(_spell(_arrow_schema(out), len(keep)), out)
+    return spelt.mapInArrow(K.tidy(_spell(_arrow_schema(out), len(keep))), out)

@@ -327,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         # twelve thousand numbers are broadcast; larger draws are joined as they come
         hit = body.join(F.broadcast(drawn) if take == 4 * sample_docs else drawn, "k").select("k", "t", "good", "rank")
         got = hit.orderBy("rank", "k", "good", "t").limit(sample_docs)
-        rows = got.select("t", "good").mapInArrow(_sample_lines(sample_lines), "good int, x binary").collect()
+        rows = got.select("t", "good").mapInArrow(K.tidy(_sample_lines(sample_lines)), "good int, x binary").collect()
         full = len(rows) >= sample_docs or any(r["good"] == -1 for r in rows)
         if full or drawn.count() < take:
             break
@@ -383,10 +383,10 @@ def quality(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.DoubleType(), T.BooleanType())
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *[T.StructField(n, k) for n, k in zip(names, kinds)]])
-    return src.mapInArrow(_score(len(keep), list(range(len(keep))), model, _arrow_schema(out), least, True), out)
+    return src.mapInArrow(K.tidy(_score(len(keep), list(range(len(keep))), model, _arrow_schema(out), least, True)), out)
 
 
 def filter_quality(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
     """The documents of at least this quality, with all their columns."""
     attach(docs.sparkSession)
-    return docs.mapInArrow(_score(docs.columns.index(text), [], model, _arrow_schema(docs.schema), least, False), docs.schema)
+    return docs.mapInArrow(K.tidy(_score(docs.columns.index(text), [], model, _arrow_schema(docs.schema), least, False)), docs.schema)

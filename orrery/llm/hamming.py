@@ -37,6 +37,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm import textkit as K
 from orrery.runtime import attach, forget, spill_table
 
 _U = np.uint64
@@ -224,7 +225,7 @@ def topk(rows: DataFrame, key: Column, code: Column, k: int = 10, bits: int = 64
         near = [int(x) for i in range(min(radius, lead) + 1) for x in masks(lead, i)]
         asked = state.select("code", "bound", F.inline(tops)).select("seg", F.explode(F.transform(F.array(*map(F.lit, near)), lambda x: F.col("top").bitwiseXOR(x.cast("long")))).alias("top"), "code", "bound", F.lit(None).cast("array<bigint>").alias("ids"))
         both = placed.unionByName(asked).repartition(parts, "seg", "top").sortWithinPartitions("seg", "top", F.col("bound").asc_nulls_first())
-        found = both.mapInArrow(_search(segs, lead, radius, k + 1), "code long, d int, id long")
+        found = both.mapInArrow(K.tidy(_search(segs, lead, radius, k + 1)), "code long, d int, id long")
         new = found.groupBy("code").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("new"))
         best = F.slice(F.sort_array(F.concat("best", F.coalesce("new", none))), 1, k + 1)
         state = state.join(new, "code", "left").select("code", best.alias("best"))

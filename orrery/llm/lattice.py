@@ -290,14 +290,14 @@ def _piece_counts(path: str):
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word STRING, n BIGINT`` over all documents."""
     attach(docs.sparkSession)
-    part = docs.select(docs[text].alias("__text")).mapInArrow(_word_counts, "word string, n long")
+    part = docs.select(docs[text].alias("__text")).mapInArrow(K.tidy(_word_counts), "word string, n long")
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def piece_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """``piece BIGINT, n BIGINT``: how often the model's own segmentation uses each piece."""
     path = vocab.locate(vocabulary, vocab.PIECES)
-    return word_counts(docs, text).mapInArrow(_piece_counts(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return word_counts(docs, text).mapInArrow(K.tidy(_piece_counts(path)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def unigram_scores(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> np.ndarray:
@@ -339,4 +339,4 @@ def lattice_scores(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
         scores = unigram_scores(docs, text, vocabulary)
     src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())])
-    return src.mapInArrow(_score(len(keep), list(range(len(keep))), path, scores, _arrow_schema(out)), out)
+    return src.mapInArrow(K.tidy(_score(len(keep), list(range(len(keep))), path, scores, _arrow_schema(out))), out)

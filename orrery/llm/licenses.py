@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from orrery.llm import textkit as K
 from orrery.llm.bpe import _arrow_schema
 from orrery.llm.license_rules import RULES
 from orrery.runtime import attach
@@ -170,4 +171,4 @@ def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     kinds = (T.IntegerType(), T.StringType(), T.IntegerType(), T.LongType(), T.LongType())
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], *[T.StructField(n, k) for n, k in zip(_OUT, kinds)]])
-    return src.mapInArrow(_scan(len(keep), list(range(len(keep))), _arrow_schema(out)), out)
+    return src.mapInArrow(K.tidy(_scan(len(keep), list(range(len(keep))), _arrow_schema(out))), out)

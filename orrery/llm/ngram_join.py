@@ -58,8 +58,8 @@ from orrery.runtime import attach, cut, forget, size_of, spill_table, stable
 
 _U = np.uint64
 #: N-grams of a block of documents. A block has a message for each hash range, so ranges are at most a 64th of it.
-BLOCK_GRAMS = 1_000_000
-STEP_CHARS = 400_000
+BLOCK_GRAMS = 700_000
+STEP_CHARS = 300_000
 #: Bytes of input for each hash range (an owner holds one range at a time).
 RANGE_BYTES = 3 << 20
 #: List entries of a block that one task holds at most, and of those joined at a time.
@@ -67,7 +67,7 @@ BLOCK_TOKENS = 400_000
 #: Chunks of a block, each of which is copied to all others, before it goes by tokens.
 MAX_CHUNKS = 32
 #: Cells of the matrix of query tokens, and pairs of query and node, worked at a time.
-STEP_CELLS = 4_000_000
+STEP_CELLS = 1_000_000
 #: Edges that one task contracts to the end (16 bytes each).
 EDGES_AT_ONCE = 4_000_000
 
@@ -563,9 +563,9 @@ def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id
     id_type = _arrow_schema(T.StructType([src.schema["id"]])).field(0).type
     kinds = {"dfs": T.IntegerType(), "tokens": T.LongType(), "weights": T.IntegerType()}
     out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, T.ArrayType(k)) for c, k in kinds.items()]])
-    asked = src.mapInArrow(_blocks(n, bits, id_type, block_grams), _WIRE).repartitionById(parts, F.pmod("route", F.lit(parts)).cast("int")).sortWithinPartitions("route")
-    told = asked.mapInArrow(_owners, _WIRE).repartition(parts, "base").sortWithinPartitions("base", "kind", "route")
-    return told.mapInArrow(_homes(t)(_arrow_schema(out)), out)
+    asked = src.mapInArrow(K.tidy(_blocks(n, bits, id_type, block_grams)), _WIRE).repartitionById(parts, F.pmod("route", F.lit(parts)).cast("int")).sortWithinPartitions("route")
+    told = asked.mapInArrow(K.tidy(_owners), _WIRE).repartition(parts, "base").sortWithinPartitions("base", "kind", "route")
+    return told.mapInArrow(K.tidy(_homes(t)(_arrow_schema(out))), out)
 
 
 def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -600,7 +600,7 @@ def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> Da
     by_token = at.where(F.col("m") > MAX_CHUNKS).drop("m").withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))))
     single = meet(by_token.join(hub.select("token", chunks.alias("m")), "token"), F.col("token"))
     rows = whole.unionByName(single).repartition(parts, "root", "lo", "hi", "token").sortWithinPartitions("root", "lo", "hi", "token")
-    out = spill_table(rows.mapInArrow(_trees(t), "sid long, links long, root long"), "links")
+    out = spill_table(rows.mapInArrow(K.tidy(_trees(t)), "sid long, links long, root long"), "links")
     forget(edges, blocks)
     return out
 
@@ -659,10 +659,10 @@ def components(star: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     rounds with pointer jumping, whose number grows with the logarithm of the
     diameter and each of which is written down.
     """
-    spanning = spill_table(star.select("u", "v").mapInArrow(_contract, "id long, root long"), "forest")
+    spanning = spill_table(star.select("u", "v").mapInArrow(K.tidy(_contract), "id long, root long"), "forest")
     edges = spanning.where("id <> root")
     if spanning.count() <= at_once:
-        out = spill_table(spanning.coalesce(1).mapInArrow(_contract, "id long, root long"), "roots")
+        out = spill_table(spanning.coalesce(1).mapInArrow(K.tidy(_contract), "id long, root long"), "roots")
         forget(spanning)
         return out
     both = spill_table(edges.selectExpr("id as u", "root as v").unionByName(edges.selectExpr("root as u", "id as v")).distinct(), "edges")

@@ -139,4 +139,4 @@ def order_minhash(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
         raise ValueError(f"{name} is already a column")
     src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField(name, T.ArrayType(T.LongType(), True))])
-    return src.mapInArrow(_sign(len(keep), list(range(len(keep))), k, l, m, seed, _arrow_schema(out)), out)
+    return src.mapInArrow(K.tidy(_sign(len(keep), list(range(len(keep))), k, l, m, seed, _arrow_schema(out))), out)

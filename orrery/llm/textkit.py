@@ -8,10 +8,13 @@ few nanoseconds a character with no Python work per token.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _U = np.uint64
@@ -21,6 +24,27 @@ _BASE_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: 0
+
+
+def tidy(run: Callable) -> Callable:
+    """An Arrow function that hands freed memory back at the end of its task: workers live on and stand beside each other."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return tidied
+
+
 @lru_cache(maxsize=1)
 def class_table() -> np.ndarray:
     """Code point -> OTHER, LETTER (L*), NUMBER (N*) or SPACE."""

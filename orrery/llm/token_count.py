@@ -21,6 +21,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from orrery.llm import textkit as K
 from orrery.llm import vocab
 from orrery.llm.bpe import _arrow_schema
 from orrery.runtime import attach
@@ -94,4 +95,4 @@ def token_counts(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     src = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField(name, T.LongType())])
     path = vocab.locate(vocabulary, vocab.BYTE_RANKS)
-    return src.mapInArrow(_count(len(keep), list(range(len(keep))), path, batch_bytes, _arrow_schema(out)), out)
+    return src.mapInArrow(K.tidy(_count(len(keep), list(range(len(keep))), path, batch_bytes, _arrow_schema(out))), out)
