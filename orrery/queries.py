@@ -621,3 +621,20 @@ def stream_ingest(spark, d):
     src = I.vectors(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 1)
     I.ingest(src, model(4), f"{base}/codes", f"{base}/check").awaitTermination()
     return _codes_shown(I.codes(spark, f"{base}/codes"))
+
+
+@register("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, count(*) AS n FROM events GROUP BY 1")
+def stream_arrivals(spark, d):
+    """Events an hour, counted from a stream of files."""
+    base, name = _scratch(spark, "events"), f"arrivals_{uuid.uuid4().hex[:12]}"
+    read_table(spark, d, "events").select("ts").repartition(4).write.parquet(f"{base}/in")
+    src = I.vectors(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 1)
+    out = I.arrivals(src, window="1 hour").writeStream.outputMode("complete").format("memory").queryName(name)
+    out.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "n")
+
+
+@register("SELECT coalesce(vec_id, doc_id) AS id, CASE WHEN vec_id IS NULL THEN 'codes' ELSE 'documents' END AS missing FROM embeddings FULL JOIN documents ON vec_id = doc_id WHERE vec_id IS NULL OR doc_id IS NULL")
+def pairs_without_a_partner(spark, d):
+    """Documents without a vector, and vectors without a document."""
+    return P.check_pairs(vectors(spark, d), read_table(spark, d, "documents").select(F.col("doc_id").alias("id")))
