@@ -49,7 +49,7 @@ STEP_CHARS = 400_000
 OWNER_BYTES = 16 << 20
 MAX_OWNERS = 1024
 #: Tokens of a pack of documents to decode (one document at least).
-PACK_TOKENS = 400_000
+PACK_TOKENS = 200_000
 _WIRE = "route long, block long, kind int, seq long, payload binary"
 _WIRE_PA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("seq", pa.int64()), ("payload", pa.binary())])
 
@@ -258,12 +258,8 @@ def _arrow_schema(spark_schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(spark_schema)
 
 
-def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, owners: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``keep`` columns plus ``token_ids ARRAY<INT>`` and ``n_tokens BIGINT``.
-
-    ``vocabulary``: a rank file or the folder that has it. ``owners`` of words:
-    by default as many as the size of the input asks for.
-    """
+def _encoded(docs: DataFrame, text: str, keep: tuple[str, ...], vocabulary: str | None, owners: int | None, block_chars: int) -> tuple[DataFrame, T.StructType]:
+    """What blocks are assembled from, and the schema of encoded documents."""
     spark = attach(docs.sparkSession)
     path = vocab.locate(vocabulary, vocab.BYTE_RANKS)
     if {"token_ids", "n_tokens"} & set(keep):
@@ -275,6 +271,16 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     ids = words.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(K.tidy(_encode_words(path)), _WIRE)
     wire = places.unionByName(ids).repartition(parts, "block").sortWithinPartitions("block", "kind", "seq")
     out = T.StructType([*[T.StructField(c, docs.schema[c].dataType) for c in keep], T.StructField("token_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType())])
+    return wire, out
+
+
+def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, owners: int | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``keep`` columns plus ``token_ids ARRAY<INT>`` and ``n_tokens BIGINT``.
+
+    ``vocabulary``: a rank file or the folder that has it. ``owners`` of words:
+    by default as many as the size of the input asks for.
+    """
+    wire, out = _encoded(docs, text, keep, vocabulary, owners, block_chars)
     return wire.mapInArrow(K.tidy(_assemble(_arrow_schema(out))), out)
 
 
@@ -284,12 +290,12 @@ def token_table(spark: SparkSession, vocabulary: str | None = None) -> DataFrame
     return spark.createDataFrame(pa.table({"token_id": pa.array([i for i, _ in rows], pa.int32()), "bytes": pa.array([b for _, b in rows], pa.binary())}))
 
 
-def _explode(pack_tokens: int):
-    """Packs of documents (the ids are the last column) -> a row ``head`` with the pack, then a row for each distinct id."""
+def _explode(pack_tokens: int, ids_at: int):
+    """Packs of documents -> a row ``head`` with the pack, then a row for each distinct id."""
 
     def rows(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-        flat = whole.column(whole.num_columns - 1).flatten()
+        flat = whole.column(ids_at).flatten()
         ids = np.unique(flat.drop_null().to_numpy(zero_copy_only=False)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([_ipc(whole)], pa.binary()), pa.array([len(ids)], pa.int32())], names=["head", "id"])
         for lo in range(0, len(ids), 100_000):
@@ -300,7 +306,7 @@ def _explode(pack_tokens: int):
         held: list[pa.RecordBatch] = []
         n = 0
         for b in batches:
-            size = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False))
+            size = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(b.column(ids_at)), 0).to_numpy(zero_copy_only=False))
             lo = 0
             while lo < b.num_rows:
                 before = int(size[lo - 1]) if lo else 0
@@ -317,7 +323,7 @@ def _explode(pack_tokens: int):
     return run
 
 
-def _spell(schema: pa.Schema, keep: int):
+def _spell(schema: pa.Schema, ids_at: int):
     """Rows ``head, id, bytes``, each pack's ids behind it in their order -> carried columns and text."""
 
     def texts(head: bytes, count: int, ids: np.ndarray, size: np.ndarray, body: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -328,7 +334,7 @@ def _spell(schema: pa.Schema, keep: int):
         size = np.append(size, 0)  # what a null adds
         for lo in range(0, whole.num_rows, 1024):
             b = whole.slice(lo, 1024)
-            col = b.column(b.num_columns - 1)
+            col = b.column(ids_at)
             offs = np.zeros(b.num_rows + 1, np.int64)
             np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False), out=offs[1:])
             flat = col.flatten()
@@ -337,7 +343,7 @@ def _spell(schema: pa.Schema, keep: int):
             raw = _ragged(body, begin[at], size[at]).tobytes()
             cut = np.concatenate([[0], np.cumsum(size[at])])[offs].tolist()
             spelt = [None if z else raw[s:e].decode("utf-8", "replace") for s, e, z in zip(cut[:-1], cut[1:], col.is_null().to_numpy(zero_copy_only=False).tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(spelt, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(schema) - 1], pa.array(spelt, pa.string())], schema=schema)
 
     def run(batches):
         head, count = None, 0
@@ -380,12 +386,30 @@ def decode(encoded: DataFrame, ids: str = "token_ids", keep: tuple[str, ...] | N
     Null lists give null, empty lists the empty text; null or unknown ids add
     nothing; bytes that aren't UTF-8 become U+FFFD.
     """
-    spark = attach(encoded.sparkSession)
+    attach(encoded.sparkSession)
     keep = tuple(encoded.columns) if keep is None else tuple(keep)
     if name in keep:
         raise ValueError(f"{name} is already a column")
-    src = encoded.select(*[encoded[c].alias(f"c{i}") for i, c in enumerate(keep)], encoded[ids].alias("ids"))
-    tokens = src.mapInArrow(K.tidy(_explode(PACK_TOKENS)), "head binary, id int")
-    spelt = tokens.join(F.broadcast(token_table(spark, vocabulary)), F.col("head").isNull() & (F.col("id") == F.col("token_id")), "left").select("head", "id", "bytes")
+    # ids that aren't kept come last
+    body = [encoded[c].alias(f"c{i}") for i, c in enumerate(keep)] + ([] if ids in keep else [encoded[ids].alias("ids")])
+    at = keep.index(ids) if ids in keep else len(keep)
+    tokens = encoded.select(*body).mapInArrow(K.tidy(_explode(PACK_TOKENS, at)), "head binary, id int")
     out = T.StructType([*[T.StructField(c, encoded.schema[c].dataType) for c in keep], T.StructField(name, T.StringType())])
-    return spelt.mapInArrow(K.tidy(_spell(_arrow_schema(out), len(keep))), out)
+    return _joined(tokens, vocabulary).mapInArrow(K.tidy(_spell(_arrow_schema(out), at)), out)
+
+
+def _joined(tokens: DataFrame, vocabulary: str | None) -> DataFrame:
+    """Rows ``head, id`` with the bytes of the ids."""
+    table = F.broadcast(token_table(tokens.sparkSession, vocabulary))
+    return tokens.join(table, F.col("head").isNull() & (F.col("id") == F.col("token_id")), "left").select("head", "id", "bytes")
+
+
+def round_trip(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), vocabulary: str | None = None, name: str = "decoded") -> DataFrame:
+    """``decode(encode(docs))`` with one passage to Python less: blocks are packed for decoding where they are assembled."""
+    wire, middle = _encoded(docs, text, keep, vocabulary, None, BLOCK_CHARS)
+    if name in middle.names:
+        raise ValueError(f"{name} is already a column")
+    out, at = T.StructType([*middle.fields, T.StructField(name, T.StringType())]), len(keep)
+    assemble, explode = _assemble(_arrow_schema(middle)), _explode(PACK_TOKENS, at)
+    tokens = wire.mapInArrow(K.tidy(lambda batches: explode(assemble(batches))), "head binary, id int")
+    return _joined(tokens, vocabulary).mapInArrow(K.tidy(_spell(_arrow_schema(out), at)), out)

@@ -48,7 +48,7 @@ def op5_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document and decode it again: doc_id, token_ids, n_tokens, decoded (null texts: null, 0, null)."""
     attach(spark)
-    return bpe.decode(bpe.encode(read_table(spark, sf_dir, "documents")))
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

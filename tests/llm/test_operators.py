@@ -30,7 +30,10 @@ def byid(df):
 def test_bpe_round_trip_and_counts(docs):
     enc = vocab.byte_encoder(vocab.locate(None, vocab.BYTE_RANKS))
     got = bpe.decode(bpe.encode(docs)).collect()
-    assert len(got) == len(TEXTS) + 2
+    assert len(got) == len(TEXTS) + 2 and bpe.round_trip(docs.limit(0)).count() == 0
+    assert sorted(map(repr, bpe.round_trip(docs).collect())) == sorted(map(repr, got))
+    with pytest.raises(ValueError):
+        bpe.round_trip(docs.withColumnRenamed("n", "decoded"), keep=("decoded",))
     for r in got:
         t = TEXTS[r["doc_id"]] if r["doc_id"] is not None else "no id at all"
         assert r["decoded"] == t
