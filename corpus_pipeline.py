@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text they decode to."""
     attach(spark)
-    return bpe.decode(bpe.encode(docs, keep=("doc_id", "lang", "source")))
+    return bpe.round_trip(docs, keep=("doc_id", "lang", "source"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
