@@ -627,7 +627,7 @@ def stream_ingest(spark, d):
 def stream_arrivals(spark, d):
     """Events an hour, counted from a stream of files."""
     base, name = _scratch(spark, "events"), f"arrivals_{uuid.uuid4().hex[:12]}"
-    read_table(spark, d, "events").select("ts").repartition(4).write.parquet(f"{base}/in")
+    read_table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts")).repartition(4).write.parquet(f"{base}/in")
     src = I.vectors(spark, f"{base}/in", spark.read.parquet(f"{base}/in").schema, 1)
     out = I.arrivals(src, window="1 hour").writeStream.outputMode("complete").format("memory").queryName(name)
     out.option("checkpointLocation", f"{base}/check").trigger(availableNow=True).start().awaitTermination()
