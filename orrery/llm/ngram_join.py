@@ -1,5 +1,12 @@
 """Exact Jaccard join of documents on word n-gram sets, by prefix tree.
 
+0. *Suspects.* A partner of a document has at least the share ``t`` of its
+   n-grams. Documents are dealt to ``GROUPS`` groups; for each n-gram (by a short
+   hash, whose collisions only add) the owner of the hash range answers in which
+   groups other documents have it. A document of which no group has that many
+   n-grams has no partner and ends here; of the others the groups that have are
+   kept (``hot``): partners are in each other's. N-grams shared by chance, which
+   grow with the corpus, are spread over the groups. Only suspects go on.
 1. *Order.* Documents are worked in blocks. A block sends each of its distinct
    n-grams once, with the number of its documents that have it, to the owner of
    the hash range (so an n-gram that half the corpus has costs an entry a block),
@@ -13,7 +20,8 @@
    partner and end here (nearly all clean documents do). Equal sets are merged to
    one set with the number of its copies. The rest have prefix tokens, of which
    any matching pair shares one.
-3. *Tree.* Sets that prefix tokens connect form a block; blocks beyond a bound
+3. *Tree.* Sets that prefix tokens connect, and that may be partners by their
+   groups, form a block; blocks beyond a bound
    are cut into chunks of which each two meet (``set_pairs``). A block's sets are
    stored in a trie in global order. A query set enters it at the topmost nodes
    that bear one of its prefix tokens and walks down, carrying the overlap that
@@ -54,12 +62,18 @@ from pyspark.sql import types as T
 from orrery.llm import textkit as K
 from orrery.llm.bpe import _arrow_schema
 from orrery.llm.wire import pack, unpack
-from orrery.runtime import attach, cut, forget, size_of, spill_table, stable
+from orrery.runtime import attach, cut, forget, release, size_of, spill_table, stable
 
 _U = np.uint64
 #: N-grams of a block of documents. A block has a message for each hash range, so ranges are at most a 64th of it.
 BLOCK_GRAMS = 700_000
 STEP_CHARS = 300_000
+#: Bits of the hashes by which documents without a partner are told first, and groups of documents (bits of a mask).
+SHORT_BITS = 40
+GROUPS = 32
+FULL = (1 << GROUPS) - 1
+#: Sets of a token up to which each two are compared before they are connected.
+PAIRED_SETS = 1_000
 #: Bytes of input for each hash range (an owner holds one range at a time).
 RANGE_BYTES = 3 << 20
 #: List entries of a block that one task holds at most, and of those joined at a time.
@@ -121,11 +135,188 @@ def _wire(route: list[int], base: list[int], kind: int, payload: list[bytes]) ->
     return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(base, pa.int64()), pa.array([kind] * len(route), pa.int32()), pa.array(payload, pa.binary())], names=["route", "base", "kind", "payload"])
 
 
-def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int):
-    """Documents -> messages of each block to the owners of hash ranges and to its home."""
+def _ask(n: int, bits: int, block_grams: int):
+    """Documents -> messages of each block to the owners of hash ranges (short hashes, groups of documents) and to its home."""
+
+    def flush(base: int, rows: int, mark: int, doc: list[np.ndarray], gram: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        d, g = np.concatenate(doc), np.concatenate(gram)
+        doc.clear()
+        gram.clear()
+        order = np.argsort(g, kind="stable")
+        d, g = d[order], g[order]
+        del order
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1])
+        d, h = d[new], (g[new] >> _U(64 - SHORT_BITS)).astype(np.int64)
+        del g, new
+        beg = K.groups(h)
+        count = np.diff(np.append(beg, len(h)))
+        group = (base + d) % GROUPS
+        several = count > 1
+        code = np.where(several, GROUPS, group[beg])
+        # groups with a document of the block, and those with two or more, of the n-grams that several have
+        inside = np.repeat(several, count)
+        once = np.bitwise_or.reduceat(np.left_shift(1, group), beg)[several] if len(beg) else beg
+        key = np.sort(np.repeat(np.cumsum(several) - 1, count)[inside] * GROUPS + group[inside])
+        two = np.unique(key[1:][key[1:] == key[:-1]])
+        twice = np.zeros(int(several.sum()), np.int64)
+        np.bitwise_or.at(twice, two // GROUPS, np.left_shift(1, two % GROUPS))
+        h = h[beg]
+        del group, inside, key, beg
+        rng = h >> (SHORT_BITS - bits)
+        cuts = K.groups(rng)
+        at = np.concatenate([[0], np.cumsum(several)])
+        route, payload = [], []
+        for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(h)).tolist()):
+            route.append(int(rng[lo]))
+            payload.append(pack(np.diff(h[lo:hi], prepend=rng[lo] << (SHORT_BITS - bits)), code[lo:hi], once[at[lo] : at[hi]], twice[at[lo] : at[hi]]))
+        yield _wire([int(K.mix_int(base) >> (64 - bits))], [base], 1, [pack(np.array([len(route), rows, mark]), count, d)])
+        yield _wire(route, [base] * len(route), 0, payload)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 36
+        doc: list[np.ndarray] = []
+        gram: list[np.ndarray] = []
+        rows = held = mark = seen = 0
+        for b in batches:
+            texts = K.texts_of(b.column(1))
+            mark, seen = mark + _mark(texts, seen), seen + len(texts)
+            for lo, hi in K.rechunk(texts, STEP_CHARS):
+                d, g = gram_hashes(texts[lo:hi], n)
+                doc.append(d + rows)
+                gram.append(g)
+                rows += hi - lo
+                held += len(g)
+                if held >= block_grams:
+                    yield from flush(base, rows, mark, doc, gram)
+                    base += rows
+                    doc, gram, rows, held, mark = [], [], 0, 0, 0
+        if rows:
+            doc.append(np.zeros(0, np.int64))
+            gram.append(np.zeros(0, np.uint64))
+            yield from flush(base, rows, mark, doc, gram)
+
+    return run
+
+
+def _mark(texts: list[str], at: int) -> int:
+    """A sum over rows, of their places in the partition and their lengths."""
+    return sum((at + i + 1) * (len(x) + 1) for i, x in enumerate(texts)) & 0xFFFFFFFF
+
+
+def _tell(batches):
+    """Owner of hash ranges (rows sorted by range): the groups in which others have an n-gram."""
+
+    def settle(rng: int, parts: list[tuple]) -> pa.RecordBatch:
+        h, once, twice = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+        order = np.argsort(h, kind="stable")
+        h, o = h[order], once[order]
+        beg = K.groups(h)
+        size = np.diff(np.append(beg, len(h)))
+        any_, more = o[beg], np.bitwise_or.reduceat(twice[order], beg)
+        live, k = np.flatnonzero(size > 1), 1
+        while len(live):  # the k-th block of each n-gram
+            x = o[beg[live] + k]
+            more[live] |= any_[live] & x
+            any_[live] |= x
+            k += 1
+            live = live[(size[live] > k) & (more[live] != FULL)]
+        a, b = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        a[order], b[order] = np.repeat(any_ | more, size), np.repeat(more, size)
+        out, lo = [], 0
+        for _, hs, own, _, lone in parts:
+            k = slice(lo, lo + len(hs))
+            # who alone has it in the block is told of the others; else documents differ, and the home takes each from both
+            out.append(pack(np.where(lone, (a[k] & ~own) | b[k], a[k]), b[k][~lone]))
+            lo += len(hs)
+        return _wire([rng] * len(parts), [p[0] for p in parts], 2, out)
+
+    now, parts = None, []
+    for batch in batches:
+        for i, (rng, base, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            if kind == 1:
+                yield batch.slice(i, 1)
+                continue
+            if rng != now:
+                if parts:
+                    yield settle(now, parts)
+                now, parts = rng, []
+            delta, code, several, twice = unpack(batch.column(3)[i].as_py())
+            lone = code < GROUPS
+            own, two = np.left_shift(1, np.minimum(code, GROUPS - 1)), np.zeros(len(code), np.int64)
+            own[~lone], two[~lone] = several, twice
+            parts.append((base, np.cumsum(delta), own, two, lone))
+    if parts:
+        yield settle(now, parts)
+
+
+def _hear(t: float):
+    """Home of blocks (rows sorted by block, members first): which rows may have a partner, and in which groups."""
+
+    def settle(base: int, members: list, answers: list[list]) -> pa.RecordBatch:
+        (asked, rows, mark), count, d = members
+        if len(answers) != asked or sum(len(a[0]) for a in answers) != len(count):
+            raise ValueError("an n-gram block hasn't got all its answers")
+        hot = np.zeros(rows, np.int64)
+        if len(d):
+            others = np.concatenate([a[0] for a in answers])
+            more = others.copy()
+            more[count > 1] = np.concatenate([a[1] for a in answers])
+            order = np.argsort(d, kind="stable")
+            own = np.left_shift(1, (base + d) % GROUPS)
+            lone = np.repeat(count == 1, count)
+            others, more = np.repeat(others, count), np.repeat(more, count)
+            mask = np.where(lone, others, (others & ~own) | more)[order].astype(np.uint32)
+            d = d[order]
+            beg = K.groups(d)
+            least = np.maximum(1, np.ceil(t * np.diff(np.append(beg, len(d))) - 1e-9))
+            for j in range(GROUPS):
+                enough = np.add.reduceat((mask >> np.uint32(j)) & np.uint32(1), beg, dtype=np.int64) >= least
+                hot[d[beg[enough]]] |= 1 << j
+        keep = hot > 0
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in ((base, pa.int64()), (int(rows), pa.int64()), (int(mark), pa.int64()), (np.packbits(keep).tobytes(), pa.binary()), (pack(hot[keep]), pa.binary()))], names=["base", "rows", "mark", "keep", "hot"])
+
+    def run(batches):
+        now, members, answers = None, None, []
+        for b in batches:
+            for base, kind, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if base != now:
+                    if members:
+                        yield settle(now, members, answers)
+                    now, members, answers = base, None, []
+                got = unpack(blob.as_py())
+                if kind == 1:
+                    members = got
+                else:
+                    answers.append(got)
+        if members:
+            yield settle(now, members, answers)
+
+    return run
+
+
+def _hot(batches):
+    """Blocks' rows as ``sid, hot``."""
+    for b in batches:
+        for base, rows, keep, hot in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4))):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(keep, np.uint8), count=rows))
+            for lo in range(0, len(at), 50_000):
+                k = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(base + at[k]), pa.array(unpack(hot)[0][k])], names=["sid", "hot"])
+
+
+def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int, kept):
+    """Documents -> messages of each block to the owners of hash ranges and to its home.
+
+    ``kept`` (broadcast): of each partition the number of rows, their mark, and which of them are to be looked at.
+    """
 
     def flush(base: int, ids: list, doc: list[np.ndarray], gram: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         d, g = np.concatenate(doc), np.concatenate(gram)
+        doc.clear()
+        gram.clear()
         order = np.argsort(g, kind="stable")  # documents stay ascending among equal n-grams
         d, g = d[order], g[order]
         new = np.ones(len(g), bool)
@@ -152,13 +343,17 @@ def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int):
     def run(batches):
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 36
+        part = TaskContext.get().partitionId()
+        base = part << 36
+        rows, mark, keep = kept.value.get(part, (0, 0, np.zeros(0, bool)))
         ids: list = []
         doc: list[np.ndarray] = []
         gram: list[np.ndarray] = []
-        held = 0
+        held = seen = found = 0
         for b in batches:
             col, texts = b.column(0).to_pylist(), K.texts_of(b.column(1))
+            found, at, seen = found + _mark(texts, seen), seen, seen + len(texts)
+            texts = [x if k else "" for x, k in zip(texts, keep[at:seen])]
             for lo, hi in K.rechunk(texts, STEP_CHARS):
                 d, g = gram_hashes(texts[lo:hi], n)
                 doc.append(d + len(ids))
@@ -171,6 +366,8 @@ def _blocks(n: int, bits: int, id_type: pa.DataType, block_grams: int):
                     ids, doc, gram, held = [], [], [], 0
         if held:
             yield from flush(base, ids, doc, gram)
+        if seen != rows or found & 0xFFFFFFFF != mark:
+            raise ValueError("the texts' second reading gave other rows than the first")
 
     return run
 
@@ -548,11 +745,12 @@ def _trees(t: float):
     return run
 
 
-def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id", n: int = 3, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """Texts that may have a partner: ``sid, id, size, shared, prefix, dfs, tokens, weights`` (tokens in global order).
+def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id", n: int = 3, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Texts that may have a partner: ``sid, id, size, shared, prefix, dfs, tokens, weights`` (tokens in global order), and their ``sid, hot``.
 
-    Blocks are numbered by scan partition, so a task that runs again must see
-    the same rows: input that isn't a plain scan is written down first.
+    Rows are numbered by scan partition, so a task that runs again and the
+    second reading must see the same rows: input that isn't a plain scan is
+    written down first, and rows of the second reading are held against the first.
     """
     spark = attach(docs.sparkSession)
     src = stable(docs.where(docs[key].isNotNull()).select(docs[key].alias("id"), docs[text].alias("text")), "texts")
@@ -563,16 +761,77 @@ def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id
     id_type = _arrow_schema(T.StructType([src.schema["id"]])).field(0).type
     kinds = {"dfs": T.IntegerType(), "tokens": T.LongType(), "weights": T.IntegerType()}
     out = T.StructType([T.StructField("sid", T.LongType()), T.StructField("id", kind), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("prefix", T.IntegerType()), *[T.StructField(c, T.ArrayType(k)) for c, k in kinds.items()]])
-    asked = src.mapInArrow(K.tidy(_blocks(n, bits, id_type, block_grams)), _WIRE).repartitionById(parts, F.pmod("route", F.lit(parts)).cast("int")).sortWithinPartitions("route")
-    told = asked.mapInArrow(K.tidy(_owners), _WIRE).repartition(parts, "base").sortWithinPartitions("base", "kind", "route")
-    return told.mapInArrow(K.tidy(_homes(t)(_arrow_schema(out))), out)
+
+    def passed(ask, owners, homes, schema) -> DataFrame:
+        """Blocks ask the owners of hash ranges, which answer the blocks' homes."""
+        asked = src.mapInArrow(K.tidy(ask), _WIRE).repartitionById(parts, F.pmod("route", F.lit(parts)).cast("int")).sortWithinPartitions("route")
+        told = asked.mapInArrow(K.tidy(owners), _WIRE).repartition(parts, "base").sortWithinPartitions("base", "kind", "route")
+        return told.mapInArrow(K.tidy(homes), schema)
+
+    able = spill_table(passed(_ask(n, bits, block_grams), _tell, _hear(t), "base long, rows long, mark long, keep binary, hot binary"), "able")
+    release(spark)
+    kept: dict[int, tuple[int, int, np.ndarray]] = {}
+    for r in sorted(able.select("base", "rows", "mark", "keep").collect(), key=lambda r: r["base"]):  # a bit a row
+        rows, mark, keep = kept.get(r["base"] >> 36, (0, 0, np.zeros(0, bool)))
+        more = np.unpackbits(np.frombuffer(r["keep"], np.uint8), count=r["rows"]).astype(bool)
+        kept[r["base"] >> 36] = rows + r["rows"], (mark + r["mark"]) & 0xFFFFFFFF, np.concatenate([keep, more])
+    lists = spill_table(passed(_blocks(n, bits, id_type, block_grams, spark.sparkContext.broadcast(kept)), _owners, _homes(t)(_arrow_schema(out)), out), "lists")
+    release(spark)
+    return lists, able.mapInArrow(K.tidy(_hot), "sid long, hot long")
+
+
+def _met(batches):
+    """Runs of rows ``token, sid, hot`` -> edges ``u, v`` that connect all sets of a token that may be partners."""
+
+    def settle(sid: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(sid) > PAIRED_SETS:
+            return np.full(len(sid) - 1, sid.min()), np.delete(sid, sid.argmin())
+        mine = np.left_shift(1, sid % GROUPS)
+        a, b = np.nonzero(np.triu(((hot[:, None] & mine) != 0) & ((mine[:, None] & hot) != 0), 1))
+        return sid[a], sid[b]
+
+    def flush(token: np.ndarray, sid: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        beg = K.groups(token)
+        size = np.diff(np.append(beg, len(token)))
+        # the many tokens of two sets at once
+        two = beg[size == 2]
+        fit = (hot[two] >> (sid[two + 1] % GROUPS)) & (hot[two + 1] >> (sid[two] % GROUPS)) & 1 == 1
+        us, vs, held = [sid[two][fit]], [sid[two + 1][fit]], 0
+        for lo, k in zip(beg[size > 2].tolist(), size[size > 2].tolist()):
+            u, v = settle(sid[lo : lo + k], hot[lo : lo + k])
+            us.append(u)
+            vs.append(v)
+            held += len(u)
+            if held > STEP_CELLS:
+                node, root = forest(np.concatenate(us), np.concatenate(vs))
+                us, vs, held = [node[node != root]], [root[node != root]], 0
+        u, v = np.concatenate(us), np.concatenate(vs)
+        if len(u):
+            u, v = forest(u, v)
+            for lo in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000]), pa.array(v[lo : lo + 100_000])], names=["u", "v"])
+
+    rest = None
+    for b in batches:
+        now = [b.column(i).to_numpy() for i in range(3)]
+        if rest is not None:
+            now = [np.concatenate(x) for x in zip(rest, now)]
+        if not len(now[0]):
+            continue
+        last = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
+        if last:
+            yield from flush(*(x[:last] for x in now))
+        rest = [x[last:] for x in now]
+    if rest is not None and len(rest[0]):
+        yield from flush(*rest)
 
 
 def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``sid, links, root``: parts of each set's number of linked documents, and edges that span the links.
 
-    ``sets``: ``sid, size, copies, prefix, dfs, tokens, weights``. Sets that
-    share prefix tokens, directly or over others, form a block, and every set is
+    ``sets``: ``sid, hot, size, copies, prefix, dfs, tokens, weights``. Sets that
+    share a prefix token, and each of which is in a group where the other may have
+    a partner (``hot``), form a block, directly or over others, and every set is
     sent to its block once. A block of more than ``block_tokens`` list entries is
     cut into chunks of half that, and each two chunks meet in a block of their
     own. Beyond ``MAX_CHUNKS`` it is worked token by token (each pair at the
@@ -580,12 +839,12 @@ def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> Da
     """
     spark = attach(sets.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = spill_table(sets.select("sid", F.size("tokens").alias("n"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefix")
+    edges = spill_table(sets.select("sid", "hot", F.size("tokens").alias("n"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefix")
     # chunks of half a block, so that two of them make one
     chunks = F.when(F.col("held") <= block_tokens, 1).otherwise(F.ceil(2 * F.col("held") / block_tokens)).cast("int")
     hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("held")).where("c > 1")
-    star = edges.join(hub, "token").select(F.col("hub").alias("u"), F.col("sid").alias("v")).where("u <> v").distinct()
-    blocks = components(star)
+    met = edges.select("token", "sid", "hot").repartition(parts, "token").sortWithinPartitions("token")
+    blocks = components(met.mapInArrow(K.tidy(_met), "u long, v long"))
     weigh = edges.select("sid", "n").distinct().join(blocks, edges["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"))
     placed = blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", chunks.alias("m"))
     at = sets.join(placed, "sid")
@@ -609,7 +868,7 @@ def ngram_join(docs: DataFrame, t: float = 0.5, text: str = "text", key: str = "
     """``doc_id, class_id, n_links`` of every document with a partner of Jaccard similarity >= ``t`` (see above)."""
     if not 0 < t <= 1:
         raise ValueError("t must be in (0, 1]")
-    lists = spill_table(gram_lists(docs, t, text, key, n, block_grams), "lists")
+    lists, hot = gram_lists(docs, t, text, key, n, block_grams)
     # equal sets have equal lists; a set with n-grams of its own equals no other
     twin = F.col("shared") == F.col("size")
     mark = [F.when(twin, F.xxhash64(F.lit(i), "size", "dfs", "tokens", "weights")).otherwise(F.col("sid") if i else F.lit(None)).alias(f"k{i}") for i in (0, 1)]
@@ -617,7 +876,8 @@ def ngram_join(docs: DataFrame, t: float = 0.5, text: str = "text", key: str = "
     same = F.col("k0").eqNullSafe(F.col("r0")) & (F.col("k1") == F.col("r1"))
     items = spill_table(marked.groupBy("k0", "k1", "id").agg(F.min("sid").alias("sid")), "items")
     reps = spill_table(items.groupBy("k0", "k1").agg(F.min("sid").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    sets = lists.join(reps.select("rep", "copies"), F.col("sid") == F.col("rep")).select("sid", "size", "copies", "prefix", "dfs", "tokens", "weights")
+    found = reps.select("rep", "copies").join(hot.withColumnRenamed("sid", "of"), F.col("rep") == F.col("of")).select("rep", "copies", "hot")
+    sets = lists.join(found, F.col("sid") == F.col("rep")).select("sid", "hot", "size", "copies", "prefix", "dfs", "tokens", "weights")
     links = set_pairs(sets, t)
     reps = reps.select(F.col("k0").alias("r0"), F.col("k1").alias("r1"), "rep", "copies")
     own = items.join(reps, same).select("id", "rep", "copies")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import re
 import tempfile
@@ -88,6 +89,12 @@ def forget(*tables: DataFrame) -> None:
             _forget(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of plans that nothing refers to any more be deleted now: Spark does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Plan nodes that give the same rows in the same order each time they run.
 _REPEATABLE = {"LogicalRelation", "LocalRelation", "LogicalRDD", "Project", "Filter", "Relation"}
 
