@@ -61,16 +61,29 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark removes a query's shuffle files at its end; lost ones are made again by a retry of their stage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def spill_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared scratch folder and read it back.
 
     This cuts lineage and survives the loss of any executor. The files go with
-    ``forget``, or when the driver ends.
+    ``forget``, or when the driver ends; shuffle files of the write go at its end
+    (``release`` alone leaves those of the last query until the next one ends).
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/orrery-{tag}-{uuid.uuid4().hex[:12]}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return keep_until_exit(spark.read.schema(schema).parquet(path), path)
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,28 @@ def test_grams_shared_by_chance_make_no_suspects(spark, monkeypatch):
     assert 12 <= written["lists"] <= 40
 
 
+def test_shuffle_files_go_when_their_table_is_written(spark):
+    """Both exchanges of a table that is still in use are gone at once, without waiting for another query."""
+    import time
+
+    from orrery.runtime import spill_table
+
+    made = lambda: sum(1 for _ in Path(folder).rglob("shuffle_*.data"))
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    at = made()
+    df = spark.range(20_000).repartition(3, "id").sortWithinPartitions("id").selectExpr("id div 7 as k").repartition(3, "k")
+    out = spill_table(df, "probe")
+    for _ in range(50):
+        if made() <= at:
+            break
+        time.sleep(0.1)
+    assert made() <= at
+    assert out.count() == 20_000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == was
+    df.write.format("noop").mode("overwrite").save()  # another query's files stay, as before
+    assert made() > at
+
+
 def test_tokens_connect_possible_partners_only():
     """Sets 1 and 34 (groups 1 and 2) may be partners, 3 and 4 not; a token's rows go over two batches."""
     token, sid = np.array([5, 5, 5, 5, 7, 7]), np.array([1, 3, 34, 4, 3, 4])
