@@ -21,7 +21,7 @@
    one set with the number of its copies. The rest have prefix tokens, of which
    any matching pair shares one.
 3. *Tree.* Sets that prefix tokens connect, and that may be partners by their
-   groups, form a block; blocks beyond a bound
+   groups, sizes and sketches, form a block; blocks beyond a bound
    are cut into chunks of which each two meet (``set_pairs``). A block's sets are
    stored in a trie in global order. A query set enters it at the topmost nodes
    that bear one of its prefix tokens and walks down, carrying the overlap that
@@ -74,6 +74,9 @@ GROUPS = 32
 FULL = (1 << GROUPS) - 1
 #: Sets of a token up to which each two are compared before they are connected.
 PAIRED_SETS = 1_000
+#: Buckets of a set's sketch, the weight from which a bucket counts as filled (4 bits each), and pairs of sketches compared at a time.
+SKETCH, FILLED = 256, 15
+STEP_SKETCHES = 20_000
 #: Bytes of input for each hash range (an owner holds one range at a time).
 RANGE_BYTES = 3 << 20
 #: List entries of a block that one task holds at most, and of those joined at a time.
@@ -780,74 +783,147 @@ def gram_lists(docs: DataFrame, t: float, text: str = "text", key: str = "doc_id
     return lists, able.mapInArrow(K.tidy(_hot), "sid long, hot long")
 
 
-def _met(batches):
-    """Runs of rows ``token, sid, hot`` -> edges ``u, v`` that connect all sets of a token that may be partners."""
+def _postings(batches):
+    """Sets -> a row for each prefix token: ``token, sid, hot, size, rest, sketch, n``.
 
-    def settle(sid: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if len(sid) > PAIRED_SETS:
-            return np.full(len(sid) - 1, sid.min()), np.delete(sid, sid.argmin())
-        mine = np.left_shift(1, sid % GROUPS)
-        a, b = np.nonzero(np.triu(((hot[:, None] & mine) != 0) & ((mine[:, None] & hot) != 0), 1))
-        return sid[a], sid[b]
+    ``rest``: what the set has from the token on. ``sketch``: the weight of all its tokens by bucket.
+    """
+    for b in batches:
+        sid, hot, size, prefix = (b.column(i).to_numpy() for i in range(4))
+        n = pa.compute.list_value_length(b.column(4)).to_numpy().astype(np.int64)
+        token, weight = (pa.compute.list_flatten(b.column(i)).to_numpy() for i in (4, 5))
+        weight = weight.astype(np.int64)
+        own = np.repeat(np.arange(len(n)), n)
+        have = np.bincount(own * SKETCH + (token & (SKETCH - 1)), weights=weight, minlength=len(n) * SKETCH).reshape(len(n), SKETCH)
+        have = np.minimum(have, FILLED).astype(np.uint8)
+        sketch = pa.array([x.tobytes() for x in have[:, ::2] | have[:, 1::2] << 4], pa.binary())
+        upto = np.cumsum(weight)
+        done = np.concatenate([[0], upto])[np.cumsum(n)]  # up to the end of each set
+        at = _ragged(np.cumsum(n) - n, prefix.astype(np.int64))
+        for lo in range(0, len(at), 20_000):
+            k = at[lo : lo + 20_000]
+            o = own[k]
+            cols = [pa.array(x) for x in (token[k], sid[o], hot[o], size[o], done[o] - upto[k] + weight[k])]
+            yield pa.RecordBatch.from_arrays([*cols, sketch.take(pa.array(o)), pa.array(n[o])], names=["token", "sid", "hot", "size", "rest", "sketch", "n"])
+
+
+def _shareable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most that sets of these sketches can share."""
+    low, high = np.minimum(a & 15, b & 15), np.minimum(a >> 4, b >> 4)
+    full = (low == FILLED).any(axis=1) | (high == FILLED).any(axis=1)
+    return np.where(full, np.inf, low.sum(axis=1, dtype=np.int64) + high.sum(axis=1, dtype=np.int64))
+
+
+def _met(batches, t: float = 0.0):
+    """Runs of rows ``token, sid, hot[, size, rest, sketch]`` -> edges ``u, v`` that connect all sets of a token that may be partners.
+
+    At the first token that two partners share, both have enough left from it
+    on, and their sketches leave room for what they must share. Sets that the
+    task has connected already aren't compared again.
+    """
+    ratio = t / (1 + t)
+    known, top = np.zeros(0, np.int64), np.zeros(0, np.int64)  # connected sets, and their smallest ones
+
+    def flush(token, sid, hot, *more) -> None:
+        nonlocal known, top
+        nodes = np.unique(np.concatenate([known, top, sid]))
+        at, root = np.searchsorted(nodes, sid), np.arange(len(nodes))
+        root[np.searchsorted(nodes, known)] = np.searchsorted(nodes, top)
+
+        def find(x: np.ndarray) -> np.ndarray:
+            x = root[x]
+            while not np.array_equal(up := root[x], x):
+                x = up
+            return x
+
+        def connect(a: np.ndarray, b: np.ndarray) -> None:
+            """Rows a and b, which the groups allow, where size and sketch allow it."""
+            for lo in range(0, len(a), STEP_SKETCHES):
+                i, j = a[lo : lo + STEP_SKETCHES], b[lo : lo + STEP_SKETCHES]
+                apart = find(at[i]) != find(at[j])
+                i, j = i[apart], j[apart]
+                if more:
+                    size, rest, sketch = more
+                    need = ratio * (size[i] + size[j]) - 1e-9
+                    able = np.minimum(rest[i], rest[j]) >= need
+                    i, j, need = i[able], j[able], need[able]
+                    able = _shareable(sketch[i], sketch[j]) >= need
+                    i, j = i[able], j[able]
+                if len(i):
+                    node, low = forest(find(at[i]), find(at[j]))
+                    root[node] = low
 
-    def flush(token: np.ndarray, sid: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mine = np.left_shift(1, sid % GROUPS)
         beg = K.groups(token)
-        size = np.diff(np.append(beg, len(token)))
-        # the many tokens of two sets at once
-        two = beg[size == 2]
-        fit = (hot[two] >> (sid[two + 1] % GROUPS)) & (hot[two + 1] >> (sid[two] % GROUPS)) & 1 == 1
-        us, vs, held = [sid[two][fit]], [sid[two + 1][fit]], 0
-        for lo, k in zip(beg[size > 2].tolist(), size[size > 2].tolist()):
-            u, v = settle(sid[lo : lo + k], hot[lo : lo + k])
-            us.append(u)
-            vs.append(v)
-            held += len(u)
-            if held > STEP_CELLS:
-                node, root = forest(np.concatenate(us), np.concatenate(vs))
-                us, vs, held = [node[node != root]], [root[node != root]], 0
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if len(u):
-            u, v = forest(u, v)
-            for lo in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[lo : lo + 100_000]), pa.array(v[lo : lo + 100_000])], names=["u", "v"])
+        count = np.diff(np.append(beg, len(token)))
+        two = beg[count == 2]  # the many tokens of two sets at once
+        two = two[((hot[two] & mine[two + 1]) != 0) & ((hot[two + 1] & mine[two]) != 0)]
+        connect(two, two + 1)
+        for lo, k in zip(beg[count > 2].tolist(), count[count > 2].tolist()):
+            r = find(at[lo : lo + k])
+            if (r == r[0]).all():
+                continue
+            if k > PAIRED_SETS:
+                node, low = forest(r[1:], np.full(k - 1, r[0]))
+                root[node] = low
+                continue
+            h, m = hot[lo : lo + k], mine[lo : lo + k]
+            a, b = np.nonzero(np.triu(((h[:, None] & m) != 0) & ((m[:, None] & h) != 0) & (r[:, None] != r), 1))
+            connect(lo + a, lo + b)
+        root = find(np.arange(len(nodes)))
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        known, top = nodes[moved], nodes[root[moved]]
+
+    def give() -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(known), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(known[lo : lo + 100_000]), pa.array(top[lo : lo + 100_000])], names=["u", "v"])
 
     rest = None
     for b in batches:
-        now = [b.column(i).to_numpy() for i in range(3)]
+        now = [b.column(i).to_numpy() for i in range(min(5, b.num_columns))]
+        if b.num_columns > 5:
+            now.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, SKETCH // 2))
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now)]
         if not len(now[0]):
             continue
         last = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1 if now[0][0] != now[0][-1] else 0
         if last:
-            yield from flush(*(x[:last] for x in now))
+            flush(*(x[:last] for x in now))
         rest = [x[last:] for x in now]
+        if len(known) > EDGES_AT_ONCE // 2:
+            yield from give()
+            known, top = known[:0], top[:0]
     if rest is not None and len(rest[0]):
-        yield from flush(*rest)
+        flush(*rest)
+    yield from give()
 
 
 def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``sid, links, root``: parts of each set's number of linked documents, and edges that span the links.
 
     ``sets``: ``sid, hot, size, copies, prefix, dfs, tokens, weights``. Sets that
-    share a prefix token, and each of which is in a group where the other may have
-    a partner (``hot``), form a block, directly or over others, and every set is
+    share a prefix token, each of which is in a group where the other may have a
+    partner (``hot``), and that can share enough from that token on by their
+    sizes and sketches, form a block, directly or over others, and every set is
     sent to its block once. A block of more than ``block_tokens`` list entries is
     cut into chunks of half that, and each two chunks meet in a block of their
-    own. Beyond ``MAX_CHUNKS`` it is worked token by token (each pair at the
-    first token it shares), with the same bound and chunks for a token's sets.
+    own. Beyond ``MAX_CHUNKS``, and where that copies less, it is worked token by
+    token (each pair at the first token it shares), with the same bound and
+    chunks for a token's sets.
     """
     spark = attach(sets.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = spill_table(sets.select("sid", "hot", F.size("tokens").alias("n"), F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("token")), "prefix")
+    edges = spill_table(sets.select("sid", "hot", "size", "prefix", "tokens", "weights").mapInArrow(K.tidy(_postings), "token long, sid long, hot long, size long, rest long, sketch binary, n long"), "prefix")
     # chunks of half a block, so that two of them make one
     chunks = F.when(F.col("held") <= block_tokens, 1).otherwise(F.ceil(2 * F.col("held") / block_tokens)).cast("int")
-    hub = edges.groupBy("token").agg(F.min("sid").alias("hub"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("held")).where("c > 1")
-    met = edges.select("token", "sid", "hot").repartition(parts, "token").sortWithinPartitions("token")
-    blocks = components(met.mapInArrow(K.tidy(_met), "u long, v long"))
-    weigh = edges.select("sid", "n").distinct().join(blocks, edges["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"))
-    placed = blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", chunks.alias("m"))
-    at = sets.join(placed, "sid")
+    hub = edges.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("held")).where("c > 1")
+    met = edges.drop("n").repartition(parts, "token").sortWithinPartitions("token")
+    blocks = components(met.mapInArrow(K.tidy(lambda batches: _met(batches, t)), "u long, v long"))
+    each = edges.groupBy("sid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("p"))
+    weigh = each.join(blocks, each["sid"] == blocks["id"]).groupBy("root").agg(F.sum("n").alias("held"), F.sum(F.col("n") * F.col("p")).alias("single"))
+    placed = blocks.join(weigh, "root").select(F.col("id").alias("sid"), "root", chunks.alias("m"), "held", "single")
+    at = sets.join(placed, "sid").withColumn("whole", (F.col("m") <= MAX_CHUNKS) | (F.col("m") * F.col("held") <= F.col("single")))
     body = ["sid", "size", "copies", "prefix", "dfs", "tokens", "weights"]
 
     def meet(rows: DataFrame, token) -> DataFrame:
@@ -855,8 +931,8 @@ def set_pairs(sets: DataFrame, t: float, block_tokens: int = BLOCK_TOKENS) -> Da
         others = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("chunk", j).alias("lo"), F.greatest("chunk", j).alias("hi")))
         return rows.withColumn("chunk", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int")).select("root", F.inline(others), token.alias("token"), "chunk", *body)
 
-    whole = meet(at.where(F.col("m") <= MAX_CHUNKS), F.lit(None).cast("long"))
-    by_token = at.where(F.col("m") > MAX_CHUNKS).drop("m").withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))))
+    whole = meet(at.where("whole"), F.lit(None).cast("long"))
+    by_token = at.where("not whole").drop("m").withColumn("token", F.explode(F.slice("tokens", F.lit(1), F.col("prefix"))))
     single = meet(by_token.join(hub.select("token", chunks.alias("m")), "token"), F.col("token"))
     rows = whole.unionByName(single).repartition(parts, "root", "lo", "hi", "token").sortWithinPartitions("root", "lo", "hi", "token")
     out = spill_table(rows.mapInArrow(K.tidy(_trees(t)), "sid long, links long, root long"), "links")

@@ -185,6 +185,22 @@ def test_tokens_connect_possible_partners_only():
     assert {e for e in edges if e[0] != e[1]} == {(34, 1)}
 
 
+def test_chance_tokens_connect_no_sets():
+    """Sets that share a token, but can't share enough by what is left from it on or by their sketches, stay apart, over batches too."""
+    one = lambda *at: sum(1 << 4 * k for k in at).to_bytes(N.SKETCH // 2, "little")
+    a, b, wide = one(*range(9)), one(*range(20, 29)), one(*range(14))
+    rows = [  # token, sid, rest, sketch; sizes are 10, so partners share 6.7
+        (1, 50, 9, a), (1, 60, 9, a), (2, 51, 9, a), (2, 61, 5, a), (3, 52, 9, a), (3, 62, 9, b),
+        (5, 63, 9, a), (5, 64, 9, wide), (5, 65, 9, b), (6, 60, 9, a), (6, 70, 9, a),
+    ]
+    cols = [pa.array(x) for x in ([r[0] for r in rows], [r[1] for r in rows], [N.FULL] * len(rows), [10] * len(rows), [r[2] for r in rows])]
+    batch = pa.RecordBatch.from_arrays([*cols, pa.array([r[3] for r in rows], pa.binary())], names=["token", "sid", "hot", "size", "rest", "sketch"])
+    edges = [x for b in N._met([batch.slice(0, 5), batch.slice(5, 3), batch.slice(8)], 0.5) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert {e for e in edges if e[0] != e[1]} == {(60, 50), (64, 63), (70, 50)}
+    filled = bytes([0xFF]) * (N.SKETCH // 2)
+    assert N._shareable(*(np.frombuffer(x, np.uint8)[None] for x in (filled, filled)))[0] == np.inf
+
+
 def test_second_reading_must_give_the_same_rows(monkeypatch):
     import pyspark
 
