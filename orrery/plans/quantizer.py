@@ -186,6 +186,18 @@ def scores(codes: np.ndarray, scale: np.ndarray, queries: np.ndarray, model: Mod
     return scale[:, None] * (model.codebook()[1][codes] @ (q / s).T - q @ shift)
 
 
+def row_matrix(codes: np.ndarray, scale: np.ndarray, model: Model) -> np.ndarray:
+    """Rows whose products with those of ``query_matrix`` are the scores."""
+    x = model.codebook()[1][codes]
+    return scale[:, None] * (np.hstack([x, np.full((len(x), 1), -1.0)]) if model.calibrated else x)
+
+
+def query_matrix(queries: np.ndarray, model: Model) -> np.ndarray:
+    shift, s = model.pair()
+    q = rotate(queries, model.seed)
+    return np.hstack([q / s, (q @ shift)[:, None]]) if model.calibrated else q
+
+
 def pack(codes: np.ndarray, bits: int) -> np.ndarray:
     """Bit planes: plane p holds bit p of every code, eight codes a byte, the first in the top bit."""
     n, dim = codes.shape

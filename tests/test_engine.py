@@ -240,6 +240,48 @@ def test_queries_beyond_a_block(spark, monkeypatch):
     assert {r["id"] for r in S.exact_topk(names, queries, 70).collect()} == {f"d{i}" for i in range(70)}
 
 
+def test_few_rows_are_ranked():
+    """A task ranks few rows more than it gives, however many it meets; values of any size, ties and NaN come out as by brute force."""
+    import pyarrow as pa
+
+    def best(q, v, k, step=64):
+        b = S._Best(np.arange(len(q)), q, k, pa.int64(), 16)
+        merged, b._merge = [], lambda: (merged.append(b.n), S._Best._merge(b))
+        out = [x for lo in range(0, len(v), step) for x in b.add(pa.array(np.arange(lo, min(lo + step, len(v)))), v[lo : lo + step])] + list(b.give())
+        t = pa.Table.from_batches(out).to_pydict()
+        return list(zip(t["query_id"], t["id"])), sum(merged)
+
+    def brute(q, v, k):
+        s = np.round(np.einsum("ij,kj->ik", q, v), 12)
+        return [(i, int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(len(v)), np.where(np.isnan(s[i]), -np.inf, -s[i])))[:k]]
+
+    q, v = unit_rows(40, 64), unit_rows(20_000, 64, 1)
+    got, ranked = best(q, v, 10)
+    assert got == brute(q, v, 10) and ranked < 40 * 20_000 / 10  # the old floor of the first rows passed one in six and more
+    rising = v[np.argsort(v @ q[0])]
+    assert best(q, rising, 3)[0] == brute(q, rising, 3)
+    for by in (1e15, 1e30, 1e-30, 0.0):
+        assert best(q * by, v[:500], 5)[0] == brute(q * by, v[:500], 5)
+    mixed = v[:500] * 10.0 ** np.arange(500).reshape(-1, 1).astype(float).clip(0, 12)
+    assert best(q, mixed, 5)[0] == brute(q, mixed, 5) and best(q, np.tile(v[:7], (30, 1)), 9)[0] == brute(q, np.tile(v[:7], (30, 1)), 9)
+    spoilt = v[:200].copy()
+    spoilt[77] = np.nan
+    assert best(q, spoilt, 4)[0] == brute(q, spoilt, 4) and best(q, v[:6], 9)[0] == brute(q, v[:6], 9)
+
+
+def test_blocks_are_dealt_evenly(spark, monkeypatch):
+    """Rows and queries of one file each: many tasks, one pack of queries in each."""
+    from pyspark.sql import types as T
+
+    v = unit_rows(90, 64)
+    rows, queries = frame(spark, v).coalesce(1).selectExpr("id", "embedding v"), frame(spark, v[:60], "query_id").coalesce(1).selectExpr("query_id as q", "embedding as v")
+    monkeypatch.setattr(S, "BLOCK_BYTES", 64 * 8 * 10)
+    out = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])
+    found = S._in_blocks(rows, lambda b: E.rows_of(b.column(1), 64), queries, 3, lambda q: q, 64, 4, out)
+    tasks = found.select(F.spark_partition_id().alias("p"), "query_id").distinct().groupBy("p").count().collect()
+    assert len(tasks) >= 2 * spark.sparkContext.defaultParallelism and {r["count"] for r in tasks} == {10}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
